@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from redactry.sources.shipping import ship
+
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read ``<sf_dir>/<name>.parquet``; with ``columns`` only these are kept.
@@ -11,6 +13,7 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     Only named columns survive, so extra columns of the input can never clash
     with names an operator adds.
     """
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
