@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, packing
+from redactry.llm import bpe, chunking, corpus, encoding, packing
 from redactry.sources.tables import load
 
 
+def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "scan_requests", "scan_id", "text")
+    return encoding.restore_texts(rows, encoding.train(corpus.word_counts(rows)))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_restored(spark, sf).select("scan_id").distinct()
+
+
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_pieces(load(spark, sf, "scan_requests", "scan_id", "text"), overlap=200)
 
@@ -25,7 +34,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(bpe.token_counts(load(spark, sf, "documents", "doc_id", "text")), "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p7_pieces, p7_found, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p7_pieces, p7_found, p8_ids, p9_containers)}
 
 #: Queries whose result SQL can state; the others are tested in tests/llm.
 ORACLES = {
