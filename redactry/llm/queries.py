@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, corpus, encoding, packing
-from redactry.sources.tables import load
+from redactry.llm import bpe, chunking, corpus, encoding, layout, packing
+from redactry.sources.tables import checkpointed, load
 
 
 def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,6 +18,19 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_restored(spark, sf).select("scan_id").distinct()
 
 
+def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "scan_requests", "scan_id", "text")
+    return layout.repair_texts(rows, layout.train(corpus.word_counts(rows)))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "scan_requests", "scan_id", "text")
+    noise = checkpointed(layout.find_noise(rows, layout.train(corpus.word_counts(rows))))
+    words = layout.noisy_words(load(spark, sf, "ocr_words", "scan_id", "word_id"), noise)
+    requests = noise.select("scan_id").distinct()
+    return requests.select(F.lit("scan_requests").alias("src"), F.col("scan_id").alias("row_id")).unionByName(words.select(F.lit("ocr_words").alias("src"), F.col("word_id").alias("row_id")))
+
+
 def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.split_pieces(load(spark, sf, "scan_requests", "scan_id", "text"), overlap=200)
 
@@ -34,7 +47,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(bpe.token_counts(load(spark, sf, "documents", "doc_id", "text")), "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p7_pieces, p7_found, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers)}
 
 #: Queries whose result SQL can state; the others are tested in tests/llm.
 ORACLES = {
