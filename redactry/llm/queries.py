@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, corpus, encoding, layout, packing
+from redactry.llm import bpe, chunking, corpus, encoding, layout, lookalike, packing
 from redactry.sources.tables import checkpointed, load
 
 
@@ -18,6 +18,31 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_restored(spark, sf).select("scan_id").distinct()
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, row_id, scan_id, text) of the requests and entities; a row delivered twice counts once."""
+    requests = load(spark, sf, "scan_requests", "scan_id", "text").select(F.lit("scan_requests").alias("src"), F.col("scan_id").alias("row_id"), "scan_id", "text")
+    entities = load(spark, sf, "detected_entities", "entity_id", "scan_id", "text_val").select(F.lit("detected_entities").alias("src"), F.col("entity_id").alias("row_id"), "scan_id", F.col("text_val").alias("text"))
+    return requests.unionByName(lookalike.suspects(entities, "text").dropDuplicates(["row_id"]))
+
+
+def _garbled_or_noisy(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """scan_id of the requests in ``texts`` that problems 1 and 6 find, with models of all ``rows``."""
+    words = corpus.word_counts(rows)
+    garbled = encoding.restore_texts(texts, encoding.train(words)).select("scan_id")
+    return garbled.union(layout.find_noise(texts, layout.train(words)).select("scan_id")).distinct()
+
+
+def p2_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.normalise(_texts(spark, sf), ["src", "row_id"])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = lookalike.normalise(_texts(spark, sf), ["src", "row_id", "scan_id"], rebuild=False)
+    rows = load(spark, sf, "scan_requests", "scan_id", "text")
+    others = _garbled_or_noisy(rows, lookalike.suspects(rows, "text"))
+    return found.join(others, "scan_id", "left_anti").select("src", "row_id")
+
+
 def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "scan_requests", "scan_id", "text")
     return layout.repair_texts(rows, layout.train(corpus.word_counts(rows)))
@@ -47,7 +72,7 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(bpe.token_counts(load(spark, sf, "documents", "doc_id", "text")), "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers)}
 
 #: Queries whose result SQL can state; the others are tested in tests/llm.
 ORACLES = {
