@@ -26,7 +26,8 @@ TYPICAL = -2.2
 RATIO = 5
 PUNCTUATION = " .,;:!?()[]{}\"'“”‘’«»„…–—-*•"
 LOST = "\N{REPLACEMENT CHARACTER}"
-WORD = re.compile(r"[^ \t\n\r\f\v]*[^\x00-\x7f \t\n\r\f\v][^ \t\n\r\f\v]*")
+#: Starts only behind white space and never backtracks, so a long ASCII token is passed over once.
+WORD = re.compile(r"(?<![^ \t\n\r\f\v])[^\x80-\U0010ffff \t\n\r\f\v]*+[^\x00-\x7f][^ \t\n\r\f\v]*+")
 
 
 @cache
