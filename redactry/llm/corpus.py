@@ -18,6 +18,8 @@ HELD = 400_000
 #: so a lexicon has at most 1 / SHARE entries however large the corpus is.
 WORD_SHARE, GRAM_SHARE = 1e-6, 2e-6
 EDGE = "\x02"
+#: Longer strings between blanks (encoded data, keys) are no words and don't enter the character counts.
+LONGEST = 60
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +56,8 @@ def gram_counts(words: DataFrame, order: int = 3) -> DataFrame:
         counts: Counter = Counter()
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(word) > LONGEST:
+                    continue
                 w = EDGE * (order - 1) + word + EDGE
                 for i in range(len(w) - order + 1):
                     counts[w[i : i + order]] += n

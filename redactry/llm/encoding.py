@@ -157,6 +157,8 @@ class Restorer:
         if text.isascii():
             return False, "", text
         memo, found = self.memo, []
+        if LOST not in text and not any(memo[w][1] for w in WORD.findall(text)):
+            return False, "", text
         for m in WORD.finditer(text):
             got = memo[m.group()]
             if got[1]:

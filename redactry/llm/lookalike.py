@@ -15,10 +15,10 @@ GREEK, GREEK_AS_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο", "ABEZHIKMNOPTYXvo"
 #: Characters that look exactly like a plain one but have no decomposition: hyphens, and eth for d with stroke.
 EXACT = {"‐": "-", "‑": "-", "Ð": "Đ", "Ɖ": "Đ"}
 #: Characters without width or ink.
-INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 #: A joiner in an emoji or in a script that joins letters with it is no disguise; it is set aside under this private code.
 JOINER = "(?<=[\\p{So}\\x{FE0F}\\x{1F3FB}-\\x{1F3FF}])\\u200D(?=\\p{So})|(?<=[\\p{IsArabic}\\p{IsDevanagari}\\p{IsBengali}\\p{IsTamil}\\p{IsTelugu}\\p{IsMalayalam}\\p{IsSinhala}\\p{IsKhmer}])[\\u200C\\u200D]"
-ASIDE = ""
+ASIDE = "\ue000"
 
 LATIN_CLASS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
 LATIN_ONLY = "bdfgklmnqrtuwzDFGLQRUVWÀ-ÖØ-öø-ɏḀ-ỿ"
@@ -26,7 +26,7 @@ CYRILLIC_ONLY = f"[Ѐ-ԯ&&[^{CYRILLIC}]]"
 GREEK_ONLY = f"[Ͱ-Ͽ&&[^{GREEK}]]"
 MIXED = f"[{LATIN_CLASS}][{CYRILLIC}{GREEK}]|[{CYRILLIC}{GREEK}][{LATIN_CLASS}]|[Ѐ-ԯ][A-Za-z]|[A-Za-z][Ѐ-ԯ]"
 #: A superset of the characters that the normaliser changes, coarse enough to scan fast; what it lets through is compared exactly.
-SUSPECT = "[\\p{M}\\p{Z}\\p{Cf}ÐĲĳƉǄ-ǌǱ-ǳ̀-ͅ;·ἀ-῿‐‑℀-ↈ〈〉ﬀ-ﭏ︐-﹯＀-￯\\x{1d400}-\\x{1d7ff}\\x{1ee00}-\\x{1eeff}&&[^ ]]"
+SUSPECT = "[\\p{M}\\p{Z}\\p{Cf}\\u00d0\\u0132\\u0133\\u0189\\u01c4-\\u01cc\\u01f1-\\u01f3\\u0340-\\u0345\\u0374\\u037e\\u0387\\u1f00-\\u1fff\\u2010\\u2011\\u2100-\\u2188\\u2329\\u232a\\ufb00-\\ufb4f\\ufe10-\\ufe6f\\uff00-\\uffef\\x{1d400}-\\x{1d7ff}\\x{1ee00}-\\x{1eeff}&&[^ ]]"
 FOREIGN = f"[{CYRILLIC}{GREEK}Ѐ-ԯ]"
 
 
@@ -106,7 +106,7 @@ def normalise(df: DataFrame, keys: list[str], text_col: str = "text", rebuild: b
     rows = suspects(df.select(*keys, F.col(text_col).alias("text")), "text").withColumn("text", F.regexp_replace("text", JOINER, ASIDE))
     rows = rows.select(*keys, F.col("text").rlike(CYRILLIC_ONLY).alias("has_cyrillic"), F.col("text").rlike(f"{GREEK_ONLY}[Ͱ-Ͽ]").alias("has_greek"), F.posexplode(F.split("text", "(?<=[\\p{Z}\\n\\r\\t])")).alias("at", "token"))
     t = F.col("token")
-    alone = ~t.rlike(f"[{LATIN_CLASS}]") & ((~F.col("has_cyrillic") & t.rlike(f"[{CYRILLIC}]") & ~t.rlike(CYRILLIC_ONLY)) | (~F.col("has_greek") & t.rlike(f"[{GREEK}]\\d|\\d[{GREEK}]|[{GREEK}]{{2}}") & ~t.rlike(GREEK_ONLY)))
+    alone = ~t.rlike(f"[{LATIN_CLASS}]") & ((~F.col("has_cyrillic") & t.rlike(f"[{CYRILLIC}]") & ~t.rlike(CYRILLIC_ONLY)) | (~F.col("has_greek") & t.rlike(f"[{GREEK}]\\d|\\d[{GREEK}]|[{GREEK}]{{2}}|^[{GREEK}&&\\p{{Lu}}]\\.\\W*$") & ~t.rlike(GREEK_ONLY)))
     bare = F.regexp_replace(t, f"[{INVISIBLE}]", "")
     mixed = bare.rlike(MIXED)
     to_latin = (mixed & ~t.rlike(CYRILLIC_ONLY) & ~t.rlike(GREEK_ONLY)) | alone
@@ -129,4 +129,4 @@ def normalise(df: DataFrame, keys: list[str], text_col: str = "text", rebuild: b
         return changed.select(*keys).distinct()
     every = tokens.select(*keys, "at", "token").join(changed.select(*keys, "at", "new"), [*keys, "at"], "left")
     texts = every.groupBy(*keys).agg(F.max(F.col("new").isNotNull()).alias("odd"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("new", "token").alias("s")))), lambda x: x["s"]), "").alias("plain"))
-    return texts.where("odd").select(*keys, F.regexp_replace("plain", ASIDE, "‍").alias("plain"))
+    return texts.where("odd").select(*keys, F.regexp_replace("plain", ASIDE, "\u200d").alias("plain"))

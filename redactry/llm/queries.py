@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, corpus, encoding, layout, lookalike, packing
+from redactry.llm import bpe, chunking, corpus, encoding, layout, lookalike, packing, spam
 from redactry.sources.tables import checkpointed, load
 
 
@@ -72,7 +72,16 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(bpe.token_counts(load(spark, sf, "documents", "doc_id", "text")), "doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers)}
+def p10_pages(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "documents", "doc_id", "text", "lang")
+    return spam.score_pages(rows, spam.calibrate(rows))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_pages(spark, sf).where(F.col("spam") > spam.SHARE).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_pages, p10_found)}
 
 #: Queries whose result SQL can state; the others are tested in tests/llm.
 ORACLES = {
