@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +20,20 @@ EXACT = {"‐": "-", "‑": "-", "Ð": "Đ", "Ɖ": "Đ"}
 #: Characters without width or ink.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 #: A joiner in an emoji or in a script that joins letters with it is no disguise; it is set aside under this private code.
-JOINER = "(?<=[\\p{So}\\x{FE0F}\\x{1F3FB}-\\x{1F3FF}])\\u200D(?=\\p{So})|(?<=[\\p{IsArabic}\\p{IsDevanagari}\\p{IsBengali}\\p{IsTamil}\\p{IsTelugu}\\p{IsMalayalam}\\p{IsSinhala}\\p{IsKhmer}])[\\u200C\\u200D]"
+JOINER = re.compile("(?<=[←-⯿\ufe0f\U0001f000-\U0001faff])\u200d(?=[←-⯿\U0001f000-\U0001faff])|(?<=[\u0590-\u08ff\u0900-\u0dffក-\u17ff])[\u200c\u200d]")
 ASIDE = "\ue000"
 
 LATIN_CLASS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
-LATIN_ONLY = "bdfgklmnqrtuwzDFGLQRUVWÀ-ÖØ-öø-ɏḀ-ỿ"
-CYRILLIC_ONLY = f"[Ѐ-ԯ&&[^{CYRILLIC}]]"
-GREEK_ONLY = f"[Ͱ-Ͽ&&[^{GREEK}]]"
-MIXED = f"[{LATIN_CLASS}][{CYRILLIC}{GREEK}]|[{CYRILLIC}{GREEK}][{LATIN_CLASS}]|[Ѐ-ԯ][A-Za-z]|[A-Za-z][Ѐ-ԯ]"
-#: A superset of the characters that the normaliser changes, coarse enough to scan fast; what it lets through is compared exactly.
-SUSPECT = "[\\p{M}\\p{Z}\\p{Cf}\\u00d0\\u0132\\u0133\\u0189\\u01c4-\\u01cc\\u01f1-\\u01f3\\u0340-\\u0345\\u0374\\u037e\\u0387\\u1f00-\\u1fff\\u2010\\u2011\\u2100-\\u2188\\u2329\\u232a\\ufb00-\\ufb4f\\ufe10-\\ufe6f\\uff00-\\uffef\\x{1d400}-\\x{1d7ff}\\x{1ee00}-\\x{1eeff}&&[^ ]]"
-FOREIGN = f"[{CYRILLIC}{GREEK}Ѐ-ԯ]"
+CYRILLIC_ONLY = re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x530)) if c not in CYRILLIC) + "]")
+GREEK_ONLY = "[" + "".join(c for c in map(chr, range(0x370, 0x400)) if c not in GREEK) + "]"
+GREEK_TEXT, GREEK_LETTER = re.compile(GREEK_ONLY + "[Ͱ-Ͽ]"), re.compile(GREEK_ONLY)
+LATIN, LATIN_ONLY = re.compile(f"[{LATIN_CLASS}]"), re.compile("[bdfgklmnqrtuwzDFGLQRUVWÀ-ÖØ-öø-ɏḀ-ỿ]")
+FOREIGN = re.compile(f"[{CYRILLIC}{GREEK}Ѐ-ԯ]")
+ANY_CYRILLIC = re.compile(f"[{CYRILLIC}]")
+MIXED = re.compile(f"[{LATIN_CLASS}][{CYRILLIC}{GREEK}]|[{CYRILLIC}{GREEK}][{LATIN_CLASS}]|[Ѐ-ԯ][A-Za-z]|[A-Za-z][Ѐ-ԯ]")
+GREEK_ALONE = re.compile(rf"[{GREEK}]\d|\d[{GREEK}]|[{GREEK}]{{2}}|^[{GREEK[:14]}]\.\W*$")
+UNSEEN = str.maketrans("", "", INVISIBLE)
+TOKEN = re.compile("[^\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*+(?:[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|$)")
 
 
 def plain(c: str) -> str | None:
@@ -81,10 +87,61 @@ def frames(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def suspects(df: DataFrame, text_col: str) -> DataFrame:
-    """Rows whose text may change; everything else is provably its own plain form. Null and ASCII texts are out first."""
-    t = F.col(text_col)
-    return df.where((F.length(t) < F.octet_length(t)) & (t.rlike(SUSPECT) | t.rlike(FOREIGN)))
+@cache
+def suspect() -> re.Pattern:
+    """Matches the characters that normalising may change: those not their own recomposed plain form, and marks."""
+    codes = sorted(ord(c) for c, parts, _, _ in tables()[0] if unicodedata.combining(c) or unicodedata.normalize("NFC", "".join(p for p, _ in parts)) != c)
+    ranges: list[list[int]] = []
+    for n in codes:
+        if ranges and n == ranges[-1][1] + 1:
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
+def odd_tokens(text: str) -> Iterator[tuple[int, str, str | None]]:
+    """(offset, token with the blank behind it, script to bring it to) of the tokens that may change."""
+    if "\u200d" in text or "\u200c" in text:
+        text = JOINER.sub(ASIDE, text)
+    odd, foreign = suspect(), FOREIGN.search(text) is not None
+    if not foreign and not odd.search(text):
+        return
+    cyrillic = foreign and CYRILLIC_ONLY.search(text) is not None
+    greek = foreign and GREEK_TEXT.search(text) is not None
+    for m in TOKEN.finditer(text):
+        t = m.group()
+        if t.isascii():
+            continue
+        script = None
+        if foreign and FOREIGN.search(t):
+            only_c, only_g = CYRILLIC_ONLY.search(t), GREEK_LETTER.search(t)
+            if MIXED.search(t.translate(UNSEEN)):
+                script = "L" if not only_c and not only_g else "C" if only_c and not LATIN_ONLY.search(t) else None
+            elif not LATIN.search(t) and (not cyrillic and not only_c and ANY_CYRILLIC.search(t) or not greek and not only_g and GREEK_ALONE.search(t)):
+                script = "L"
+        if script or odd.search(t):
+            yield m.start(), t, script
+
+
+def candidates(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, at, token, script): every token that may change, of every row. One pass; null and ASCII texts stay in the JVM."""
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, token, script = [], [], [], []
+            for k, text in enumerate(batch.column(len(keys)).to_pylist()):
+                for a, t, s in odd_tokens(text):
+                    row.append(k)
+                    at.append(a)
+                    token.append(t)
+                    script.append(s)
+            index = pa.array(row, pa.int32())
+            yield pa.record_batch([*(batch.column(j).take(index) for j in range(len(keys))), pa.array(at, pa.int32()), pa.array(token, pa.string()), pa.array(script, pa.string())], names=[*keys, "at", "token", "script"])
+
+    rows = df.select(*keys, F.col(text_col).alias("text")).where(F.length("text") < F.octet_length("text"))
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at int, token string, script string")
 
 
 def normalise(df: DataFrame, keys: list[str], text_col: str = "text", rebuild: bool = True) -> DataFrame:
@@ -103,30 +160,36 @@ def normalise(df: DataFrame, keys: list[str], text_col: str = "text", rebuild: b
     must be made unique by the caller if they stand for different texts.
     """
     mapped, composed = (F.broadcast(x) for x in frames(df.sparkSession))
-    rows = suspects(df.select(*keys, F.col(text_col).alias("text")), "text").withColumn("text", F.regexp_replace("text", JOINER, ASIDE))
-    rows = rows.select(*keys, F.col("text").rlike(CYRILLIC_ONLY).alias("has_cyrillic"), F.col("text").rlike(f"{GREEK_ONLY}[Ͱ-Ͽ]").alias("has_greek"), F.posexplode(F.split("text", "(?<=[\\p{Z}\\n\\r\\t])")).alias("at", "token"))
-    t = F.col("token")
-    alone = ~t.rlike(f"[{LATIN_CLASS}]") & ((~F.col("has_cyrillic") & t.rlike(f"[{CYRILLIC}]") & ~t.rlike(CYRILLIC_ONLY)) | (~F.col("has_greek") & t.rlike(f"[{GREEK}]\\d|\\d[{GREEK}]|[{GREEK}]{{2}}|^[{GREEK}&&\\p{{Lu}}]\\.\\W*$") & ~t.rlike(GREEK_ONLY)))
-    bare = F.regexp_replace(t, f"[{INVISIBLE}]", "")
-    mixed = bare.rlike(MIXED)
-    to_latin = (mixed & ~t.rlike(CYRILLIC_ONLY) & ~t.rlike(GREEK_ONLY)) | alone
-    to_cyrillic = mixed & t.rlike(CYRILLIC_ONLY) & ~t.rlike(f"[{LATIN_ONLY}]")
-    tokens = rows.select(*keys, "at", "token", F.when(to_latin, "L").when(to_cyrillic, "C").alias("script"))
-    odd = F.col("script").isNotNull() | t.rlike(SUSPECT)
-    cps = tokens.where(odd).select(*keys, "at", "token", "script", F.posexplode(F.split("token", "")).alias("i", "c"))
+    cps = candidates(df, keys, text_col).select(*keys, "at", "script", F.posexplode(F.split("token", "")).alias("i", "c"))
     cps = cps.join(mapped, "c", "left")
     one = lambda x: F.array(F.struct(x.alias("p"), F.lit(0).alias("ccc")))
     parts = F.when((F.col("script") == "L") & F.col("latin").isNotNull(), one(F.col("latin"))).when((F.col("script") == "C") & F.col("cyrillic").isNotNull(), one(F.col("cyrillic"))).otherwise(F.coalesce("parts", one(F.col("c"))))
-    cps = cps.select(*keys, "at", "token", "i", F.posexplode_outer(parts).alias("k", "part")).select(*keys, "at", "token", "i", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("part.p", F.lit("")).alias("p"), F.coalesce("part.ccc", F.lit(0)).alias("ccc"))
+    cps = cps.select(*keys, "at", "i", "c", F.posexplode_outer(parts).alias("k", "part"))
+    cps = cps.select(*keys, "at", "i", F.coalesce("k", F.lit(0)).alias("k"), F.when(F.coalesce("k", F.lit(0)) == 0, F.col("c")).otherwise("").alias("c"), F.coalesce("part.p", F.lit("")).alias("p"), F.coalesce("part.ccc", F.lit(0)).alias("ccc"))
+    # one shuffle by token; the window and both aggregates keep its partitioning
     cps = cps.repartition(*keys, "at")
     order = Window.partitionBy(*keys, "at").orderBy("i", "k")
     groups = cps.withColumn("g", F.sum(F.when((F.col("ccc") == 0) & (F.col("p") != ""), 1).otherwise(0)).over(order))
-    sequences = groups.groupBy(*keys, "at", "g").agg(F.first("token").alias("token"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ccc", "i", "k", "p"))), lambda x: x["p"]), "").alias("nfd"))
+    text_of = lambda x, f: F.array_join(F.transform(F.sort_array(x), lambda e: e[f]), "")
+    sequences = groups.groupBy(*keys, "at", "g").agg(text_of(F.collect_list(F.struct("ccc", "i", "k", "p")), "p").alias("nfd"), text_of(F.collect_list(F.struct("i", "k", "c")), "c").alias("old"))
     sequences = sequences.join(composed, "nfd", "left").withColumn("s", F.coalesce("nfc", "nfd"))
-    made = sequences.groupBy(*keys, "at").agg(F.first("token").alias("token"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "s"))), lambda x: x["s"]), "").alias("new"))
+    made = sequences.groupBy(*keys, "at").agg(text_of(F.collect_list(F.struct("g", "s")), "s").alias("new"), text_of(F.collect_list(F.struct("g", "old")), "old").alias("token"))
     changed = made.where(F.col("new") != F.col("token"))
     if not rebuild:
         return changed.select(*keys).distinct()
-    every = tokens.select(*keys, "at", "token").join(changed.select(*keys, "at", "new"), [*keys, "at"], "left")
-    texts = every.groupBy(*keys).agg(F.max(F.col("new").isNotNull()).alias("odd"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("new", "token").alias("s")))), lambda x: x["s"]), "").alias("plain"))
-    return texts.where("odd").select(*keys, F.regexp_replace("plain", ASIDE, "\u200d").alias("plain"))
+    edits = changed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", F.length("token").alias("n"), "new"))).alias("edits"))
+    texts = df.select(*keys, F.col(text_col).alias("text")).join(edits, keys)
+    kinds = dict(df.dtypes)
+
+    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, todo in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):
+                parts, end = [], 0
+                for e in todo:
+                    parts += (text[end : e["at"]], e["new"].replace(ASIDE, "\u200d"))
+                    end = e["at"] + e["n"]
+                out.append("".join(parts) + text[end:])
+            yield pa.record_batch([*(batch.column(j) for j in range(len(keys))), pa.array(out, pa.string())], names=[*keys, "plain"])
+
+    return texts.mapInArrow(splice, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", plain string")

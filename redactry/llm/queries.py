@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, corpus, encoding, layout, lookalike, packing, spam
+from redactry.llm import bpe, chunking, corpus, encoding, langid, layout, lookalike, packing, spam
 from redactry.sources.tables import checkpointed, load
 
 
@@ -22,7 +22,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """(src, row_id, scan_id, text) of the requests and entities; a row delivered twice counts once."""
     requests = load(spark, sf, "scan_requests", "scan_id", "text").select(F.lit("scan_requests").alias("src"), F.col("scan_id").alias("row_id"), "scan_id", "text")
     entities = load(spark, sf, "detected_entities", "entity_id", "scan_id", "text_val").select(F.lit("detected_entities").alias("src"), F.col("entity_id").alias("row_id"), "scan_id", F.col("text_val").alias("text"))
-    return requests.unionByName(lookalike.suspects(entities, "text").dropDuplicates(["row_id"]))
+    return requests.unionByName(entities.where(F.length("text") < F.octet_length("text")).dropDuplicates(["row_id"]))
 
 
 def _garbled_or_noisy(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -39,10 +39,28 @@ def p2_normalised(spark: SparkSession, sf: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     found = lookalike.normalise(_texts(spark, sf), ["src", "row_id", "scan_id"], rebuild=False)
     rows = load(spark, sf, "scan_requests", "scan_id", "text")
-    others = _garbled_or_noisy(rows, lookalike.suspects(rows, "text"))
+    others = _garbled_or_noisy(rows, rows.where(F.length("text") < F.octet_length("text")))
     return found.join(others, "scan_id", "left_anti").select("src", "row_id")
 
 
+def p5_segments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "scan_requests", "scan_id", "text", "scan_language")
+    return langid.segments(rows, langid.train(rows))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "scan_requests", "scan_id", "text", "scan_language")
+    labels = F.create_map(*[F.lit(x) for pair in langid.BY_NAME.items() for x in pair])
+    low = F.lower(F.trim("scan_language"))
+    named = rows.select("scan_id", F.coalesce(F.element_at(labels, low), F.element_at(labels, F.split(low, "[-_\\s(,;/]")[0])).alias("named"))
+    texts = langid.segments(rows, langid.train(rows)).where(F.col("lang").isNotNull()).groupBy("scan_id").agg(F.collect_set("lang").alias("langs"))
+    cases = texts.join(named, "scan_id").where(F.col("named").isNull() | (F.size("langs") > 1) | (F.col("langs")[0] != F.col("named"))).select("scan_id", "langs")
+    cases = checkpointed(cases)
+    suspects = rows.select("scan_id", "text").join(cases.select("scan_id"), "scan_id", "left_semi")
+    garbled = encoding.restore_texts(suspects, encoding.train(corpus.word_counts(rows))).select("scan_id")
+    return cases.join(garbled, "scan_id", "left_anti").select("scan_id", F.explode("langs").alias("lang"))
+
+
 def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "scan_requests", "scan_id", "text")
     return layout.repair_texts(rows, layout.train(corpus.word_counts(rows)))
@@ -81,7 +99,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_pages(spark, sf).where(F.col("spam") > spam.SHARE).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_pages, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p5_segments, p5_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_pages, p10_found)}
 
 #: Queries whose result SQL can state; the others are tested in tests/llm.
 ORACLES = {
