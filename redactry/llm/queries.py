@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, corpus, encoding, langid, layout, lookalike, packing, spam
+from redactry.llm import bpe, chunking, corpus, encoding, langid, layout, lookalike, names, packing, spam
 from redactry.sources.tables import checkpointed, load
 
 
@@ -43,6 +43,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(others, "scan_id", "left_anti").select("src", "row_id")
 
 
+def p3_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "detected_entities", "entity_id", "api_key_id", "entity_type", "text_val")
+    rows = rows.where(F.col("entity_type").isin("PERSON", "ORGANIZATION")).dropDuplicates(["entity_id"])
+    return names.link(rows, "entity_id", "api_key_id", "text_val")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.same_bearer(p3_clusters(spark, sf), "entity_id", "api_key_id")
+
+
 def p5_segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "scan_requests", "scan_id", "text", "scan_language")
     return langid.segments(rows, langid.train(rows))
@@ -99,7 +109,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_pages(spark, sf).where(F.col("spam") > spam.SHARE).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p5_segments, p5_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_pages, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p3_clusters, p3_found, p5_segments, p5_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_pages, p10_found)}
 
 #: Queries whose result SQL can state; the others are tested in tests/llm.
 ORACLES = {
