@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactry.llm.arrow import Memo, map_batches
@@ -69,14 +70,29 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 def telling(sentence: str) -> list[str]:
     """The different words that show a language: written small, or all words of a line in capitals. Names are passed over."""
-    words = [w for w in (t.strip(TRIM) for t in sentence.split()) if WORD.fullmatch(w)]
-    small = [w for w in words if w.islower()]
-    big = [w for w in words if w.isupper() and len(w) > 1]
+    small, big = [], []
+    for t in sentence.split():
+        w, kind = SHAPES[t]
+        if kind == 1:
+            small.append(w)
+        elif kind == 2:
+            big.append(w)
     if len(big) > len(small) and len(big) >= LEAST_WORDS:
-        small += [w.lower() for w in big]
+        small += big
     return list(dict.fromkeys(small))
 
 
+def _shape(token: str) -> tuple[str, int]:
+    """(word, 1 if written small, 2 if in capitals, else 0)."""
+    w = token.strip(TRIM)
+    if not WORD.fullmatch(w):
+        return "", 0
+    return (w, 1) if w.islower() else (w.lower(), 2) if w.isupper() and len(w) > 1 else ("", 0)
+
+
+SHAPES = Memo(_shape)
+
+
 def grams(word: str) -> set[str]:
     """Blended spectrum of a word with its ends: which n-grams are present."""
     w = f" {word} "
@@ -173,11 +189,12 @@ def train(df: DataFrame, id_col: str = "scan_id", text_col: str = "text", label_
     """Fit on a bounded labelled sample: for each language the rows of the least hashed ids, then evenly spread sentences."""
     names = F.create_map(*[F.lit(x) for pair in BY_NAME.items() for x in pair])
     label = F.element_at(names, F.split(F.lower(F.trim(label_col)), "[-_ ]")[0])
-    ranked = df.select(label.alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") < 5000))
-    picked = [ranked.where(F.col("lang") == x).orderBy("h").limit(SAMPLE_ROWS) for x in LANGUAGES]
-    rows = picked[0]
-    for x in picked[1:]:
-        rows = rows.unionByName(x)
+    ranked = df.select(label.alias("lang"), F.xxhash64(id_col).alias("h")).where(F.col("lang").isNotNull())
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # ids and labels settle which rows, so the texts of the others are never read
+    last = ranked.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    picked = reduce(lambda x, y: x | y, [(F.col("lang") == r.lang) & (F.col("h") <= r.h) for r in last], F.lit(False))
+    rows = df.select(label.alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).where(picked & (F.length("text") < 5000))
     pools: dict[str, list[list[str]]] = {x: [] for x in LANGUAGES}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
         for a, b in sentences(r.text):
