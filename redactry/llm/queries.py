@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, corpus, encoding, langid, layout, lookalike, names, packing, spam
+from redactry.llm import bpe, chunking, corpus, encoding, langid, layout, lookalike, names, packing, pii, spam
 from redactry.sources.tables import checkpointed, load
 
 
@@ -54,6 +54,22 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.same_bearer(p3_clusters(spark, sf), "entity_id", "api_key_id")
 
 
+def _mentions(spark: SparkSession, sf: str, all_texts: bool) -> DataFrame:
+    rows = load(spark, sf, "scan_requests", "scan_id", "text")
+    entities = load(spark, sf, "detected_entities", "entity_id", "scan_id", "entity_type", "span_start", "span_end", "text_val")
+    words = corpus.word_counts(rows)
+    others = () if all_texts else (encoding.train(words), layout.train(words))
+    return pii.disclosed(checkpointed(pii.find(rows, pii.learn(words, entities), *others)), entities)
+
+
+def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.masked(load(spark, sf, "scan_requests", "scan_id", "text"), _mentions(spark, sf, all_texts=True))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mentions(spark, sf, all_texts=False).select("scan_id", "span_start", "span_end", "pii_type").distinct()
+
+
 def p5_segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "scan_requests", "scan_id", "text", "scan_language")
     return langid.segments(rows, langid.train(rows))
@@ -110,7 +126,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return p10_pages(spark, sf).where(F.col("spam") > spam.SHARE).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p3_clusters, p3_found, p5_segments, p5_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_pages, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_restored, p1_found, p2_normalised, p2_found, p3_clusters, p3_found, p4_masked, p4_found, p5_segments, p5_found, p6_repaired, p6_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_pages, p10_found)}
 
 #: Queries whose result SQL can state; the others are tested in tests/llm.
 ORACLES = {
