@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from redactry.sources.shipping import ship
@@ -18,20 +22,40 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    It is read from the session; only in local mode, where nobody set one, a
+    temporary folder takes its place.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="redactry-"))
+    return folder
+
+
+_local: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in ``spark.checkpoint.dir``.
+    """Cut the lineage: write the rows to a table in the shared folder and read them from there.
 
-    The folder must be shared by all executors. It is read from the session and
-    only set here, to a local folder, where nobody set one (tests, local mode).
+    A lost executor costs no recomputation, and unlike ``DataFrame.checkpoint`` the
+    plan runs only once. The table is removed when the driver's Python ends.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        conf = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if conf is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            import tempfile
-
-            conf = tempfile.mkdtemp(prefix="redactry-checkpoint-")
-        sc.setCheckpointDir(conf)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        sc = spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone and its shared folder with it
+        pass
