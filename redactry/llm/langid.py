@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactry.llm.arrow import Memo, map_batches
+from redactry.llm.layout import Repairer
 
 LANGUAGES = ("de", "en", "es", "fr", "pt", "ru", "vi")
 #: Customary names of the languages (two- and three-letter codes, English and own names).
@@ -68,6 +69,26 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def page_lines(text: str) -> list[tuple[int, int]]:
+    """Spans of running headers, footers and page numbers, which are no sentences of the text."""
+    lines = text.split("\n")
+    if len(lines) < 4:
+        return []
+    forms = Counter(re.sub(r"\d+", "#", s) for s in lines if s)
+    if max(forms.values(), default=0) < 2:
+        return []
+    out, at = [], 0
+    plain = PAGES.furniture(lines)
+    for k, s in enumerate(lines):
+        if k in plain:
+            out.append((at, at + len(s)))
+        at += len(s) + 1
+    return out
+
+
+PAGES = Repairer({}, 1, 1)
+
+
 def telling(sentence: str) -> list[str]:
     """The different words that show a language: written small, or all words of a line in capitals. Names are passed over."""
     small, big = [], []
@@ -170,7 +191,7 @@ def fit(labelled: list[tuple[str, list[str]]], landmarks: int = LANDMARKS, ridge
         np.add.at(lmat, (place[rows[at]], cols[at]), 1)
         lmat /= norms[marks, None]
         starts = np.searchsorted(rows, np.arange(len(use) + 1))
-        kernel = np.empty((len(use), len(marks)), np.float32)
+        kernel = np.empty((len(use), len(marks)))
         for i in range(0, len(use), 64):  # every sentence against every landmark, in small blocks
             j = min(len(use), i + 64)
             kernel[i:j] = np.add.reduceat(lmat.T[cols[starts[i] : starts[j]]], starts[i:j] - starts[i], axis=0)
@@ -233,9 +254,12 @@ def segments(df: DataFrame, model: Classifier, id_col: str = "scan_id", text_col
             words, spans, owner = [], [], []
             texts = batch.column(1).to_pylist()
             for k, text in enumerate(texts):
+                furniture = page_lines(text) if "\n" in text else []
                 for a, b in sentences(text):
                     s = text[a:b]
                     ws = telling(s)
+                    if any(x <= a and b <= y + 1 for x, y in furniture):
+                        continue
                     if len(ws) >= LEAST_WORDS and not ITEM.match(s):
                         words.append(ws)
                         spans.append((a, b))
