@@ -1 +1 @@
-
+"""Rules, expressions and validators."""

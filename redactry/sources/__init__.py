@@ -1 +1 @@
-
+"""Tables, files and the shipping of the package."""
