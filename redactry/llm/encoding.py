@@ -150,6 +150,14 @@ class Restorer:
         alone = score - own > self.margin and len(core(text)) > 2 and self.lexicon.get(core(text), 0) > RATIO * known
         return score - own, chain, text, alone
 
+    def may_be_garbled(self, text: str, tokens: list[str]) -> bool:
+        """Whether :meth:`restore` needs to look at a text that was already cut at blanks and line feeds."""
+        memo = self.memo
+        for t in tokens:
+            if not t.isascii() and (memo[t][1] or "\t" in t or "\r" in t):
+                return True
+        return LOST in text
+
     def restore(self, text: str) -> tuple[bool, str, str]:
         """(garbled, chains, restored). Beside a word that is garbled on its own, words of the same kind of chain
         follow with any gain; a run of three that gain twice the margin together also counts.

@@ -87,17 +87,34 @@ def frames(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     )
 
 
+class Suspect:
+    """Finds the characters that normalising may change: those not their own recomposed plain form, and marks.
+
+    Two patterns, as a class within the Basic Multilingual Plane is one bitmap and a wider one a list of ranges.
+    """
+
+    def __init__(self):
+        codes = sorted(ord(c) for c, parts, _, _ in tables()[0] if unicodedata.combining(c) or unicodedata.normalize("NFC", "".join(p for p, _ in parts)) != c)
+        self.low, self.high = (self.pattern([n for n in codes if (n > 0xFFFF) == wide]) for wide in (False, True))
+        self.wide = re.compile("[\U00010000-\U0010ffff]")
+
+    @staticmethod
+    def pattern(codes: list[int]) -> re.Pattern:
+        ranges: list[list[int]] = []
+        for n in codes:
+            if ranges and n == ranges[-1][1] + 1:
+                ranges[-1][1] = n
+            else:
+                ranges.append([n, n])
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+    def search(self, text: str):
+        return self.low.search(text) or (self.high.search(text) if self.wide.search(text) else None)
+
+
 @cache
-def suspect() -> re.Pattern:
-    """Matches the characters that normalising may change: those not their own recomposed plain form, and marks."""
-    codes = sorted(ord(c) for c, parts, _, _ in tables()[0] if unicodedata.combining(c) or unicodedata.normalize("NFC", "".join(p for p, _ in parts)) != c)
-    ranges: list[list[int]] = []
-    for n in codes:
-        if ranges and n == ranges[-1][1] + 1:
-            ranges[-1][1] = n
-        else:
-            ranges.append([n, n])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+def suspect() -> Suspect:
+    return Suspect()
 
 
 def odd_tokens(text: str) -> Iterator[tuple[int, str, str | None]]:

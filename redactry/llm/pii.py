@@ -56,10 +56,14 @@ LEAD = re.compile(r"(?:(?:Apt|Flat|Unit|Suite)\.?\s+\d+[A-Z]?,\s+|S[ốo]\s+|\d{
 def addresses(text: str) -> list[tuple[int, int]]:
     out = []
     for need, form in FORMS:
-        if any(w in text for w in need):
-            for m in form.finditer(text):
-                lead = LEAD.search(text, max(0, m.start() - 16), m.start())
-                out.append((lead.start() if lead else m.start(), m.end()))
+        for word in need:
+            if word in text:
+                break
+        else:
+            continue
+        for m in form.finditer(text):
+            lead = LEAD.search(text, max(0, m.start() - 16), m.start())
+            out.append((lead.start() if lead else m.start(), m.end()))
     for m in DE_NUMBER.finditer(text):
         name = DE_NAME.search(text, max(0, m.start() - 45), m.start())
         if name:
@@ -206,7 +210,7 @@ class Finder:
         """Spans of persons' names outside ``taken``."""
         raws = TOKEN.findall(text)
         infos = list(map(self.info.__getitem__, raws))
-        if not any(k[2] in _HEADS for k in infos):
+        if _HEADS.isdisjoint({k[2] for k in infos}):
             return []
         toks, at, find = [], 0, text.find
         for raw, (word, lead, kind) in zip(raws, infos):
@@ -469,8 +473,10 @@ def find(df: DataFrame, finder_parts, garbled=None, noisy=None, id_col: str = "s
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, rows = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if repairer and repairer.noisy(text) or restorer and restorer.restore(text)[0]:
-                    continue
+                if repairer:
+                    tokens = text.replace("\n", " ").split(" ")
+                    if repairer.is_noisy(text, tokens) or restorer.may_be_garbled(text, tokens) and restorer.restore(text)[0]:
+                        continue
                 got = mentions(text, finder)
                 ids.extend([i] * len(got))
                 rows.extend(got)

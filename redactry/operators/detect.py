@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactry.functions import expressions
-from redactry.functions.rules import BOOST, LONGEST, NEIGHBOURS, RULES, SNIPPET, THRESHOLD, Rule, active
+from redactry.functions.rules import BOOST, LONGEST, NEIGHBOURS, RULES, SNIPPET, THRESHOLD, Pattern, Rule, active
 
 TOKEN = re.compile(r"\w+")
 
@@ -70,11 +70,11 @@ NAMES = ["entity_type", "span_start", "span_end", "text_val", "score", "context_
 
 def detect_type(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     """(id, entity_type, span_start, span_end, text_val, score): base scores by column expressions alone, without context or validators."""
-    every = [
-        F.transform(expressions.spans(F.col("text"), p.regex), lambda x, r=r, p=p: F.struct(F.lit(r.entity_type).alias("entity_type"), x["span_start"].alias("span_start"), x["span_end"].alias("span_end"), x["text_val"].alias("text_val"), F.lit(p.score).alias("score")))
-        for r in rules
-        for p in r.patterns
-    ]
+    def found(r: Rule, p: Pattern) -> Column:
+        fields = ("span_start", "span_end", "text_val")
+        return F.transform(expressions.spans(F.col("text"), p.regex), lambda x: F.struct(F.lit(r.entity_type).alias("entity_type"), *(x[f].alias(f) for f in fields), F.lit(p.score).alias("score")))
+
+    every = [found(r, p) for r in rules for p in r.patterns]
     rows = df.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).where(F.length("text") > 0)
     return rows.select(id_col, F.explode(F.concat(*every)).alias("s")).select(id_col, "s.*")
 
