@@ -32,7 +32,9 @@ def matches(text: str, rules: tuple[tuple[Rule, list[re.Pattern]], ...], thresho
                 if r.context and score < 1:
                     before = TOKEN.findall(text[max(0, a - 400) : a])[-NEIGHBOURS:]
                     after = TOKEN.findall(text[b : b + 400])[:NEIGHBOURS]
-                    if any(t.lower() in r.context for t in before) or any(t.lower() in r.context for t in after):
+                    # a long match may hold its context; its first two words are its own keyword
+                    own = TOKEN.findall(m.group())[2:]
+                    if any(t.lower() in r.context for t in (*before, *own, *after)):
                         score = min(1.0, score + BOOST)
                 if score >= threshold:
                     out.append((r.entity_type, a, b, round(score, 3), order))
