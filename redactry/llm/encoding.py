@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from redactry.llm import corpus
 from redactry.llm.arrow import Memo, map_batches
+from redactry.sources.tables import checkpointed
 
 #: The single-byte code pages a text may have been read in, and may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1250", "cp1258")
@@ -130,6 +131,7 @@ class Restorer:
     def __init__(self, model: corpus.CharModel, lexicon: dict[str, int], margin: float = MARGIN):
         self.model, self.lexicon, self.margin = model, lexicon, margin
         self.memo = Memo(self.best)
+        self.flags = Memo(self._flag)
 
     def best(self, word: str) -> tuple[float, str, str, bool]:
         own = self.model.word(word)
@@ -152,11 +154,10 @@ class Restorer:
 
     def may_be_garbled(self, text: str, tokens: list[str]) -> bool:
         """Whether :meth:`restore` needs to look at a text that was already cut at blanks and line feeds."""
-        memo = self.memo
-        for t in tokens:
-            if not t.isascii() and (memo[t][1] or "\t" in t or "\r" in t):
-                return True
-        return LOST in text
+        return not text.isascii() and (any(map(self.flags.__getitem__, tokens)) or LOST in text)
+
+    def _flag(self, token: str) -> bool:
+        return not token.isascii() and (bool(self.memo[token][1]) or "\t" in token or "\r" in token)
 
     def restore(self, text: str) -> tuple[bool, str, str]:
         """(garbled, chains, restored). Beside a word that is garbled on its own, words of the same kind of chain
@@ -206,10 +207,12 @@ def train(words: DataFrame) -> tuple[corpus.CharModel, dict[str, int], float]:
         return step
 
     good = map_batches(words.select("key", "n"), make, "key string, n bigint")
-    model = corpus.CharModel(corpus.frequent(corpus.gram_counts(good), corpus.GRAM_SHARE))
+    grams = checkpointed(corpus.gram_counts(good))
+    model = corpus.CharModel(corpus.frequent(grams, corpus.GRAM_SHARE))
     lexicon: dict[str, int] = {}
-    for w, n in corpus.frequent(good, corpus.WORD_SHARE, 2).items():
-        lexicon[core(w)] = lexicon.get(core(w), 0) + n
+    for w, n in corpus.frequent(words, corpus.WORD_SHARE, 2).items():
+        if clean(w):
+            lexicon[core(w)] = lexicon.get(core(w), 0) + n
     # garble known words in every page that can hold them; 99 of 100 must pass
     held_out = sorted((w for w in lexicon if not w.isascii()), key=lambda w: (-lexicon[w], w))[:VALIDATED]
     gains = sorted(model.word(w) - model.word("".join(map(reading(p).__getitem__, w.encode()))) for w in held_out for p in READ_AS)

@@ -97,6 +97,11 @@ class Suspect:
         codes = sorted(ord(c) for c, parts, _, _ in tables()[0] if unicodedata.combining(c) or unicodedata.normalize("NFC", "".join(p for p, _ in parts)) != c)
         self.low, self.high = (self.pattern([n for n in codes if (n > 0xFFFF) == wide]) for wide in (False, True))
         self.wide = re.compile("[\U00010000-\U0010ffff]")
+        self.either = self.pattern(sorted({n for n in codes if n <= 0xFFFF} | {ord(c) for c in GREEK} | set(range(0x400, 0x530))))
+
+    def any(self, text: str) -> bool:
+        """Whether a text holds a suspect character or one of a foreign script; one scan of it."""
+        return self.either.search(text) is not None or self.wide.search(text) is not None
 
     @staticmethod
     def pattern(codes: list[int]) -> re.Pattern:
@@ -119,9 +124,12 @@ def suspect() -> Suspect:
 
 def odd_tokens(text: str) -> Iterator[tuple[int, str, str | None]]:
     """(offset, token with the blank behind it, script to bring it to) of the tokens that may change."""
+    odd = suspect()
+    if text.isascii() or not odd.any(text):
+        return
     if "\u200d" in text or "\u200c" in text:
         text = JOINER.sub(ASIDE, text)
-    odd, foreign = suspect(), FOREIGN.search(text) is not None
+    foreign = FOREIGN.search(text) is not None
     if not foreign and not odd.search(text):
         return
     cyrillic = foreign and CYRILLIC_ONLY.search(text) is not None
@@ -176,6 +184,13 @@ def normalise(df: DataFrame, keys: list[str], text_col: str = "text", rebuild: b
     Null, empty and ASCII texts never change; repeated keys are repeated rows and
     must be made unique by the caller if they stand for different texts.
     """
+    inner = [f"_key{k}" for k in range(len(keys))]  # so that a key may have any name
+    out = _normalise(df.select(*(F.col(k).alias(n) for k, n in zip(keys, inner)), F.col(text_col).alias("text")), inner, rebuild)
+    return out.toDF(*keys, *(["plain"] if rebuild else []))
+
+
+def _normalise(df: DataFrame, keys: list[str], rebuild: bool) -> DataFrame:
+    text_col = "text"
     mapped, composed = (F.broadcast(x) for x in frames(df.sparkSession))
     cps = candidates(df, keys, text_col).select(*keys, "at", "script", F.posexplode(F.split("token", "")).alias("i", "c"))
     cps = cps.join(mapped, "c", "left")

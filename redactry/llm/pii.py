@@ -36,7 +36,7 @@ ES_STREET = "Calle|Avenida|Avda\\.|Paseo|Travesía|Plaza|Camino|Carretera|Ronda|
 PT_STREET = "Rua|Avenida|Av\\.|Travessa|Largo|Praça|Estrada|Alameda|Beco|Calçada|Rampa|Ladeira"
 #: (words of which one must be there, the address from its number or keyword on); each begins with a digit or a fixed word, so the scan is fast.
 FORMS = tuple(
-    (tuple(need.split("|")), re.compile(form))
+    (frozenset(need.split("|")), re.compile(form))
     for need, form in (
         (EN_STREET, rf"(?<![\w/.-])\d+[A-Z]?{S}(?:{CAP}{S}){{1,3}}(?:{EN_STREET})\b\.?,{S}{NAME}(?:,?{S}[A-Z]{{1,2}}\d[A-Z\d]?{S}\d[A-Z]{{2}}|,?{S}[A-Z]{{2}}{S}\d{{5}}(?:-\d{{4}})?)?"),
         (FR_STREET, rf"(?<![\w/.-])\d+(?:{S}(?:bis|ter|quater))?,?{S}(?:{FR_STREET}){S}{JOIN}*{NAME}(?:,{S}bât\.?{S}\w+)?,{S}(?:\d{{5}}{S})?{NAME}"),
@@ -44,7 +44,7 @@ FORMS = tuple(
         ("phường|xã|trấn|phuong|xa|tran|P.|X.", rf"(?<![\w/.-])\d+[A-Za-z]?(?:/\d+)*,?{S}(?:(?:đường|phố|duong|pho|ngõ|ngo){S})?{NAME},{S}(?:phường|xã|thị{S}trấn|phuong|xa|thi{S}tran|P\.|X\.){S}{NAME}(?:,{S}(?:quận|huyện|thị{S}xã|quan|huyen|thi{S}xa|Q\.|H\.){S}{NAME})?,{S}(?:thành{S}phố|tỉnh|thanh{S}pho|tinh|TP\.?|T\.){S}{NAME}"),
         ("г.", rf"г\.{S}?{NAME},{S}ул\.{S}?{NAME},{S}(?:д\.|дом){S}?\d+\w?(?:,{S}кв\.{S}?\d+)?"),
         ("ул.", rf"ул\.{S}?{NAME},{S}(?:(?:д\.|дом){S}?)?\d+\w?(?:,{S}кв\.{S}?\d+)?(?:,{S}(?:г\.{S}?)?{NAME})?"),
-        ("ул.,", rf"\d{{5,6}},{S}(?:г\.{S}?)?{NAME},{S}{NAME}{S}ул\.,{S}(?:дом|д\.){S}?\d+\w?(?:,{S}кв\.{S}?\d+)?"),
+        ("ул.", rf"\d{{5,6}},{S}(?:г\.{S}?)?{NAME},{S}{NAME}{S}ул\.,{S}(?:дом|д\.){S}?\d+\w?(?:,{S}кв\.{S}?\d+)?"),
     )
 )
 #: A number behind a street's name, and what stands before it; and what may precede a match of FORMS.
@@ -53,13 +53,11 @@ DE_NAME = re.compile(rf"(?:(?:Am|An|Im|Auf|Zum|Zur|In)(?:{S}(?:der|dem|den))?(?:
 LEAD = re.compile(r"(?:(?:Apt|Flat|Unit|Suite)\.?\s+\d+[A-Z]?,\s+|S[ốo]\s+|\d{6},\s+)$")
 
 
-def addresses(text: str) -> list[tuple[int, int]]:
+def addresses(text: str, tokens: set[str]) -> list[tuple[int, int]]:
+    """Spans of street addresses; ``tokens`` are the text's, by which most forms are ruled out."""
     out = []
     for need, form in FORMS:
-        for word in need:
-            if word in text:
-                break
-        else:
+        if need.isdisjoint(tokens):
             continue
         for m in form.finditer(text):
             lead = LEAD.search(text, max(0, m.start() - 16), m.start())
@@ -145,6 +143,21 @@ def flatten(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     return "".join(out), start, end
 
 
+class Tokens:
+    """(start, end, word, kind) of a text's tokens, made when asked for."""
+
+    def __init__(self, starts: list[int], infos: list[tuple[str, int, str]]):
+        self.starts, self.infos = starts, infos
+
+    def __len__(self) -> int:
+        return len(self.infos)
+
+    def __getitem__(self, i: int) -> tuple[int, int, str, str]:
+        word, lead, kind = self.infos[i]
+        a = self.starts[i] + lead
+        return a, a + len(word), word, kind
+
+
 class Finder:
     """Finds mentions; knows which words are given names, surnames and plain words from corpus counts."""
 
@@ -206,19 +219,14 @@ class Finder:
                         self._by.setdefault(k, []).append(g)
         return [*self._by.get(flat[:2], ()), *self._by.get(flat[-3:], ())]
 
-    def persons_in(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Spans of persons' names outside ``taken``."""
-        raws = TOKEN.findall(text)
+    def persons_in(self, text: str, raws: list[str], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Spans of persons' names outside ``taken``; ``raws`` are the text's tokens."""
         infos = list(map(self.info.__getitem__, raws))
-        if _HEADS.isdisjoint({k[2] for k in infos}):
+        kinds = [k[2] for k in infos]
+        if _HEADS.isdisjoint(kinds):
             return []
-        toks, at, find = [], 0, text.find
-        for raw, (word, lead, kind) in zip(raws, infos):
-            at = find(raw, at)
-            if word:
-                toks.append((at + lead, at + lead + len(word), word, kind))
-            at += len(raw)
-        n, out, used = len(toks), [], -1
+        toks = Tokens([m.start() for m in TOKEN.finditer(text)], infos)
+        n, out, used = len(kinds), [], -1
         bad = sorted(taken)
         ends = [y for _, y in bad]
 
@@ -250,16 +258,14 @@ class Finder:
             j = k
             while j - 1 > used and toks[j - 1][3] == "p" and spaced(j - 1):
                 j -= 1
-            if j < k and toks[j][2] in PREPOSITIONS and (k - j > 1 or toks[j][2] == "von" or not (j and toks[j - 1][2].lower() in ("a", "à", "para", "pour", "con", "por", "com")) and any(t[2].lower() in ROMANCE for t in toks[max(0, j - 4) : j])):
+            if j < k and toks[j][2] in PREPOSITIONS and (k - j > 1 or toks[j][2] == "von" or not (j and toks[j - 1][2].lower() in ("a", "à", "para", "pour", "con", "por", "com")) and any(toks[k][2].lower() in ROMANCE for k in range(max(0, j - 4), j))):
                 j += 1
             return j
 
-        i = 0
-        while i < n:
-            a, b, word, kind = toks[i]
-            if i <= used or not free(i) or not kind:
-                i += 1
+        for i in [i for i, k in enumerate(kinds) if k in _HEADS or k == "s" and i + 1 < n and kinds[i + 1] == "i"]:
+            if i <= used or not free(i):
                 continue
+            a, b, word, kind = toks[i]
             first = last = -1
             if kind in ("f", "v", "F", "d"):
                 first, last = self._vietnamese(toks, i, kind, spaced, gap, free)
@@ -287,17 +293,14 @@ class Finder:
             elif last < 0 and kind == "s" and word[0].isupper() and i + 1 < n and toks[i + 1][3] == "i" and gap(i).strip() == "," and "\n\n" not in gap(i):
                 first, last = particles(i), i + 1
             if last < 0:
-                i += 1
                 continue
             end = toks[last][1]
             if ORG_AFTER.match(text, end) or ORG_BEFORE.search(text, max(0, toks[first][0] - 30), toks[first][0]):
-                i = last + 1
                 continue
             if toks[last][3] != "i":
                 end = toks[last][0] + len(toks[last][2].rstrip(TRAIL))
             out.append((toks[first][0], end))
             used = last
-            i = last + 1
         return out
 
     def _vietnamese(self, toks, i, kind, spaced, gap, free) -> tuple[int, int]:
@@ -363,6 +366,7 @@ def _trim(token: str) -> str:
 def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, bool, str]]:
     """(start, end, type, sure, context) of each mention; identity numbers without blanks depend on their context."""
     flat, starts, ends = flatten(text)
+    raws = TOKEN.findall(flat)
     found: list[tuple[int, int, str, bool, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -375,7 +379,7 @@ def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, bool, str]]
         for a, b in emails(flat):
             take(a, b, "EMAIL_ADDRESS")
     if DIGIT.search(flat):
-        for a, b in addresses(flat):
+        for a, b in addresses(flat, set(raws)):
             take(a, b, "FULL_ADDRESS")
         if numbers := [m.span() for m in DIGITS.finditer(flat)]:
             for form, kind in ((SSN, "US_SSN"), (PHONE, "PHONE_NUMBER"), (NATIONAL, "VN_NATIONAL_ID")):
@@ -392,7 +396,7 @@ def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, bool, str]]
                             take(*m.span(), kind, False, " ".join(names.bare(w) for w in before[-2:]))
                         elif kind == "US_SSN" or not (before and before[-1] in NO_PHONE) and 8 <= sum(map(str.isdigit, m.group())) <= 15:
                             take(*m.span(), kind)
-    for a, b in finder.persons_in(flat, taken):
+    for a, b in finder.persons_in(flat, raws, taken):
         take(a, b, "PERSON")
     if starts is not None:
         found = [(starts[a], ends[b - 1], *rest) for a, b, *rest in found]
