@@ -13,6 +13,37 @@ class Pattern:
     name: str
     regex: str
     score: float
+    #: What every match holds: a name in HINTS. Texts without it are not searched, which changes no result.
+    hint: str = ""
+
+
+#: Short scans that rule long ones out. Words are searched in any case.
+HINTS = {
+    "digit": r"\d",
+    "8 digits": r"\d{8}",
+    "group": r"[.,]\d{3}",
+    "dash group": r"\d[.\-]\d{3}",
+    "long fraction": r"\.\d{4}",
+    "dotted": r"\d\.\d{1,3}\.\d",
+    "digit run": r"\d(?:[ \-]?\d){11}",
+    "year": r"/(?:19|20)\d\d/",
+    "code": r"[A-Z][\-/]\d",
+    "contract": r"(?:HD|HĐ|NDA)[\-/]\d",
+    "at": r"@",
+    "colons": r"[0-9A-F]:[0-9A-F:]",
+    "pairs": r"[0-9A-F][:\-][0-9A-F]{2}[:\-]",
+    "plus": r"\+\d|0084",
+    "bracket": r"\(\d",
+    "dashed": r"\d{3}[ .\-]\d{3}[ .\-]\d{4}",
+    "scheme": r"://",
+    "credential": r"mật khẩu|mat khau|password|\bpin\b|mã pin|ma pin|otp",
+    "pem": r"-----BEGIN",
+    "aws": r"AKIA",
+    "sk": r"sk-",
+    "jwt": r"eyJ",
+    "house": r"Số\s",
+    "ssn": r"\d{3}-\d\d-",
+}
 
 
 @dataclass(frozen=True)
@@ -28,8 +59,8 @@ class Rule:
     validate: Callable[[str], float | None] | None = field(default=None, compare=False)
 
 
-def rule(entity_type: str, context: str, *patterns: tuple[str, float, str], validate=None) -> Rule:
-    return Rule(entity_type, tuple(Pattern(n, r, s) for n, s, r in patterns), frozenset(context.split()), validate)
+def rule(entity_type: str, context: str, *patterns: tuple, validate=None) -> Rule:
+    return Rule(entity_type, tuple(Pattern(n, r, s, h[0] if h else "") for n, s, r, *h in patterns), frozenset(context.split()), validate)
 
 
 # The patterns, scores and context words of the custom categories.
@@ -37,14 +68,14 @@ def rule(entity_type: str, context: str, *patterns: tuple[str, float, str], vali
 CUSTOM = (
     rule(
         "CONTRACT_ID", "lục luc thuận thuan mật mat bồi boi contract agreement nda clause",
-        ("prefix, year, code", 0.75, r"\b(?:HD|HĐ|NDA)[-/][0-9]{4}[-/][A-Z0-9]{2,8}\b"),
-        ("number, year, code", 0.6, r"\b\d{1,4}/(?:19|20)\d{2}/[A-ZĐ]{2,10}\b"),
-        ("generic code", 0.3, r"\b[A-Z]{2,6}[-/]\d{2,4}[-/][A-Z0-9]{2,10}\b"),
+        ("prefix, year, code", 0.75, r"\b(?:HD|HĐ|NDA)[-/][0-9]{4}[-/][A-Z0-9]{2,8}\b", "contract"),
+        ("number, year, code", 0.6, r"\b\d{1,4}/(?:19|20)\d{2}/[A-ZĐ]{2,10}\b", "year"),
+        ("generic code", 0.3, r"\b[A-Z]{2,6}[-/]\d{2,4}[-/][A-Z0-9]{2,10}\b", "code"),
     ),
     rule(
         "INTERNAL_TAX_CODE", "thuế thue mst tax code doanh nghiệp nghiep",
-        ("10 digits, no mobile prefix", 0.25, r"\b0(?![35789])\d{9}\b|\b[1-9]\d{9}\b"),
-        ("13 digits with branch", 0.4, r"\b\d{10}-\d{3}\b"),
+        ("10 digits, no mobile prefix", 0.25, r"\b0(?![35789])\d{9}\b|\b[1-9]\d{9}\b", "8 digits"),
+        ("13 digits with branch", 0.4, r"\b\d{10}-\d{3}\b", "8 digits"),
     ),
     rule(
         "FINANCIAL_METRIC", "lương luong nhuận nhuan phí phi ngân ngan phạt phat salary revenue budget",
@@ -56,10 +87,10 @@ CUSTOM = (
     ),
     rule(
         "INFRA_SECRET", "secret key token password credential connection string database api",
-        ("cloud access key id", 0.9, r"\bAKIA[0-9A-Z]{16}\b"),
-        ("sk- key", 0.75, r"\bsk-[A-Za-z0-9_-]{20,}\b"),
-        ("web token", 0.8, r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b"),
-        ("database address", 0.85, r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s'\"]{5,}\b"),
+        ("cloud access key id", 0.9, r"\bAKIA[0-9A-Z]{16}\b", "aws"),
+        ("sk- key", 0.75, r"\bsk-[A-Za-z0-9_-]{20,}\b", "sk"),
+        ("web token", 0.8, r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "jwt"),
+        ("database address", 0.85, r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s'\"]{5,}\b", "scheme"),
         ("assigned secret", 0.4, r"(?:api[_-]?key|secret|token|password|pwd)\s*[:=]\s*['\"]?[A-Za-z0-9\-_.]{6,}['\"]?"),
     ),
     rule(
@@ -68,62 +99,62 @@ CUSTOM = (
     ),
     rule(
         "CRYPTO_PRIVATE_KEY", "certificate private ssl tls key",
-        ("PEM header", 0.95, r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
+        ("PEM header", 0.95, r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY(?: BLOCK)?-----", "pem"),
     ),
     rule(
         "INFRA_NETWORK_MAP", "server subnet vpc gateway router mạng mang hạ tầng tang firewall network",
-        ("private IPv4", 0.55, r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})(?:/\d{1,2})?\b"),
-        ("IPv4 block", 0.5, r"\b(?:\d{1,3}\.){3}\d{1,3}/\d{1,2}\b"),
+        ("private IPv4", 0.55, r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})(?:/\d{1,2})?\b", "dotted"),
+        ("IPv4 block", 0.5, r"\b(?:\d{1,3}\.){3}\d{1,3}/\d{1,2}\b", "dotted"),
     ),
     rule(
         "GPS_LOCATION", "toạ toa vĩ vi gps location lat long coordinates",
-        ("decimal pair", 0.25, r"-?\b\d{1,3}\.\d{4,8}\b,\s*-?\b\d{1,3}\.\d{4,8}\b"),
+        ("decimal pair", 0.25, r"-?\b\d{1,3}\.\d{4,8}\b,\s*-?\b\d{1,3}\.\d{4,8}\b", "long fraction"),
     ),
     rule(
         "FINANCIAL_CREDENTIAL", "ngân ngan hàng hang tài tai khoản khoan thẻ the stk banking account card",
-        ("assigned credential", 0.4, r"(?:mật khẩu|mat khau|password|mã pin|ma pin|\bpin\b|mã otp|ma otp|\botp\b).{0,60}?(?:là\s*[:]?|[:=])\s*['\"]?[A-Za-z0-9]{4,12}['\"]?"),
+        ("assigned credential", 0.4, r"(?:mật khẩu|mat khau|password|mã pin|ma pin|\bpin\b|mã otp|ma otp|\botp\b).{0,60}?(?:là\s*[:]?|[:=])\s*['\"]?[A-Za-z0-9]{4,12}['\"]?", "credential"),
     ),
     rule(
         "VN_NATIONAL_ID", "căn cước cccd cmnd cmtnd định danh chiếu chieu",
-        ("12 digits", 0.4, r"\b\d{3}[0-3]\d{8}\b"),
-        ("9 digits", 0.15, r"\b\d{9}\b"),
+        ("12 digits", 0.4, r"\b\d{3}[0-3]\d{8}\b", "8 digits"),
+        ("9 digits", 0.15, r"\b\d{9}\b", "8 digits"),
     ),
     rule(
         "PHONE_NUMBER", "điện thoại sđt phone mobile call",
-        ("Vietnamese mobile", 0.75, r"\b0[35789]\d{8}\b"),
-        ("Vietnamese mobile, international", 0.75, r"(?:\+84|0084)[35789]\d{8}\b"),
+        ("Vietnamese mobile", 0.75, r"\b0[35789]\d{8}\b", "8 digits"),
+        ("Vietnamese mobile, international", 0.75, r"(?:\+84|0084)[35789]\d{8}\b", "plus"),
     ),
     rule(
         "BANK_ACCOUNT_NUMBER", "tài khoản stk account chuyển beneficiary iban",
-        ("grouped digits", 0.25, r"\b\d{2,4}[.\-]\d{3,4}[.\-]\d{3,6}\b"),
-        ("bare digits", 0.15, r"\b\d{8,16}\b"),
+        ("grouped digits", 0.25, r"\b\d{2,4}[.\-]\d{3,4}[.\-]\d{3,6}\b", "dash group"),
+        ("bare digits", 0.15, r"\b\d{8,16}\b", "8 digits"),
     ),
     rule(
         "FULL_ADDRESS", "địa chỉ address trụ sở",
-        ("numbered, with districts", 0.4, r"\bSố\s+\d+[A-Za-z]?[^\n.;]{0,60}?(?:,\s*(?:phường|xã|thị trấn|quận|huyện|thành phố|tỉnh|tp\.?)\s+[^\n,.;]{2,40}){1,4}"),
+        ("numbered, with districts", 0.4, r"\bSố\s+\d+[A-Za-z]?[^\n.;]{0,60}?(?:,\s*(?:phường|xã|thị trấn|quận|huyện|thành phố|tỉnh|tp\.?)\s+[^\n,.;]{2,40}){1,4}", "house"),
     ),
 )
 
 # Our own definitions, from public standards, of the general categories.
 GENERAL = (
-    rule("EMAIL_ADDRESS", "email mail contact", ("dot-atom at domain", 1.0, r"\b[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}\b")),
+    rule("EMAIL_ADDRESS", "email mail contact", ("dot-atom at domain", 1.0, r"\b[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}\b", "at")),
     rule(
         "PHONE_NUMBER", "phone call mobile tel fax number",
-        ("E.164", 0.4, r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}\b"),
-        ("national, bracketed", 0.4, r"\(\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}\b"),
-        ("national, grouped", 0.4, r"\b\d{3}[ .\-]\d{3}[ .\-]\d{4}\b"),
+        ("E.164", 0.4, r"\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}\b", "plus"),
+        ("national, bracketed", 0.4, r"\(\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}\b", "bracket"),
+        ("national, grouped", 0.4, r"\b\d{3}[ .\-]\d{3}[ .\-]\d{4}\b", "dashed"),
     ),
-    rule("URL", "website link url", ("scheme", 0.6, r"\bhttps?://[^\s<>\"']+"), ("bare domain", 0.5, r"\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+(?:com|org|net|edu|gov|io|info|biz|vn|uk|de|fr|es|br|in|ca|il)\b(?:/[^\s<>\"']*)?")),
+    rule("URL", "website link url", ("scheme", 0.6, r"\bhttps?://[^\s<>\"']+", "scheme"), ("bare domain", 0.5, r"\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+(?:com|org|net|edu|gov|io|info|biz|vn|uk|de|fr|es|br|in|ca|il)\b(?:/[^\s<>\"']*)?")),
     rule(
         "IP_ADDRESS", "ip address server host",
-        ("IPv4", 0.6, r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"),
-        ("IPv6", 0.6, r"\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}\b"),
+        ("IPv4", 0.6, r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", "dotted"),
+        ("IPv6", 0.6, r"\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}\b", "colons"),
     ),
-    rule("CREDIT_CARD", "card credit visa mastercard", ("12 to 19 digits", 0.3, r"\b\d(?:[ \-]?\d){11,18}\b"), validate=validators.credit_card),
+    rule("CREDIT_CARD", "card credit visa mastercard", ("12 to 19 digits", 0.3, r"\b\d(?:[ \-]?\d){11,18}\b", "digit run"), validate=validators.credit_card),
     rule("IBAN_CODE", "iban bank account", ("country, check, account", 0.5, r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}\b"), validate=validators.iban),
     rule("CRYPTO", "wallet btc bitcoin crypto", ("Base58 or Bech32", 0.5, r"\b(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[a-z0-9]{11,71})\b"), validate=validators.crypto),
-    rule("MAC_ADDRESS", "mac address hardware", ("six pairs", 0.6, r"\b(?:[0-9A-F]{2}[:\-]){5}[0-9A-F]{2}\b")),
-    rule("US_SSN", "ssn social security", ("area, group, serial", 0.85, r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}\b")),
+    rule("MAC_ADDRESS", "mac address hardware", ("six pairs", 0.6, r"\b(?:[0-9A-F]{2}[:\-]){5}[0-9A-F]{2}\b", "pairs")),
+    rule("US_SSN", "ssn social security", ("area, group, serial", 0.85, r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}\b", "ssn")),
 )
 RULES = CUSTOM + GENERAL
 

@@ -10,17 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactry.functions import expressions
-from redactry.functions.rules import BOOST, LONGEST, NEIGHBOURS, RULES, SNIPPET, THRESHOLD, Pattern, Rule, active
+from redactry.functions.rules import BOOST, HINTS, LONGEST, NEIGHBOURS, RULES, SNIPPET, THRESHOLD, Pattern, Rule, active
+from redactry.sources.tables import spread
 
 TOKEN = re.compile(r"\w+")
+HINTED = {name: re.compile(rx, re.I) for name, rx in HINTS.items()}
 
 
 def matches(text: str, rules: tuple[tuple[Rule, list[re.Pattern]], ...], threshold: float) -> list[tuple]:
     """(entity_type, start, end, score, ord) of one text. ``ord`` numbers the patterns, so ties have an order."""
-    out, order, tokens = [], 0, None
+    out, order, holds = [], 0, {}
     for r, compiled in rules:
         for p, rx in zip(r.patterns, compiled):
             order += 1
+            if p.hint:
+                if p.hint not in holds:
+                    holds[p.hint] = HINTED[p.hint].search(text) is not None
+                if not holds[p.hint]:
+                    continue
             for m in rx.finditer(text):
                 a, b = m.span()
                 score = p.score
@@ -64,7 +71,7 @@ def detect(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] =
             yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int32())), *map(pa.array, cols, types)], names=["id", *NAMES])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    return rows.mapInArrow(run, f"id {kind}, entity_type string, span_start int, span_end int, text_val string, score double, context_snippet string, ord int").withColumnRenamed("id", id_col)
+    return (rows if rows.isStreaming else spread(rows)).mapInArrow(run, f"id {kind}, entity_type string, span_start int, span_end int, text_val string, score double, context_snippet string, ord int").withColumnRenamed("id", id_col)
 
 
 NAMES = ["entity_type", "span_start", "span_end", "text_val", "score", "context_snippet", "ord"]
