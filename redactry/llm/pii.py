@@ -258,7 +258,9 @@ class Finder:
             j = k
             while j - 1 > used and toks[j - 1][3] == "p" and spaced(j - 1):
                 j -= 1
-            if j < k and toks[j][2] in PREPOSITIONS and (k - j > 1 or toks[j][2] == "von" or not (j and toks[j - 1][2].lower() in ("a", "à", "para", "pour", "con", "por", "com")) and any(toks[k][2].lower() in ROMANCE for k in range(max(0, j - 4), j))):
+            if k - j > 1:
+                j = k - 2 if (toks[k - 2][2].lower(), toks[k - 1][2].lower()) in DOUBLE else k - 1
+            elif j < k and toks[j][2] in PREPOSITIONS and (toks[j][2] == "von" or not (j and toks[j - 1][2].lower() in ("a", "à", "para", "pour", "con", "por", "com")) and any(toks[x][2].lower() in ROMANCE for x in range(max(0, j - 4), j))):
                 j += 1
             return j
 
@@ -349,6 +351,7 @@ class Finder:
 _HEADS = frozenset("ghfFivd")
 #: Prepositions that may also be particles of a surname, and words by which a Romance sentence shows.
 PREPOSITIONS = frozenset(("de", "von", "di", "du", "del", "da"))
+DOUBLE = frozenset((("van", "der"), ("van", "den"), ("van", "de"), ("von", "der"), ("de", "la"), ("de", "los"), ("de", "las")))
 ROMANCE = frozenset("el la le les los las o os as un una une um uma que fue foi était documento carte pida peça merci demander et y e para pour a à se por".split())
 #: Family names that are words of some language without their marks; a Vietnamese name must follow.
 SHORT_FAMILY = frozenset("do le la ha ho ly ta dao cao mai lam phan dang dinh vu vo ngo doan".split())
