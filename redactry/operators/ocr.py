@@ -43,9 +43,9 @@ def boxes_of_spans(spans: DataFrame, placed: DataFrame, id_col: str) -> DataFram
     Spans that overlap no word come out with n_words 0 and null boxes, so a caller can fail closed.
     """
     s = spans.select(id_col, "span_start", "span_end", "entity_type").distinct()
-    w = placed.select(F.col(id_col).alias("_id"), F.col("span_start").alias("_a"), F.col("span_end").alias("_b"), "x0", "y0", "x1", "y1")
-    hit = (s[id_col] == w["_id"]) & (w["_a"] < s["span_end"]) & (w["_b"] > s["span_start"])
-    return s.join(w, hit, "left").groupBy(id_col, "span_start", "span_end", "entity_type").agg(F.count("_id").alias("n_words"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    w = placed.select(F.col(id_col).alias("__word_id"), F.col("span_start").alias("__word_a"), F.col("span_end").alias("__word_b"), "x0", "y0", "x1", "y1")
+    hit = (s[id_col] == w["__word_id"]) & (w["__word_a"] < s["span_end"]) & (w["__word_b"] > s["span_start"])
+    return s.join(w, hit, "left").groupBy(id_col, "span_start", "span_end", "entity_type").agg(F.count("__word_id").alias("n_words"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def located(boxes: DataFrame, id_col: str) -> DataFrame:

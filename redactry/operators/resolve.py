@@ -30,8 +30,8 @@ def union_overlapping(spans: DataFrame, id_col: str) -> DataFrame:
 
 def drop_overlapped(base: DataFrame, deep: DataFrame, id_col: str, types: tuple[str, ...] = COMPETING) -> DataFrame:
     """Rows of ``base`` except those of a competing type that a competing span of ``deep`` overlaps; touching is no overlap."""
-    d = deep.where(F.col("entity_type").isin(*types)).select(F.col(id_col).alias("_id"), F.col("span_start").alias("_a"), F.col("span_end").alias("_b"))
-    hit = (F.col(id_col) == F.col("_id")) & (F.col("span_start") < F.col("_b")) & (F.col("_a") < F.col("span_end")) & F.col("entity_type").isin(*types)
+    d = deep.where(F.col("entity_type").isin(*types)).select(F.col(id_col).alias("__deep_id"), F.col("span_start").alias("__deep_a"), F.col("span_end").alias("__deep_b"))
+    hit = (F.col(id_col) == F.col("__deep_id")) & (F.col("span_start") < F.col("__deep_b")) & (F.col("__deep_a") < F.col("span_end")) & F.col("entity_type").isin(*types)
     return base.join(d, hit, "left_anti")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from redactry.functions import expressions, rules
 from redactry.operators import detect, govern, mask, ner, ocr, resolve, risk
+from redactry.plans import api
 from redactry.sources.tables import load
 
 QUERIES: dict = {}
@@ -127,6 +128,19 @@ def scan_entities(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.best_per_span(found, "scan_id").drop("ord")
 
 
+@query()
+def scan_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole answers as JSON: status, entities in order, masked text."""
+    rows = requests(spark, sf)
+    return api.as_json(api.scan(rows, "scan_id", "text", anonymize=True, language_col="scan_language", languages=("en", "vi", "de", "fr", "es", "pt", "ru")))
+
+
+@query(ONCE + "SELECT count(*) FILTER (entity_type IN (" + ", ".join(f"'{t}'" for t in sorted({r.entity_type for r in rules.CUSTOM})) + ")) AS custom_hits, count(*) AS hits FROM once")
+def custom_hits(spark: SparkSession, sf: str) -> DataFrame:
+    own = sorted({r.entity_type for r in rules.CUSTOM})
+    return entities(spark, sf).agg(F.count(F.when(F.col("entity_type").isin(*own), 1)).alias("custom_hits"), F.count("*").alias("hits"))
+
+
 @query()
 def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     found = detect.detect(load(spark, sf, "documents", "doc_id", "text"), "doc_id", "text", threshold=rules.CORPUS_THRESHOLD)
