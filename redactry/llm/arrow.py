@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from redactry.sources.tables import spread
+
 
 class Memo(dict):
     """Bounded memo of a pure function; emptied when full, so its memory is bounded."""
@@ -33,4 +35,4 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

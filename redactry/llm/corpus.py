@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactry.sources.tables import checkpointed
+from redactry.sources.tables import checkpointed, spread
 
 #: Distinct words a task holds before it hands on its partial counts.
 HELD = 400_000
@@ -45,7 +45,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     Counted per task before the shuffle, so a word in every text costs one row per task.
     The result is checkpointed, as its users read it more than once.
     """
-    partial = df.select(F.col(text_col).alias("text")).mapInArrow(_counted, "key string, n bigint")
+    partial = spread(df.select(F.col(text_col).alias("text"))).mapInArrow(_counted, "key string, n bigint")
     return checkpointed(partial.groupBy("key").agg(F.sum("n").alias("n")))
 
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from redactry.sources.tables import spread
+
 #: Letters of other scripts that look like Latin ones, in the order of the Latin letters beside them.
 CYRILLIC, AS_LATIN = "АВЕКМНОРСТХУІЈЅаеорсухіјѕһԁԛԝ", "ABEKMHOPCTXYIJSaeopcyxijshdqw"
 GREEK, GREEK_AS_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο", "ABEZHIKMNOPTYXvo"
@@ -166,7 +168,7 @@ def candidates(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
             yield pa.record_batch([*(batch.column(j).take(index) for j in range(len(keys))), pa.array(at, pa.int32()), pa.array(token, pa.string()), pa.array(script, pa.string())], names=[*keys, "at", "token", "script"])
 
     rows = df.select(*keys, F.col(text_col).alias("text")).where(F.length("text") < F.octet_length("text"))
-    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at int, token string, script string")
+    return spread(rows).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at int, token string, script string")
 
 
 def normalise(df: DataFrame, keys: list[str], text_col: str = "text", rebuild: bool = True) -> DataFrame:
