@@ -312,7 +312,7 @@ PLACED = """WITH seps AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN '' WH
     placed AS (SELECT *, (sum(length(text) + length(sep)) OVER (PARTITION BY scan_id ORDER BY word_id))::INT AS span_end FROM seps) """
 
 
-@query(PLACED + "SELECT scan_id, word_id, text, span_end - length(text) AS span_start, span_end FROM placed")
+@query(PLACED + "SELECT scan_id, word_id, text, (span_end - length(text))::INT AS span_start, span_end FROM placed")
 def ocr_word_spans(spark: SparkSession, sf: str) -> DataFrame:
     return ocr_words(spark, sf).select("scan_id", "word_id", "text", "span_start", "span_end")
 
@@ -338,7 +338,7 @@ def entities_located(spark: SparkSession, sf: str) -> DataFrame:
     return ocr.located(entity_boxes(spark, sf), "scan_id")
 
 
-@query("SELECT o_orderkey, 'word ' || o_orderkey AS text, (o_custkey % 1000) * 2.0 AS x0, (o_orderkey % 1000) * 1.0 AS y0, (o_custkey % 1000 + 50) * 2.0 AS x1, (o_orderkey % 1000 + 20) * 1.0 AS y1 FROM orders")
+@query("SELECT o_orderkey, 'word ' || o_orderkey AS text, ((o_custkey % 1000) * 2)::DOUBLE AS x0, (o_orderkey % 1000)::DOUBLE AS y0, ((o_custkey % 1000 + 50) * 2)::DOUBLE AS x1, (o_orderkey % 1000 + 20)::DOUBLE AS y1 FROM orders")
 def boxes_from_json(spark: SparkSession, sf: str) -> DataFrame:
     """Answers with a fence, drifting names and broken items; the good item of each is kept and scaled to the page."""
     k, c = F.col("o_orderkey") % 1000, F.col("o_custkey") % 1000
