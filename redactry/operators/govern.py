@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactry.operators.running import running_total
+
 # Lifetime quotas, calls a minute of the engines, window, slack, attempts, pauses, transient statuses.
 QUOTAS = {"deep_scan": 50, "ocr_api": 30}
 PER_MINUTE = {"gemini": 10, "openai": 60, "grok": 60}
@@ -27,9 +29,9 @@ def once(events: DataFrame, id_col: str = "usage_id") -> DataFrame:
 
 def admitted(events: DataFrame, key_col: str, kind_col: str, time_col: str, id_col: str) -> DataFrame:
     """Events with ``nth`` of its key and kind, and ``admitted``: within the lifetime quota; kinds without one always are."""
-    nth = F.row_number().over(Window.partitionBy(key_col, kind_col).orderBy(time_col, id_col))
     quota = F.create_map(*[F.lit(x) for p in QUOTAS.items() for x in p])
-    return events.withColumn("nth", nth).withColumn("admitted", F.coalesce(F.col("nth") <= F.element_at(quota, F.col(kind_col)), F.lit(True)))
+    out = running_total(events, [key_col, kind_col], [F.col(time_col), F.col(id_col)], F.lit(1), "nth").withColumn("nth", F.col("nth").cast("int"))
+    return out.withColumn("admitted", F.coalesce(F.col("nth") <= F.element_at(quota, F.col(kind_col)), F.lit(True)))
 
 
 def usage(events: DataFrame, key_col: str, kind_col: str) -> DataFrame:
@@ -49,10 +51,17 @@ def registered(accounts: DataFrame, new: DataFrame, email_col: str) -> DataFrame
 
 
 def arrivals(events: DataFrame, key_col: str, time_col: str, seconds: int = WINDOW_S) -> DataFrame:
-    """Events with ``in_window``: arrivals of their key in the window that ends with them, open at its start."""
+    """Events with ``in_window``: arrivals of their key in the window that ends with them, open at its start.
+
+    Time is cut into stretches as long as the window, and each event also goes to
+    the stretch after its own, so a key's events are counted stretch by stretch
+    and a hot key is spread over time.
+    """
+    size = seconds * 1_000_000
     at = F.unix_micros(time_col)
-    w = Window.partitionBy(key_col).orderBy(at).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("in_window", F.count("*").over(w))
+    rows = events.withColumn("__at", at).withColumn("__own", F.floor(F.col("__at") / size)).withColumn("__cell", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    w = Window.partitionBy(key_col, "__cell").orderBy("__at").rangeBetween(-(size - 1), 0)
+    return rows.withColumn("in_window", F.count("*").over(w)).where("__cell = __own").drop("__at", "__own", "__cell")
 
 
 class Limiter:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactry.functions.rules import SEVERITY
+from redactry.operators.running import running_total
 
 
 def weighed(spans: DataFrame) -> DataFrame:
@@ -27,19 +28,8 @@ def document_risk(docs: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
 
 
 def ranked(risk: DataFrame, id_col: str) -> DataFrame:
-    """With ``risk_rank``: the riskiest first, ties by id.
-
-    A rank over everything needs one order. The table is sorted by range, each
-    partition counts its rows, and ranks are the partition's start plus the place
-    in it, so no task holds the whole table.
-    """
-    from redactry.sources.tables import checkpointed
-
-    order = checkpointed(risk.orderBy(F.col("risk_score").desc(), F.col(id_col)).withColumn("_p", F.spark_partition_id()))
-    starts = order.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.col("risk_score").desc(), F.col(id_col)))
-    return order.join(F.broadcast(starts), "_p").withColumn("risk_rank", (F.col("_before") + place).cast("bigint")).drop("_p", "_before")
+    """With ``risk_rank``: the riskiest first, ties by id. No task holds the whole table."""
+    return running_total(risk, [], [F.col("risk_score").desc(), F.col(id_col)], F.lit(1), "risk_rank").withColumn("risk_rank", F.col("risk_rank").cast("bigint"))
 
 
 def corpus_totals(spans: DataFrame) -> DataFrame:
@@ -60,11 +50,10 @@ def report(risk: DataFrame, totals: DataFrame, id_col: str, top: int = 100) -> s
 def nearest_rank(df: DataFrame, group_col: str, value_col: str, share: float = 0.95) -> DataFrame:
     """(group, mean, nearest_rank): the value at place int(n * share), at least the first; nulls don't count.
 
-    The place is found on counts of equal values, so a group's rows are summed before they meet.
+    Equal values are counted first, and the place is found on running totals of the counts.
     """
     counts = df.where(F.col(value_col).isNotNull()).groupBy(group_col, value_col).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(group_col)
-    upto = F.sum("_n").over(w.orderBy(value_col))
-    place = F.greatest(F.floor(F.sum("_n").over(w) * share), F.lit(1))
-    marked = counts.withColumn("_upto", upto).withColumn("_place", place)
-    return marked.groupBy(group_col).agg((F.sum(F.col(value_col) * F.col("_n")) / F.sum("_n")).alias("mean"), F.min(F.when(F.col("_upto") >= F.col("_place"), F.col(value_col))).alias("nearest_rank"))
+    upto = running_total(counts, [group_col], [F.col(value_col)], F.col("_n"), "_upto")
+    totals = counts.groupBy(group_col).agg((F.sum(F.col(value_col) * F.col("_n")) / F.sum("_n")).alias("mean"), F.greatest(F.floor(F.sum("_n") * share), F.lit(1)).alias("_place"))
+    joined = upto.withColumnRenamed(group_col, "_g").join(totals, F.col("_g").eqNullSafe(F.col(group_col)))
+    return joined.groupBy(group_col).agg(F.first("mean").alias("mean"), F.min(F.when(F.col("_upto") >= F.col("_place"), F.col(value_col))).alias("nearest_rank"))
