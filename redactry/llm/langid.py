@@ -74,7 +74,7 @@ def page_lines(text: str) -> list[tuple[int, int]]:
     lines = text.split("\n")
     if len(lines) < 4:
         return []
-    forms = Counter(re.sub(r"\d+", "#", s) for s in lines if s)
+    forms = Counter(re.sub(r"\d+", "#", s) for s in lines if len(s) < 100 and s and s[0] not in "-*•" and not s[0].islower())
     if max(forms.values(), default=0) < 2:
         return []
     out, at = [], 0
@@ -91,13 +91,9 @@ PAGES = Repairer({}, 1, 1)
 
 def telling(sentence: str) -> list[str]:
     """The different words that show a language: written small, or all words of a line in capitals. Names are passed over."""
-    small, big = [], []
-    for t in sentence.split():
-        w, kind = SHAPES[t]
-        if kind == 1:
-            small.append(w)
-        elif kind == 2:
-            big.append(w)
+    shapes = [SHAPES[t] for t in sentence.split()]
+    small = [w for w, kind in shapes if kind == 1]
+    big = [w for w, kind in shapes if kind == 2]
     if len(big) > len(small) and len(big) >= LEAST_WORDS:
         small += big
     return list(dict.fromkeys(small))
