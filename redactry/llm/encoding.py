@@ -132,6 +132,7 @@ class Restorer:
         self.model, self.lexicon, self.margin = model, lexicon, margin
         self.memo = Memo(self.best)
         self.flags = Memo(self._flag)
+        self.by_length: dict[int, list[str]] | None = None
 
     def best(self, word: str) -> tuple[float, str, str, bool]:
         own = self.model.word(word)
@@ -152,6 +153,28 @@ class Restorer:
         alone = score - own > self.margin and len(core(text)) > 2 and self.lexicon.get(core(text), 0) > RATIO * known
         return score - own, chain, text, alone
 
+    def refilled(self, word: str, begins: bool) -> str:
+        """A word with lost letters, filled in if the corpus knows one word that fits far better than any other; else as it is.
+
+        ``begins`` says that the word begins a sentence, where a lost first letter is a capital.
+        """
+        low = core(word)
+        if LOST not in low or len(low) < 3 or all(c == LOST for c in low):
+            return word
+        if self.by_length is None:
+            self.by_length = {}
+            for w in self.lexicon:
+                self.by_length.setdefault(len(w), []).append(w)
+        form = re.compile("".join("[^\\x00-\\x7f]" if c == LOST else re.escape(c) for c in low))
+        fits = sorted((w for w in self.by_length.get(len(low), ()) if form.fullmatch(w)), key=self.lexicon.get, reverse=True)
+        if not fits or len(fits) > 1 and self.lexicon[fits[0]] < RATIO * 4 * self.lexicon[fits[1]]:
+            return word
+        at = word.lower().index(low)
+        inner, best = word[at : at + len(low)], fits[0]
+        loud = inner.replace(LOST, "").isupper() and len(inner) > 2
+        letters = (b.upper() if loud or k == 0 and begins else b if a == LOST else a for k, (a, b) in enumerate(zip(inner, best)))
+        return word[:at] + "".join(x if a == LOST else a for a, x in zip(inner, letters)) + word[at + len(low) :]
+
     def may_be_garbled(self, text: str, tokens: list[str]) -> bool:
         """Whether :meth:`restore` needs to look at a text that was already cut at blanks and line feeds."""
         return not text.isascii() and (any(map(self.flags.__getitem__, tokens)) or LOST in text)
@@ -162,7 +185,7 @@ class Restorer:
     def restore(self, text: str) -> tuple[bool, str, str]:
         """(garbled, chains, restored). Beside a word that is garbled on its own, words of the same kind of chain
         follow with any gain; a run of three that gain twice the margin together also counts.
-        U+FFFD marks a text as garbled for good."""
+        U+FFFD marks a text as garbled; what it stands for is filled in where the corpus leaves no doubt."""
         if text.isascii():
             return False, "", text
         memo, found = self.memo, []
@@ -184,8 +207,18 @@ class Restorer:
             elif j - i > 2 and sum(f[2] for f in run) > 2 * self.margin and sum(core(f[4]) in self.lexicon for f in run) * 2 > len(run):
                 keep.extend(run)
             i = j
+        lost = LOST in text
+        if lost:
+            taken = {f[0] for f in keep}
+            for m in WORD.finditer(text):
+                if LOST in m.group() and m.start() not in taken:
+                    before = text[: m.start()].rstrip()
+                    new = self.refilled(m.group(), not before or before[-1] in ".!?:")
+                    if new != m.group():
+                        keep.append((m.start(), m.end(), 0.0, LOST, new, False))
+            keep.sort()
         if not keep:
-            return LOST in text, LOST if LOST in text else "", text
+            return lost, LOST if lost else "", text
         out, at = [], 0
         for a, b, _, _, new, _ in keep:
             out += (text[at:a], new)

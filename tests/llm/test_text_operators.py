@@ -49,6 +49,7 @@ def test_nested_and_single_byte_pages(restorer):
     assert restorer.restore(twice)[2] == SENTENCES[1]
     assert restorer.restore(SENTENCES[0].encode("cp1252").decode("cp1251"))[2] == SENTENCES[0]
     assert restorer.restore("Kr�henweg")[0] and restorer.restore("Kr�henweg")[2] == "Kr�henweg"
+    assert restorer.restore("Die Pr�fstelle h�lt. �bliche T�ren")[2] == "Die Prüfstelle hält. Übliche Türen"
 
 
 @pytest.mark.parametrize("clean", [*SENTENCES, "ATENÇÃO: INFORMAÇÃO SOBRE À VÉRIFIER À L'ÂGE", "señal Ñ-63", "Ångström α β 10 €", "x" * 100_000])
