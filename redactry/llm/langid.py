@@ -29,8 +29,8 @@ NAMES = {
 BY_NAME = {name: lang for lang, names in NAMES.items() for name in names.split()}
 #: Orders of the blended spectrum (and the whole word), ridge.
 ORDERS, RIDGE = (1, 2, 3, 4, 5), 1e-4
-#: Bounds of the labelled sample: rows and sentences per language; landmarks.
-SAMPLE_ROWS, SAMPLE_SENTENCES, LANDMARKS = 400, 1200, 700
+#: Bounds of the labelled sample: rows and sentences per language, characters read of a row; landmarks.
+SAMPLE_ROWS, SAMPLE_SENTENCES, SAMPLE_CHARS, LANDMARKS = 400, 1200, 5000, 700
 #: Words by which a sentence shows its language, at least; and how far its score must lead.
 LEAST_WORDS, LEAD = 3, 0.6
 #: A lead of this many score units is a confidence of about 0.73.
@@ -133,9 +133,6 @@ class Classifier:
 
     def _word(self, word: str) -> int:
         k = len(self.memo)
-        if k >= 200_000:
-            self.memo.clear()
-            k = 0
         if k >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         gs = grams(word)
@@ -150,7 +147,10 @@ class Classifier:
         return k
 
     def score(self, batches: list[list[str]]) -> np.ndarray:
-        """Scores of sentences given by their telling words; none may be empty."""
+        """Scores of sentences given by their telling words; none may be empty.
+
+        The memo is emptied only between calls: within one, the numbers of its words' rows are still in use.
+        """
         if len(self.memo) > 150_000:
             self.memo.clear()
         ids = np.fromiter((self.memo[w] for ws in batches for w in ws), np.int64)
@@ -203,7 +203,8 @@ def fit(labelled: list[tuple[str, list[str]]], landmarks: int = LANDMARKS, ridge
 
 
 def train(df: DataFrame, id_col: str = "scan_id", text_col: str = "text", label_col: str = "scan_language") -> Classifier:
-    """Fit on a bounded labelled sample: for each language the rows of the least hashed ids, then evenly spread sentences."""
+    """Fit on a bounded labelled sample: for each language the rows of the least hashed ids, of each its first
+    SAMPLE_CHARS characters (less a sentence cut there), then evenly spread sentences."""
     names = F.create_map(*[F.lit(x) for pair in BY_NAME.items() for x in pair])
     label = F.element_at(names, F.split(F.lower(F.trim(label_col)), "[-_ ]")[0])
     ranked = df.select(label.alias("lang"), F.xxhash64(id_col).alias("h")).where(F.col("lang").isNotNull())
@@ -211,12 +212,12 @@ def train(df: DataFrame, id_col: str = "scan_id", text_col: str = "text", label_
     # ids and labels settle which rows, so the texts of the others are never read
     last = ranked.withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).groupBy("lang").agg(F.max("h").alias("h")).collect()
     picked = reduce(lambda x, y: x | y, [(F.col("lang") == r.lang) & (F.col("h") <= r.h) for r in last], F.lit(False))
-    rows = df.select(label.alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).where(picked & (F.length("text") < 5000))
+    rows = df.select(label.alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS + 1).alias("text")).where(picked & F.col(text_col).isNotNull())
     pools: dict[str, list[list[str]]] = {x: [] for x in LANGUAGES}
     for r in sorted(rows.collect(), key=lambda r: (r.lang, r.h, r.text)):
         for a, b in sentences(r.text):
             ws = telling(r.text[a:b])
-            if len(ws) >= LEAST_WORDS:
+            if len(ws) >= LEAST_WORDS and b <= SAMPLE_CHARS:
                 pools[r.lang].append(ws)
     labelled = []
     for lang, pool in pools.items():

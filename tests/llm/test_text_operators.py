@@ -216,6 +216,21 @@ def test_labels_and_empty_training(spark):
     assert langid.segments(empty, langid.train(empty)).count() == 0
 
 
+def test_scores_of_a_batch_with_more_words_than_the_memo_keeps(classifier):
+    few = [SENTENCES[0].lower().split(), SENTENCES[4].lower().split()]
+    want = langid.Classifier(classifier.weights).score(few)
+    c = langid.Classifier(classifier.weights)
+    c.score([*few, [f"alt{i}" for i in range(149_000)]])
+    got = c.score([*few, [f"neu{i}" for i in range(60_000)]])[:2]
+    assert np.allclose(got, want)
+
+
+def test_long_texts_are_sampled(spark):
+    rows = [(i, (SENTENCES[0 if label == "de" else 4] + " ") * 90, label) for i, label in enumerate(("de", "ru") * 2)]
+    model = langid.train(spark.createDataFrame(rows, "scan_id long, text string, scan_language string"))
+    assert [langid.LANGUAGES[k] for k in model.score([langid.telling(SENTENCES[0]), langid.telling(SENTENCES[4])]).argmax(axis=1)] == ["de", "ru"]
+
+
 # ---- 6 ----
 
 
