@@ -106,21 +106,18 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple[float, float]])
     A patent's own lists, by their form, are never spam.
     """
     out = dict.fromkeys(("links", "lists", "repeats", "duplicates", "spam"), 0.0)
-    lang, found = windows(text, lang)
+    lang = language(text.lower().split(), lang)
     least_f, least_d = limits[lang]
-    if len(text) > 400 and found and all(f > 100 * least_f * 1.5 and d > 100 * least_d * 1.35 for f, d in found):
-        tail = text.lower().split()[-WINDOW:]
-        if len(set(tail)) > WINDOW * least_d * 1.35 and sum(map(WORDS[lang].__contains__, tail)) > WINDOW * least_f * 1.5:
-            return out
     known = WORDS[lang]
     units = [u for u in CUT.split(text) if u.strip()]
     if not units:
         return out
-    words = [WORD.findall(LINK.sub(" ", u).lower()) for u in units]
+    linked = LINK.search(text) is not None
+    words = [WORD.findall((LINK.sub(" ", u) if linked else u).lower()) for u in units]
     size = [len(u.strip()) for u in units]
     own = [bool(OWN.match(u.strip())) or bool(SEQUENCE.search(u)) for u in units]
-    link = [sum(len(m.group()) for m in LINK.finditer(u)) > 0.4 * n and not o for u, n, o in zip(units, size, own)]
-    tags = [sum(len(m.group()) for m in TAG.finditer(u)) > 0.5 * n for u, n in zip(units, size)]
+    link = [linked and not o and sum(len(m.group()) for m in LINK.finditer(u)) > 0.4 * n for u, n, o in zip(units, size, own)]
+    tags = ["#" in u and sum(len(m.group()) for m in TAG.finditer(u)) > 0.5 * n for u, n in zip(units, size)]
     thin = []
     for u, w, o, t in zip(units, words, own, tags):
         f = [x for x in w if x in known]

@@ -376,6 +376,15 @@ def test_spam_is_measured(kind):
     assert spam.measure(f"{PATENT}\n{SPAM[kind][:300]}", "de", limits)["spam"] < 0.5
 
 
+@pytest.mark.parametrize("page", [
+    " ".join(f"[how to choose the {a} that is best for your {b} and when it can be used in {c}](https://x.invalid/p/{a}/{b}/{c}?from=list&n={a}{b}{c})" for a, b, c in zip("nozzle spring latch tray valve sensor belt lever plate pump seal motor".split() * 3, "gear cable clamp hook panel switch lamp tube wheel filter frame".split() * 4, "house garden office kitchen yard boat car field shop school".split() * 4)),
+    "\n".join(f"This is the {a} for your {b}: https://shop.invalid/{a}/{b}/offer-of-the-day-with-a-long-name/{i}" for i, (a, b) in enumerate(zip("nozzle spring latch tray valve sensor belt lever plate pump seal motor".split() * 3, "gear cable clamp hook panel switch lamp tube wheel filter frame".split() * 4))),
+])
+def test_links_between_sentence_like_words_are_measured(page):
+    m = spam.measure(page, "en", dict.fromkeys(spam.WORDS, (0.136, 0.3)))
+    assert m["links"] > 0.9 and m["spam"] > 0.9
+
+
 def test_patents_are_not_spam(spark):
     limits = dict.fromkeys(spam.WORDS, (0.136, 0.42))
     assert spam.measure(PATENT, None, limits)["spam"] == 0 and spam.measure(f"{PATENT}\n{OWN}", "en", limits)["spam"] < 0.05
