@@ -25,6 +25,9 @@ WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items(
 WINDOW = 50
 #: Of a language's median window, the part below which a window is too poor in function words, or in different words.
 POOR, REPETITIVE = 0.4, 0.56
+#: Words of an n-gram; least limits of a page's top-word, repeated n-gram and duplicate-line share, and the part of the
+#: way from a language's third quartile of documents to 1 at which they lie if that is more.
+GRAM, LEAST_LIMITS, ABOVE = 5, (0.15, 0.6, 0.3), 0.1
 #: Words in a row of list-like lines that make more than a heading, and the part of a page that makes it spam.
 RUN, SHARE = 16, 0.5
 #: Kinds of function words that lists of terms hold too ("cuerpo de válvula").
@@ -58,8 +61,25 @@ def windows(text: str, lang: str | None) -> tuple[str, list[tuple[int, int]]]:
     return lang, out
 
 
-def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[float, float]]:
-    """language -> (least share of function words, least share of different words), from the windows of all documents.
+def grams(words: list[str]) -> list[tuple[str, ...]]:
+    return list(zip(*(words[i:] for i in range(GRAM))))
+
+
+def shares(words: list[str], units: list[str], known: frozenset[str]) -> tuple[float, float, float, str]:
+    """Top-word share of the words, shares of repeated n-grams and of duplicate units (copies beyond the first), and the
+    top word. All 0 for texts of less than a window of words."""
+    if len(words) < WINDOW:
+        return 0.0, 0.0, 0.0, ""
+    counts = Counter(words)
+    n, top = max(((n, w) for w, n in counts.items() if w not in known and len(w) > 1), default=(0, ""))
+    all_grams = grams(words)
+    total = sum(map(len, units)) or 1
+    return n / len(words), 1 - len(set(all_grams)) / len(all_grams), 1 - sum(map(len, set(units))) / total, top
+
+
+def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[float, ...]]:
+    """language -> (least share of function words, least share of different words), from the windows of all documents,
+    then the most a page may have as top-word, repeated n-gram and duplicate-line share, from all documents.
 
     Histograms of whole per cents are summed per task and then over all tasks, so the
     driver gets a table whose size does not depend on the corpus.
@@ -74,6 +94,10 @@ def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                     for f, d in found:
                         hist[lang, 0, f] += 1
                         hist[lang, 1, d] += 1
+                    if found:
+                        units = [u.strip() for u in CUT.split(text) if u.strip()]
+                        for what, x in enumerate(shares(WORD.findall(text.lower()), units, WORDS[lang])[:3], 2):
+                            hist[lang, what, int(100 * x)] += 1
             keys = list(hist)
             return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([hist[k] for k in keys], pa.int64())], names=["lang", "what", "bin", "n"])
 
@@ -84,30 +108,34 @@ def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     for r in map_batches(rows, make, "lang string, what int, bin int, n bigint").groupBy("lang", "what", "bin").agg(F.sum("n").alias("n")).collect():
         hist[r.lang, r.what].append((r.bin, r.n))
 
-    def median(key) -> float | None:
-        seen, half = 0, sum(n for _, n in hist[key]) / 2
+    def quantile(key, part: float = 0.5) -> float | None:
+        seen, enough = 0, sum(n for _, n in hist[key]) * part
         for b, n in sorted(hist[key]):
             seen += n
-            if seen >= half:
+            if seen >= enough:
                 return b / 100
         return None
 
     out = {}
     for lang in WORDS:
-        f, d = median((lang, 0)), median((lang, 1))
-        out[lang] = (POOR * min(0.5, f or 0.35), REPETITIVE * min(0.75, max(0.55, d or 0.65)))
+        f, d = quantile((lang, 0)), quantile((lang, 1))
+        most = ((quantile((lang, k), 0.75) or 0.0, least) for k, least in enumerate(LEAST_LIMITS, 2))
+        out[lang] = (POOR * min(0.5, f or 0.35), REPETITIVE * min(0.75, max(0.55, d or 0.65)), *(max(least, q + ABOVE * (1 - q)) for q, least in most))
     return out
 
 
-def measure(text: str, lang: str | None, limits: dict[str, tuple[float, float]]) -> dict[str, float]:
+def measure(text: str, lang: str | None, limits: dict[str, tuple[float, ...]]) -> dict[str, float]:
     """Shares of the text's characters: links, lists (missing function words and dense separators or repeated
-    words), repetition (few different words), duplicate lines, and ``spam``, their union.
+    words), repetition (few different words, or units that make up a top-word or repeated n-gram share beyond its
+    limit), duplicate lines, and ``spam``, their union; of duplicate lines the copies beyond the first count, if
+    the page's share of them is beyond its limit.
 
     A patent's own lists, by their form, are never spam.
     """
     out = dict.fromkeys(("links", "lists", "repeats", "duplicates", "spam"), 0.0)
     lang = language(text.lower().split(), lang)
-    least_f, least_d = limits[lang]
+    least_f, least_d, *most = limits[lang]
+    most_top, most_grams, most_copies = most or LEAST_LIMITS
     known = WORDS[lang]
     units = [u for u in CUT.split(text) if u.strip()]
     if not units:
@@ -150,17 +178,36 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple[float, float]])
                     row += words[k]
             if len(row) >= 0.6 * WINDOW and len(set(row[: 2 * WINDOW])) < least_d * min(len(row), 2 * WINDOW) and len(set(words[i]) - set(row[len(words[i]) :])) <= 0.35 * len(set(words[i])):
                 repeats[i] = True
+    theirs = [x for w, o in zip(words, own) if not o for x in w]
+    top_share, gram_share, copy_share, top = shares(theirs, [u.strip() for u, o in zip(units, own) if not o], known)
+    if top_share > most_top:
+        repeats = [r or not o and w.count(top) > most_top * len(w) for r, w, o in zip(repeats, words, own)]
+    if gram_share > most_grams:
+        # an n-gram may run over units, so each word is marked by the n-grams it stands in
+        often, marked, at = Counter(grams(theirs)), bytearray(len(theirs)), 0
+        for i, g in enumerate(grams(theirs)):
+            if often[g] > 1:
+                marked[i : i + GRAM] = b"\1" * GRAM
+        for i, (w, o) in enumerate(zip(words, own)):
+            if w and not o:
+                repeats[i] = repeats[i] or sum(marked[at : at + len(w)]) * 2 > len(w)
+                at += len(w)
     seen = Counter(u.strip() for u in units)
+    copies, before = [False] * len(units), set()
+    if copy_share > most_copies:
+        for i, (u, o) in enumerate(zip(units, own)):
+            copies[i] = u.strip() in before and not o
+            before.add(u.strip())
     total = sum(size)
     out["links"] = sum(n for n, x in zip(size, link) if x) / total
     out["lists"] = sum(n for n, x in zip(size, listed) if x) / total
     out["repeats"] = sum(n for n, x in zip(size, repeats) if x) / total
     out["duplicates"] = sum(n for u, n, o in zip(units, size, own) if seen[u.strip()] > 1 and not o) / total
-    out["spam"] = sum(n for n, *x in zip(size, link, listed, repeats) if any(x)) / total
+    out["spam"] = sum(n for n, *x in zip(size, link, listed, repeats, copies) if any(x)) / total
     return out
 
 
-def score_pages(df: DataFrame, limits: dict[str, tuple[float, float]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score_pages(df: DataFrame, limits: dict[str, tuple[float, ...]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, links, lists, repeats, duplicates, spam) of each document with text; null and blank ones give no row. No shuffle."""
     kind = dict(df.dtypes)[id_col]
     names = ("links", "lists", "repeats", "duplicates", "spam")

@@ -385,6 +385,20 @@ def test_links_between_sentence_like_words_are_measured(page):
     assert m["links"] > 0.9 and m["spam"] > 0.9
 
 
+def test_repeated_sentences_top_words_and_calibrated_limits(spark):
+    limits = dict.fromkeys(spam.WORDS, (0.136, 0.42))
+    page = "\n".join([f"{s}" for s in patent(25).split(". ")] * 8)
+    m = spam.measure(page, "en", limits)
+    assert m["duplicates"] > 0.9 and m["spam"] > 0.8
+    over_lines = " ".join(patent(25).replace(".", "").split() * 8).split()
+    assert spam.measure("\n".join(" ".join(over_lines[i : i + 17]) for i in range(0, len(over_lines), 17)), "en", limits)["spam"] > 0.8
+    stuffed = patent(40).replace("housing", "x").split(" ")
+    assert spam.measure(" ".join(f"{w} nozzle" if i % 4 == 0 else w for i, w in enumerate(stuffed)), "en", limits)["spam"] > 0.8
+    assert spam.measure(f"{PATENT} {PATENT}", "en", limits)["spam"] < 0.6 and spam.measure(PATENT, "en", limits)["spam"] == 0
+    df = spark.createDataFrame([(i, PATENT, "en") for i in range(9)], "doc_id long, text string, lang string")
+    assert [len(x) for x in spam.calibrate(df).values()] == [5] * 6
+
+
 def test_patents_are_not_spam(spark):
     limits = dict.fromkeys(spam.WORDS, (0.136, 0.42))
     assert spam.measure(PATENT, None, limits)["spam"] == 0 and spam.measure(f"{PATENT}\n{OWN}", "en", limits)["spam"] < 0.05
