@@ -32,6 +32,14 @@ NUMBER = re.compile(r"\d+")
 END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 
 
+def letters(form: str) -> int:
+    """The form's characters as bits; different characters may share one."""
+    mask = 0
+    for c in form:
+        mask |= 1 << ord(c) % 128
+    return mask
+
+
 class Repairer:
     """Decodes texts with corpus word counts; ``least`` is the count below which a word was left out of them."""
 
@@ -131,13 +139,22 @@ class Repairer:
         for i, s in enumerate(lines):
             if i not in out and 3 < len(s) < 120 and 3 < len(t := s.strip()) < 100:
                 groups[NUMBER.sub("#", t)].append(i)
-        if 3 < len(lines) < 400:  # forms with misread characters join the form they resemble most
+        if len(lines) > 3:  # forms with misread characters join the form they resemble most
             keys = sorted(groups, key=lambda k: -len(groups[k]))
-            for k in keys[::-1]:
+            masks, buckets = [letters(k) for k in keys], defaultdict(list)
+            for n, k in enumerate(keys):
+                buckets[k[:1].lower(), len(k)].append(n)
+            for m in range(len(keys) - 1, -1, -1):
+                k = keys[m]
                 # a company form at the end ("Inc.") is no full stop, so the last characters are not looked at
                 if len(groups[k]) == 1 and not next(filter(str.isalnum, k), "a").islower() and not END.search(k[:-4]):
-                    for other in keys:
-                        if other != k and groups.get(other) and abs(len(other) - len(k)) < 4 and other[:1].lower() == k[:1].lower() and SequenceMatcher(None, k, other).ratio() > 0.85:
+                    for n in sorted(n for size in range(len(k) - 3, len(k) + 4) for n in buckets.get((k[:1].lower(), size), ())):
+                        other = keys[n]
+                        # a character that the other form lacks matches nothing, so a ratio of 0.85 allows only so many
+                        if n == m or not groups.get(other) or (masks[m] & ~masks[n]).bit_count() > len(k) - 0.425 * (len(k) + len(other)):
+                            continue
+                        match = SequenceMatcher(None, k, other)
+                        if match.quick_ratio() > 0.85 and match.ratio() > 0.85:
                             groups[other] += groups.pop(k)
                             break
         repeated = {i: "" for at in groups.values() if len(at) > 1 for i in at} | out
@@ -263,16 +280,16 @@ class Repairer:
 
         n = len(lines)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for a in range(n):
-            total = 0.0
-            for b in range(a, min(n, a + 400)):
-                s = lines[b].strip()
-                end = 1.5 + (0.0 if END.search(s) else 3.0)
-                if not s or b + 1 < n and (not lines[b + 1].strip() or re.match(r"\s*[-*•]\s", lines[b + 1])):
-                    end = 0.0
-                if best[a] + total + end < best[b + 1]:
-                    best[b + 1], back[b + 1] = best[a] + total + end, a
-                total += inner(b) if s else 50.0
+        a, total = 0, 0.0  # the cheapest begin of a paragraph that holds line b; what follows costs the same for every begin
+        for b in range(n):
+            if best[b] < best[a] + total:
+                a, total = b, 0.0
+            s = lines[b].strip()
+            end = 1.5 + (0.0 if END.search(s) else 3.0)
+            if not s or b + 1 < n and (not lines[b + 1].strip() or re.match(r"\s*[-*•]\s", lines[b + 1])):
+                end = 0.0
+            best[b + 1], back[b + 1] = best[a] + total + end, a
+            total += inner(b) if s else 50.0
         out, i = [False] * n, n
         while i:
             out[i - 1] = True

@@ -267,6 +267,16 @@ def test_noise_edges(spark, texts):
     assert [r.word_id for r in layout.noisy_words(words, noise).collect()] == [11]
 
 
+def test_long_texts_have_headers_joined_and_paragraphs_whole(repairer):
+    dice = random.Random(3)
+    word = lambda: "".join(dice.choices("abdeghiklmnoprstuvz", k=7))
+    lines = []
+    for page in range(60):
+        lines += [("Acme Corp. – Handbook" if page != 30 else "Acrne Corp. – Handbook"), *(" ".join(word() for _ in range(6)) for _ in range(9))]
+    assert len(lines) == 600 and repairer.furniture(lines).get(300) == "header"
+    assert sum(layout.Repairer.paragraphs(["x" * 60] * 899 + ["The end."])) == 1
+
+
 # ---- 7 ----
 
 
