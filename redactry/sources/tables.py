@@ -56,13 +56,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to a table in the shared folder and read them from there.
 
     A lost executor costs no recomputation, and unlike ``DataFrame.checkpoint`` the
-    plan runs only once. The table is removed when the driver's Python ends.
+    plan runs only once. The table is removed when the driver's Python ends, or by
+    :func:`discard` before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`checkpointed` that no later plan reads."""
+    for df in tables:
+        _remove(df.sparkSession, df._table)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
