@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
 from functools import cache, reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from redactry.llm.arrow import Memo, map_batches
 from redactry.llm.encoding import unpacked
 from redactry.llm.lookalike import AS_LATIN, CYRILLIC, GREEK, GREEK_AS_LATIN, INVISIBLE
-from redactry.sources.tables import checkpointed
+from redactry.sources.tables import checkpointed, discard
 
 #: Given names and their customary short forms.
 NICKNAMES = """
@@ -42,11 +45,19 @@ PARTICLES = frozenset("de van von der den da di du la le del".split())
 #: What recognition makes of letters; both sides are folded to the right-hand form.
 FOLDS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ri", "n"), ("ii", "u"), ("c", "e"))
 SIGN = str.maketrans("@!|†$0513946", "ailtsoslegab")
-LONG, GRAM = 6, 4
-#: Cosine below which no pair is looked at, and the average link at which clusters stop merging.
-COSINE, LINK = 0.5, 0.3
+#: Words of up to SHORT letters give n-grams of 3 characters, those of at least SHORT of 4; of SHORT letters, both.
+SHORT = 6
+#: Features rarer than this share of all names weigh alike, so the table of weights is bounded by the n-grams of a name / RARE.
+RARE = 1e-3
+#: A shared class of given names counts as so many n-grams.
+CLASS = 3
+#: Cosine below which no pair is linked, and the average link at which clusters stop merging.
+COSINE, LINK = 0.25, 0.12
 #: A word this frequent among all names is no misspelling of another such word; at most 1 / share words.
 COMMON = 1e-4
+#: Names of one group that share a feature are compared in blocks of about this many, and rows of one cluster paired so;
+#: groups below the share are not looked up, so that at most 1 / share are known to every task.
+BLOCK, HOT = 2000, 1e-3
 
 
 @cache
@@ -133,19 +144,75 @@ def parse(text: str) -> tuple[str, list[str], list[str]]:
     return "", names, [marks(w) for w in words]
 
 
-def features(words: list[str]) -> list[str]:
-    """Character n-grams of the long words; of short ones, each pair: an n-gram with a gap."""
-    out = set()
-    for w in words:
-        if len(w) >= LONG:
-            p = f"#{w}#"
-            out.update(p[i : i + GRAM] for i in range(len(p) - GRAM + 1))
-    short = sorted({w for w in words if 1 < len(w) < LONG and w not in PARTICLES})
-    out.update(f"{a}|{b}" for i, a in enumerate(short) for b in short[i + 1 :])
-    long = sorted({w for w in words if len(w) >= LONG})
-    if not out or len(long) == 1 and len(out) < 4:
-        out.add("=" + " ".join(sorted(words)))
-    return sorted(out)
+def word_features(word: str, kind: str) -> list[str]:
+    """Character n-grams of a word with its ends, and the given names it may stand for."""
+    p, out = f"#{word}#", []
+    for n in (3,) * (len(word) <= SHORT) + (4,) * (len(word) >= SHORT):
+        out += [p[i : i + n] for i in range(len(p) - n + 1)]
+    return out + (["@" + c for c in given(word)] if kind != "org" else [])
+
+
+class Vectors:
+    """name -> {feature: squared weight}, its n-gram vector.
+
+    Features are n-grams and classes of the words, pairs of short words (an n-gram
+    with a gap) and an initial with a short word. A feature weighs the square of its
+    rarity among all names; what ``counts`` lacks is rarer than RARE. How often two
+    words stand together is estimated from how often each does.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int):
+        self.counts, self.least, self.total = counts, max(2.0, RARE * total), max(1, total)
+        self.of_word = Memo(lambda key: {f: self.weight(f) * (CLASS if f[0] == "@" else 1) for f in word_features(*key)})
+        self.memo = Memo(lambda name: self.vector(*unpacked_name(name)[:2]), 20_000)
+
+    def count(self, feature: str) -> float:
+        return max(self.counts.get(feature, 0), self.least)
+
+    def most(self, feature: str) -> float:
+        """A bound on the names that hold the feature."""
+        a, bar, b = feature.partition("|") if "|" in feature else feature.partition("~")
+        return max(self.least, min(self.count("=" + x) for x in (a, b) if len(x) > 1)) if bar else self.count(feature)
+
+    def weight(self, feature: str, count: float | None = None) -> float:
+        return math.log(1 + self.total / (count or self.count(feature))) ** 2
+
+    def vector(self, kind: str, words: list[str]) -> dict[str, float]:
+        # a particle inside a name says nothing, one at its end may be a family name
+        ws = [w for k, w in enumerate(words) if w not in PARTICLES or k in (0, len(words) - 1)]
+        out: dict[str, float] = {}
+        for w in ws:
+            if len(w) > 1:
+                out |= self.of_word[w, kind]
+        for i, a in enumerate(ws):
+            for b in ws[i + 1 :]:
+                x, y = (a, b) if a < b else (b, a)
+                if 1 < len(x) < SHORT and 1 < len(y) < SHORT:
+                    out[f"{x}|{y}"] = self.weight("", max(self.count("=" + x) * self.count("=" + y) / self.total, self.least))
+                if kind != "org":
+                    for x, y in ((a, b), (b, a)):
+                        if 1 < len(y) < SHORT:
+                            out[f"{x[0]}~{y}"] = self.weight("", max(self.count("=" + y) / 16, self.least))
+        return out or {"=" + " ".join(sorted(words)): self.weight("", self.least)}
+
+    def cosine(self, a: str, b: str) -> float:
+        x, y = self.memo[a], self.memo[b]
+        if len(y) < len(x):
+            x, y = y, x
+        both = sum(w for f, w in x.items() if f in y)
+        return both / math.sqrt(sum(x.values()) * sum(y.values())) if both else 0.0
+
+    def prefix(self, name: str) -> list[str]:
+        """The rarest features, up to where what is left has a norm below COSINE: a pair beyond it shares one of them."""
+        v = self.memo[name]
+        left, out = sum(v.values()), []
+        least = COSINE**2 * left
+        for f in sorted(v, key=lambda f: (-v[f] / (CLASS if f[0] == "@" else 1), f)):
+            if left < least:
+                break
+            out.append(f)
+            left -= v[f]
+        return out
 
 
 def near(a: str, b: str, most: int) -> bool:
@@ -203,8 +270,6 @@ def agree(a: tuple[str, list[str], list[str]], b: tuple[str, list[str], list[str
     (ka, wa, ma), (kb, wb, mb) = a, b
     if (ka == "org") != (kb == "org") and "vi" in (ka, kb):
         return 0.0
-    if not any(len(w) > 2 and w in wb for w in wa) and not any(len(x) > 4 and len(y) > 4 and (near(x, y, 2) or fold(x) == fold(y)) for x in wa for y in wb if x[0] == y[0] or x[-1] == y[-1]):
-        return 0.0  # nothing to hold on to: most candidates end here
     org = "org" in (ka, kb)
     left_a, left_b = list(range(len(wa))), list(range(len(wb)))
     marked = any(ma) and any(mb)
@@ -289,66 +354,119 @@ def parsed(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return map_batches(rows, make, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", text_val string, name string")
 
 
-def featured(nodes: DataFrame) -> DataFrame:
-    """(node, grp, f): the hashed features of each node's name."""
+def counted_features(words: DataFrame) -> DataFrame:
+    """(f, n): how many names hold a feature of their words; '=' and a word for the word itself."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at, out = [], []
+            seen: Counter = Counter()
+            for w, org, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for f in (*word_features(w, "org" if org else ""), "=" + w):
+                    seen[f] += n
+            return pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["f", "n"])
+
+        return step
+
+    return map_batches(words.select("w", "org", "n"), make, "f string, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def hashed(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+
+
+def posted(nodes: DataFrame, weights: tuple[dict[str, int], int], hot: dict[int, int]) -> DataFrame:
+    """(node, key): a row for each prefix feature of a node; names of one group that share a feature share a key.
+
+    ``hot`` tells the sizes of large groups (by hash). Where a feature may have more
+    than BLOCK names in such a group its names are dealt to blocks, and every two
+    blocks get a key of their own, so no task holds them all and no pair is lost.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast((*weights, hot))
+
+    def make():
+        counts, total, sizes = shared.value
+        vectors = Vectors(counts, total)
+        code = Memo(hashed)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at, features, cells = [], [], []
+            owners, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k, name in enumerate(batch.column(2).to_pylist()):
-                fs = features(unpacked_name(name)[1])
-                at.extend([k] * len(fs))
-                out.extend(fs)
-            index = pa.array(at, pa.int32())
-            return pa.record_batch([batch.column(0).take(index), batch.column(1).take(index), pa.array(out, pa.string())], names=["node", "grp", "f"])
+                prefix, size = vectors.prefix(name), sizes.get(groups[k], 0)
+                for f in prefix:
+                    blocks = -(-min(size, int(vectors.most(f))) // BLOCK) if size else 1
+                    own = owners[k] % blocks if blocks > 1 else 0
+                    for other in range(max(1, blocks)):
+                        at.append(k)
+                        features.append(code[f])
+                        cells.append(min(own, other) * blocks + max(own, other))
+            index = np.array(at, np.int64)
+            group = np.array(groups, np.int64).view(np.uint64)[index]
+            key = (np.array(features, np.uint64) ^ group * np.uint64(0x9E3779B97F4A7C15)) + np.array(cells, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            return pa.record_batch([batch.column(0).take(pa.array(index)), pa.array(key.view(np.int64))], names=["node", "key"])
 
         return step
 
-    kind = dict(nodes.dtypes)["grp"]
-    return map_batches(nodes.select("node", "grp", "name"), make, f"node bigint, grp {kind}, f string").withColumn("f", F.xxhash64("f"))
+    return map_batches(nodes.select("node", F.xxhash64("grp"), "name"), make, "node bigint, key bigint")
 
 
-def link(rows: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
-    """(id, group, text_val, cluster): every row whose text names something, with its cluster within its group.
+def similar(nodes: DataFrame, weights: tuple[dict[str, int], int], hot: dict[int, int], common: frozenset[str], top_n: int | None = None) -> DataFrame:
+    """(a, b, sim): the pairs of a group with a cosine of at least COSINE that :func:`agree` confirms; ``sim`` is the
+    cosine times how well they agree.
 
-    Names become weighted vectors of character n-grams. A join on the rarest
-    features, enough of them that a pair of cosine COSINE must share one, gives
-    candidates within a group (prefix filtering: no pair is lost, and a group's
-    names are spread by feature, not gathered). :func:`agree` checks each pair, and
-    average linkage merges clusters. Rows with equal names are one node, so copies
-    cost nothing. Repeated ids must be removed before.
+    A sparse similarity join: nodes that share a prefix feature are candidates, each
+    once, and their vectors' cosine is summed over the shared features. ``top_n``
+    keeps each node's so many best pairs; None, as in production, keeps all, since
+    the threshold bounds them and a cap would lose links.
     """
-    source = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(text_col).alias("text"))
-    named = checkpointed(parsed(source, ["id", "grp"], "text").withColumn("node", F.xxhash64("grp", "name")))
-    nodes = checkpointed(named.groupBy("node").agg(F.first("grp").alias("grp"), F.first("name").alias("name")))
-    total = nodes.count()
-    words = nodes.select(F.explode(F.array_distinct(F.split(F.split("name", "[|]")[1], " "))).alias("w"))
-    common = frozenset(r.w for r in words.groupBy("w").count().where(F.col("count") >= max(3, COMMON * total)).collect())
-    # a feature's weight is its rarity among all names; one that no other name has cannot match
-    weighted = featured(nodes).withColumn("df", F.count("*").over(Window.partitionBy("f"))).where("df > 1")
-    weighted = weighted.withColumn("w", F.pow(F.log(1 + F.lit(float(total)) / F.col("df")), 2))
-    # rarest first, up to where what is left has a norm below COSINE
-    of_node = Window.partitionBy("node")
-    before = F.coalesce(F.sum("w").over(of_node.orderBy("df", "f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = weighted.withColumn("before", before).withColumn("norm", F.sum("w").over(of_node)).where(F.col("before") <= (1 - COSINE**2) * F.col("norm"))
-    posts = prefix.select("node", "grp", "f")
-    shared = posts.withColumn("n", F.count("*").over(Window.partitionBy("grp", "f"))).where("n > 1").drop("n")
-    a, b = (shared.withColumnRenamed("node", f"node_{s}") for s in "ab")
-    pairs = a.join(b, ["grp", "f"]).where("node_a < node_b").select("node_a", "node_b").distinct()
-    name = nodes.select("node", "name")
-    pairs = pairs.join(name.toDF("node_a", "name_a"), "node_a").join(name.toDF("node_b", "name_b"), "node_b").select("node_a", "node_b", "name_a", "name_b")
+    posts = posted(nodes.where(F.col("grp").isNotNull()), weights, hot)
+    pairs = posts.toDF("a", "key").join(posts.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
+    for s in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(s), F.col("grp").alias(f"grp_{s}"), F.col("name").alias(f"name_{s}")), s)
+    shared = nodes.sparkSession.sparkContext.broadcast(weights)
 
     def make():
-        memo = Memo(unpacked_name, 50_000)
+        vectors, memo = Vectors(*shared.value), Memo(unpacked_name, 20_000)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sims = [agree(memo[x], memo[y], common) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            sims = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                c = vectors.cosine(x, y)
+                sims.append(c * agree(memo[x], memo[y], common) if c >= COSINE else 0.0)
             out = pa.record_batch([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
             return out.filter(pa.array([s > 0 for s in sims]))
 
         return step
 
-    links = checkpointed(map_batches(pairs, make, "a bigint, b bigint, sim double"))
+    # two groups can share a key only by chance
+    links = map_batches(pairs.where("grp_a = grp_b").select("a", "b", "name_a", "name_b"), make, "a bigint, b bigint, sim double")
+    if top_n is not None:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))
+        links = both.withColumn("n", place).where(F.col("n") <= top_n).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+    return links
+
+
+def link(rows: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
+    """(id, group, text_val, cluster): every row whose text names something, with its cluster within its group.
+
+    Names become weighted vectors of character n-grams, joined by cosine within
+    their group (:func:`similar`), and average linkage over the cosines gives the
+    clusters. Rows with equal names are one node, so copies cost nothing. Rows
+    without a group are linked with none. Repeated ids must be removed before.
+    """
+    source = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(text_col).alias("text"))
+    named = checkpointed(parsed(source, ["id", "grp"], "text").withColumn("node", F.xxhash64("grp", "name")))
+    nodes = checkpointed(named.groupBy("node").agg(F.first("grp").alias("grp"), F.first("name").alias("name")))
+    total = nodes.count()
+    part = F.split("name", "[|]")
+    words = nodes.select(F.explode(F.array_distinct(F.split(part[1], " "))).alias("w"), (part[0] == "org").alias("org"))
+    words = checkpointed(words.groupBy("w", "org").agg(F.count("*").alias("n")))
+    common = frozenset(r.w for r in words.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, COMMON * total)).collect())
+    counts = {r.f: r.n for r in counted_features(words).where(F.col("n") > max(2, RARE * total)).collect()}
+    sizes = nodes.where(F.col("grp").isNotNull()).groupBy(F.xxhash64("grp").alias("g")).agg(F.count("*").alias("n"))
+    hot = {r.g: r.n for r in sizes.where(F.col("n") > max(BLOCK, HOT * total)).collect()}
+    links = checkpointed(similar(nodes, (counts, total), hot, common))
     clusters = average_linkage(links)
     return named.join(clusters, "node", "left").select(F.col("id").alias(id_col), F.col("grp").alias(group_col), "text_val", F.coalesce("cluster", "node").alias("cluster"))
 
@@ -362,7 +480,7 @@ def average_linkage(links: DataFrame, threshold: float = LINK) -> DataFrame:
     """
     both = links.select("a", "b", "sim").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     nodes = checkpointed(both.select(F.col("a").alias("node")).distinct().withColumn("cluster", F.col("node")))
-    edges = both
+    edges, old = both, []
     while True:
         sizes = nodes.groupBy("cluster").agg(F.count("*").alias("n"))
         sums = edges.groupBy("a", "b").agg(F.sum("sim").alias("sim"))
@@ -373,14 +491,28 @@ def average_linkage(links: DataFrame, threshold: float = LINK) -> DataFrame:
         merges = checkpointed(merges)
         if merges.isEmpty():
             return nodes
+        last = [nodes, merges, *old]
         nodes = checkpointed(nodes.join(merges, nodes["cluster"] == merges["old"], "left").select("node", F.coalesce("new", "cluster").alias("cluster")))
         edges = sums
         for end in "ab":
             edges = edges.join(merges, edges[end] == merges["old"], "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
         edges = checkpointed(edges.where("a <> b"))
+        discard(*last)  # only the round's own tables are read by the next
+        old = [edges]
 
 
 def same_bearer(linked: DataFrame, id_col: str, group_col: str) -> DataFrame:
-    """(id_a, id_b), smaller first: rows of one cluster with different texts."""
-    a, b = (linked.select(group_col, "cluster", F.col(id_col).alias(f"{id_col}_{s}"), F.col("text_val").alias(f"t_{s}")) for s in "ab")
-    return a.join(b, [group_col, "cluster"]).where((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("t_a") != F.col("t_b"))).select(f"{id_col}_a", f"{id_col}_b")
+    """(id_a, id_b), smaller first: rows of one cluster with different texts.
+
+    Rows of a cluster above BLOCK are dealt to blocks, and every two blocks meet in a
+    task of their own, so a large cluster is spread over many.
+    """
+    keys = [group_col, "cluster"]
+    sizes = linked.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = linked.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(id_col), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cell", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    rows = rows.withColumn("home", F.col("own") == F.col("other"))
+    a, b = (rows.select(*keys, "cell", F.col("own").alias(f"own_{s}"), F.col("home").alias(f"home_{s}"), F.col(id_col).alias(f"{id_col}_{s}"), F.col("text_val").alias(f"t_{s}")) for s in "ab")
+    pairs = a.join(b, [*keys, "cell"]).where((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("t_a") != F.col("t_b")))
+    # two rows of one block also meet beside other blocks; they count where the block meets itself
+    return pairs.where((F.col("own_a") != F.col("own_b")) | F.col("home_a")).select(f"{id_col}_a", f"{id_col}_b")
