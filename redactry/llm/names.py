@@ -45,8 +45,8 @@ PARTICLES = frozenset("de van von der den da di du la le del".split())
 #: What recognition makes of letters; both sides are folded to the right-hand form.
 FOLDS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ri", "n"), ("ii", "u"), ("c", "e"))
 SIGN = str.maketrans("@!|†$0513946", "ailtsoslegab")
-#: Words of up to SHORT letters give n-grams of 3 characters, those of at least SHORT of 4; of SHORT letters, both.
-SHORT = 6
+#: Words of fewer letters also give features with the words beside them, as they have few n-grams (of GRAM characters).
+SHORT, GRAM = 6, 3
 #: Features rarer than this share of all names weigh alike, so the table of weights is bounded by the n-grams of a name / RARE.
 RARE = 1e-3
 #: A shared class of given names counts as so many n-grams.
@@ -146,10 +146,8 @@ def parse(text: str) -> tuple[str, list[str], list[str]]:
 
 def word_features(word: str, kind: str) -> list[str]:
     """Character n-grams of a word with its ends, and the given names it may stand for."""
-    p, out = f"#{word}#", []
-    for n in (3,) * (len(word) <= SHORT) + (4,) * (len(word) >= SHORT):
-        out += [p[i : i + n] for i in range(len(p) - n + 1)]
-    return out + (["@" + c for c in given(word)] if kind != "org" else [])
+    p = f"#{word}#"
+    return [p[i : i + GRAM] for i in range(len(p) - GRAM + 1)] + (["@" + c for c in given(word)] if kind != "org" else [])
 
 
 class Vectors:
