@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame
 from redactry.sources.tables import spread
 
 
+#: Longer strings (unbroken runs of letters, encoded data) are computed each time: they hardly repeat and would fill a memo.
+LONGEST_KEY = 64
+
+
 class Memo(dict):
-    """Bounded memo of a pure function; emptied when full, so its memory is bounded."""
+    """Memo of a pure function, bounded in entries and in the length of their keys; emptied when full."""
 
-    def __init__(self, fn: Callable, limit: int = 200_000):
+    def __init__(self, fn: Callable, limit: int = 200_000, longest: int = LONGEST_KEY):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.longest = fn, limit, longest
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > self.longest:
+            return self.fn(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.fn(key)

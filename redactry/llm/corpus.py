@@ -17,6 +17,8 @@ HELD = 400_000
 #: A word or n-gram is kept in a model if it makes up at least this share of all;
 #: so a lexicon has at most 1 / SHARE entries however large the corpus is.
 WORD_SHARE, GRAM_SHARE = 1e-6, 2e-6
+#: Copies of one text beyond this share of all rows, and this many, count once; so at most 1 / COPIES texts are looked up.
+COPIES, COPIES_LEAST = 1e-3, 20
 EDGE = "\x02"
 #: Longer strings between blanks (encoded data, keys) are no words and don't enter the character counts.
 LONGEST = 60
@@ -42,10 +44,18 @@ def _table(counts: dict) -> pa.RecordBatch:
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, n): words between white space and how often they occur; null and blank texts have none.
 
+    Copies of a text that make up more than COPIES of all rows count as one, or what is
+    misread or garbled on a page that is copied often would look like a frequent word.
     Counted per task before the shuffle, so a word in every text costs one row per task.
     The result is checkpointed, as its users read it more than once.
     """
-    partial = spread(df.select(F.col(text_col).alias("text"))).mapInArrow(_counted, "key string, n bigint")
+    texts = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where(F.length(text_col) > 0)
+    hot = [r.h for r in texts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(COPIES_LEAST, COPIES * df.count())).collect()]
+    once = texts.select("text")
+    if hot:  # the first of each, taken in every task before the shuffle
+        firsts = texts.where(F.col("h").isin(hot)).groupBy("h").agg(F.first("text").alias("text"))
+        once = texts.where(~F.col("h").isin(hot)).select("text").unionByName(firsts.select("text"))
+    partial = spread(once).mapInArrow(_counted, "key string, n bigint")
     return checkpointed(partial.groupBy("key").agg(F.sum("n").alias("n")))
 
 

@@ -72,11 +72,6 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 def page_lines(text: str) -> list[tuple[int, int]]:
     """Spans of running headers, footers and page numbers, which are no sentences of the text."""
     lines = text.split("\n")
-    if len(lines) < 4:
-        return []
-    forms = Counter(re.sub(r"\d+", "#", s) for s in lines if len(s) < 100 and s and s[0] not in "-*•" and not s[0].islower())
-    if max(forms.values(), default=0) < 2:
-        return []
     out, at = [], 0
     plain = PAGES.furniture(lines)
     for k, s in enumerate(lines):
@@ -129,7 +124,7 @@ class Classifier:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
         self.rows = np.zeros((1024, len(LANGUAGES) + 1), np.float32)
-        self.memo = Memo(self._word, 10**9)
+        self.memo = Memo(self._word, 10**9, 10**9)  # a word's number must last for a call
 
     def _word(self, word: str) -> int:
         k = len(self.memo)

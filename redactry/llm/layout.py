@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,23 +21,36 @@ HYPHENS = "-¬\N{SOFT HYPHEN}\N{HYPHEN}"
 EDGE = " .,;:?!()[]{}\"'“”‘’«»„…–—*•"
 #: A letter confusion is accepted if the corpus knows the word it gives this many times better.
 RATIO = 20.0
+#: What the steps of the decoder cost beside the words: a sign inside an unknown word, a missing or added blank; and what
+#: joining halves over a hyphen at a line's end saves.
+SIGN, CUT, JOINED = 0.1, 6.0, 1.0
 #: Words that stand before a page number.
 PAGE_WORDS = "page|seite|página|pagina|pág|pag|trang|страница|стр|blatt|folio|folha|feuillet|hoja|sheet|tờ|лист|p|s"
 PAGE = re.compile(rf"\W*(?:(?:{PAGE_WORDS})\b\.?\s*)?(?:n[.ºo°]*\s*)?\d{{1,4}}(?:\s*(?:/|of|von|de|sur|di|trên|из|\|)\s*\d{{1,4}})?\W*", re.I)
-SIGNED = re.compile(r"(?:[^\W\d_]|\|)[@!|†$\d](?:[^\W\d_]|\|)|^[@!|†$\d](?:[^\W\d_]|\|){2,}$|(?:[^\W\d_]|\|){2,}[@!|†$\d]$")
+SIGNED = re.compile(r"(?:[^\W\d_]|\|)[@!|†$\d](?:[^\W\d_]|\|)|^[@!|†$\d](?:[^\W\d_]|\|){2,}$|(?:[^\W\d_]|\|){2}[@!|†$\d]$")
 CODE = re.compile(r"\d\D*\d|@.*\.|^[A-ZĐ]{2,6}\d|^[A-ZĐ]\d+(?:\W|$)|^\d+[A-Za-z]$|^\d+(?:st|nd|rd|th|er|re|e|ème|ª|º|h|m|kg|mm|cm|km|g|l)$|^[\W\d_]+$|://|^www\.|_")
 LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]+")
+MARKS = " \t.,;:!?()[]{}<>|/*#-–—_=~•·"
+BULLET = re.compile(r"[-*•] ")
+#: Company forms, whose full stop ends no sentence.
+COMPANY = re.compile(r"\b(?:Inc|Ltd|Corp|Co|L\.L\.C|S\.A)\.$")
 DIGIT, DASHED, NUMBERED = re.compile(r"\d"), re.compile(r"[-–—]\s*\d{1,4}\s*[-–—]"), re.compile(r"\d{1,4}[.)]?")
-NUMBER = re.compile(r"\d+")
 END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 
 
-def letters(form: str) -> int:
-    """The form's characters as bits; different characters may share one."""
-    mask = 0
-    for c in form:
-        mask |= 1 << ord(c) % 128
-    return mask
+#: Signs and letters that recognition takes for one another, as one letter; then groups of letters, the longest first.
+LIKE = str.maketrans("@4!|1i†$50368c9", "aalllltssoebbeg")
+GROUPS = (("rrl", "m"), ("lll", "m"), ("ll", "h"), ("u", "h"), ("rn", "m"), ("vv", "w"), ("el", "d"), ("tl", "d"), ("le", "k"), ("rl", "n"))
+ALONE = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
+
+
+def signature(line: str) -> str:
+    """The line as recognition may blur it: equal for a line and what it is misread as; numbers don't count."""
+    out = ALONE.sub("#", line.lower()).translate(LIKE)
+    for group, one in GROUPS:
+        if group in out:
+            out = out.replace(group, one)
+    return out
 
 
 class Repairer:
@@ -45,7 +58,9 @@ class Repairer:
 
     def __init__(self, lexicon: dict[str, int], total: int, least: float):
         self.lexicon, self.total, self.floor = lexicon, max(1, total), max(0.5, least / 2)
+        self.longest = max(map(len, lexicon), default=0)
         self.misread = Memo(self._misread)
+        self.open = Memo(self._open)
 
     def count(self, word: str) -> float:
         return self.lexicon.get(word.lower(), 0)
@@ -76,16 +91,21 @@ class Repairer:
     def _misread(self, token: str) -> str | None:
         """The token as it was printed, if a character in it was misrecognised, else None."""
         core = token.strip(EDGE) if token[-1:] not in "|†" else token.lstrip(EDGE)
-        if len(core) < 3 or self.count(core) * RATIO > self.total * 1e-4 or CODE.search(core):
+        if len(core) < 3 or CODE.search(core):
             return None
+        # a frequent form is a word of its own, unless what it may stand for is far more frequent still
+        often = self.count(core) * RATIO > self.total * 1e-4
         out = []
         for part in re.split(r"([-/'’])", core):
             new = part
             if len(part) > 2 and not part.isdigit():
                 known = self.count(part)
-                best = max(self.variants(part), key=lambda w: (self.count(w), w), default=part)
+                # two confusions undone shorten a word by four letters at most, so beyond that it can't be one of the corpus
+                best = max(self.variants(part), key=lambda w: (self.count(w), w), default=part) if len(part) <= self.longest + 4 else part
                 n = self.count(best)
-                if SIGNED.search(part):
+                if often and n < 10 * RATIO * known:
+                    pass
+                elif SIGNED.search(part):
                     plain = "".join(SIGNS.get(c, c)[0] for c in part)
                     if n > known:
                         new = best
@@ -123,144 +143,225 @@ class Repairer:
     def furniture(self, lines: list[str]) -> dict[int, str]:
         """line -> 'page' or 'header' of the lines that belong to the page and not to the text.
 
-        Page numbers by their form. Headers and footers repeat, but for digits and
-        misread characters, and at least once cut a sentence or stand by a page number.
+        Page numbers by their form; a lone number where it cuts a sentence, stands by
+        a header, or continues such a number. Headers and footers repeat, but for
+        numbers and misread characters, and cut a sentence, stand by a page number, or
+        stand between sentences without being one. Linear in the lines, of any length.
         """
         out: dict[int, str] = {}
-        short = [i for i, s in enumerate(lines) if len(s) < 30 and DIGIT.search(s)]
-        for i in short:
-            s = lines[i].strip()
-            if DASHED.fullmatch(s) or PAGE.fullmatch(s) and not NUMBERED.fullmatch(s):
-                out[i] = "page"
-        for i in short:  # a lone number counts only where it cuts a sentence
-            if i not in out and lines[i].strip().isdigit() and len(lines[i].strip()) < 5 and self.cuts(lines, i, out):
-                out[i] = "page"
+        lone: dict[int, int] = {}
         groups: dict[str, list[int]] = defaultdict(list)
+        blanks = [s.count(" ") if s and not s[-1].isspace() and not s[0].isspace() else s.strip().count(" ") for s in lines]
+        alike = Counter(blanks)
         for i, s in enumerate(lines):
-            if i not in out and 3 < len(s) < 120 and 3 < len(t := s.strip()) < 100:
-                groups[NUMBER.sub("#", t)].append(i)
-        if len(lines) > 3:  # forms with misread characters join the form they resemble most
-            keys = sorted(groups, key=lambda k: -len(groups[k]))
-            masks, buckets = [letters(k) for k in keys], defaultdict(list)
-            for n, k in enumerate(keys):
-                buckets[k[:1].lower(), len(k)].append(n)
-            for m in range(len(keys) - 1, -1, -1):
-                k = keys[m]
-                # a company form at the end ("Inc.") is no full stop, so the last characters are not looked at
-                if len(groups[k]) == 1 and not next(filter(str.isalnum, k), "a").islower() and not END.search(k[:-4]):
-                    for n in sorted(n for size in range(len(k) - 3, len(k) + 4) for n in buckets.get((k[:1].lower(), size), ())):
-                        other = keys[n]
-                        # a character that the other form lacks matches nothing, so a ratio of 0.85 allows only so many
-                        if n == m or not groups.get(other) or (masks[m] & ~masks[n]).bit_count() > len(k) - 0.425 * (len(k) + len(other)):
-                            continue
-                        match = SequenceMatcher(None, k, other)
-                        if match.quick_ratio() > 0.85 and match.ratio() > 0.85:
-                            groups[other] += groups.pop(k)
-                            break
-        repeated = {i: "" for at in groups.values() if len(at) > 1 for i in at} | out
+            t = s.strip()
+            if not t:
+                continue
+            if (m := DASHED.match(t)) and (not END.search(t[m.end() :]) or COMPANY.search(t)):
+                out[i] = "page"
+                continue
+            if DIGIT.search(t) and len(t.strip(MARKS)) < 30:  # no form of a page number is longer
+                if PAGE.fullmatch(t) and not NUMBERED.fullmatch(t):
+                    out[i] = "page"
+                    continue
+                if t.isdigit() and len(t) < 5:
+                    lone[i] = int(t)
+                    continue
+            if len(t) > 3 and alike[blanks[i]] > 1:  # equal signatures have equally many blanks
+                groups[signature(t)].append(i)
+        if lone:
+            cut = self.cutting(lines, out)
+            out |= {i: "page" for i in lone if cut(i)}
+        repeated = {i: "" for at in groups.values() if len(at) > 1 for i in at} | dict.fromkeys(lone, "") | out
+        width, cut = max(map(len, lines)), self.cutting(lines, repeated)
         for at in groups.values():
-            if len(at) > 1:
-                proof = sum(self.cuts(lines, i, repeated) or i - 1 in out or i + 1 in out for i in at)
-                head = lines[at[0]].strip()
-                first = next(filter(str.isalnum, head), "a")
-                if proof and proof * 2 >= len(at) - 1 and not first.islower() and not re.match(r"[-*•] ", head):
-                    out |= dict.fromkeys(at, "header")
+            head = lines[at[0]].strip()
+            if len(at) < 2 or next(filter(str.isalnum, head), "a").islower() or BULLET.match(head):
+                continue
+            proof = sum(cut(i) or i - 1 in out or i + 1 in out for i in at)
+            if proof and proof * 2 >= len(at) - 1 or len(head) > 11 and " " in head and all(cut(i) or self.apart(lines, i, width) for i in at):
+                out |= dict.fromkeys(at, "header")
+        numbers = {i: n for i, n in lone.items() if i in out or i - 1 in out or i + 1 in out or i in (0, len(lines) - 1) and out}
+        if numbers:  # pages are numbered upwards
+            for i, n in lone.items():
+                if i in numbers or any(j < i and m < n <= m + i - j or j > i and n < m <= n + j - i for j, m in numbers.items()):
+                    out[i] = "page"
+        elif len(lone) > 1 and all(b - a == 1 for a, b in zip(lone.values(), list(lone.values())[1:])):
+            out |= dict.fromkeys(lone, "page")
         return out
 
     @staticmethod
-    def cuts(lines: list[str], i: int, skip: dict) -> bool:
-        """Does the sentence before line i go on after it?"""
-        a, b = i - 1, i + 1
-        while a >= 0 and a in skip:
-            a -= 1
-        while b < len(lines) and b in skip:
-            b += 1
-        if a < 0 or b >= len(lines) or not lines[a].strip() or not lines[b].strip():
+    def apart(lines: list[str], i: int, width: int) -> bool:
+        """Is line i no sentence, and broken off where the next line's first word would have had room?"""
+        s = lines[i].rstrip()
+        if END.search(s) and not COMPANY.search(s):
             return False
-        return not END.search(lines[a].strip()) and (lines[b].lstrip()[0].islower() or lines[a].rstrip()[-1] in HYPHENS)
+        after = lines[i + 1].split(" ")[0] if i + 1 < len(lines) else ""
+        return len(s) + 1 + len(after) <= width
+
+    @staticmethod
+    def cutting(lines: list[str], skip: dict) -> Callable[[int], bool]:
+        """Tells of a line whether the sentence before it goes on behind it, passing over the lines in ``skip``."""
+        before, after, k = [-1] * len(lines), [len(lines)] * len(lines), -1
+        for i in range(len(lines)):
+            before[i] = k
+            k = k if i in skip else i
+        k = len(lines)
+        for i in range(len(lines) - 1, -1, -1):
+            after[i] = k
+            k = k if i in skip else i
+
+        def cut(i: int) -> bool:
+            a, b = before[i], after[i]
+            if a < 0 or b >= len(lines) or not lines[a].strip() or not lines[b].strip():
+                return False
+            return not END.search(lines[a].strip()) and (lines[b].lstrip()[0].islower() or lines[a].rstrip()[-1] in HYPHENS)
+
+        return cut
+
+    def hypotheses(self, token: str) -> tuple[tuple[float, str, str], ...]:
+        """(cost, word, kind) of what a token may stand for: itself, itself misread; the first is the token as it is.
+
+        Words cost their rarity in the corpus. Only confusions that make a word RATIO
+        times likelier, or undo a sign inside an unknown word, are offered.
+        """
+        new = self.misread[token]
+        own = self.cost(token.strip(EDGE))
+        if not new:
+            return ((own, token, ""),)
+        return (own + SIGN, token, ""), (min(self.cost(new.strip(EDGE)), own), new, "misread")
+
+    def _open(self, token: str) -> int:
+        """What the lattice may do with a token: 0 keep it, 1 join it with another unknown one, 2 read or cut it differently."""
+        if self.misread[token] or self.cut(token):
+            return 2
+        return int(bool(token) and token.strip(EDGE).isalpha() and not self.count(token.strip(EDGE)))
+
+    def cut(self, token: str) -> tuple[float, int] | None:
+        """(cost, place) of the best cut of an unknown token into two frequent words."""
+        if not 6 <= len(token) <= 2 * self.longest or not token.isalpha() or self.count(token):
+            return None
+        sure = self.floor * 20
+        return min(((self.cost(token[:k]) + self.cost(token[k:]) + CUT, k) for k in range(2, len(token) - 1) if self.count(token[:k]) > sure and self.count(token[k:]) > sure), default=None)
+
+    def decode(self, tokens: list[str], line: list[int]) -> list[tuple[int, int, str, str]]:
+        """(first token, token behind, text, kind) wherever the likeliest reading of the stream differs from it.
+
+        The lines' characters form one stream. A shortest path over its places chooses
+        between keeping, correcting, splitting and merging words and joining halves over
+        a hyphen at a line's end. Places where only one reading is possible part the
+        lattice, so it is laid out only between them.
+        """
+        kinds = list(map(self.open.__getitem__, tokens))
+        n, out = len(tokens), []
+
+        def linked(i: int) -> bool:
+            """May token i be joined with the next?"""
+            if i + 1 >= n or not tokens[i] or not tokens[i + 1]:
+                return False
+            return line[i + 1] == line[i] + 1 and tokens[i][-1] in HYPHENS if line[i] != line[i + 1] else kinds[i] > 0 and kinds[i + 1] > 0
+
+        i = 0
+        while i < n:
+            j = i
+            while linked(j):
+                j += 1
+            if j > i or kinds[i] == 2:
+                out += self.path(tokens[i : j + 1], line[i : j + 1], i)
+            i = j + 1
+        return out
+
+    def path(self, tokens: list[str], line: list[int], first: int) -> list[tuple[int, int, str, str]]:
+        """The shortest path over a stretch of the stream; places are those of its characters."""
+        starts = [0]
+        for t in tokens:
+            starts.append(starts[-1] + len(t) + 1)  # a blank or line feed stands between
+        owner = {p: k for k, p in enumerate(starts)}
+        best: dict[int, tuple[float, int, str, str]] = {0: (0.0, 0, "", "")}
+
+        def offer(a: int, b: int, cost: float, text: str, kind: str) -> None:
+            total = best[a][0] + cost
+            if b not in best or total < best[b][0]:
+                best[b] = (total, a, text, kind)
+
+        for p in range(starts[-1]):
+            if p not in best or p not in owner:
+                continue
+            k = owner[p]
+            token, end = tokens[k], starts[k + 1]
+            options = self.hypotheses(token)
+            for cost, text, kind in options:
+                offer(p, end, cost, text, kind)
+            if cut := self.cut(token):
+                offer(p, end, cut[0], f"{token[: cut[1]]} {token[cut[1] :]}", "fused")
+            if k + 1 < len(tokens):
+                after, end = tokens[k + 1], starts[k + 2]
+                bare = after.strip(EDGE)
+                if line[k] != line[k + 1]:
+                    if joined := self.broken(token, after):
+                        lead, tail = token[: len(token) - len(token.lstrip(EDGE))], after[len(after.rstrip(EDGE)) :]
+                        # halves cost at most as much as the first alone, since a hyphen ends no line by itself
+                        offer(p, end, min(self.cost(joined), options[0][0]) - JOINED, lead + joined + tail, "broken")
+                elif token.isalpha() and bare.isalpha() and not self.count(token) and not self.count(bare) and self.count(token + bare):
+                    offer(p, end, self.cost(token + bare) + CUT, token + after, "parted")
+        out, p = [], starts[-1]
+        while p:
+            _, a, text, kind = best[p]
+            if kind:
+                out.append((first + owner[a], first + owner[p], text, kind))
+            p = a
+        return out[::-1]
 
     def is_noisy(self, text: str, tokens: list[str]) -> bool:
         """Whether :meth:`noisy` finds anything, for a text already cut into its tokens."""
         return any(map(self.misread.__getitem__, tokens)) or "\n" in text and bool(self.noisy(text))
 
+    def stream(self, text: str) -> tuple[list[str], list[int], list[int], dict[int, str], list[str]]:
+        """(tokens, their lines, their numbers in the text, number -> kind of the tokens of page furniture, lines) of the text's body."""
+        lines = text.split("\n")
+        plain = self.furniture(lines) if len(lines) > 1 else {}
+        tokens, line, number, marks, body, at = [], [], [], {}, [], 0
+        for i, s in enumerate(lines):
+            parts = s.split(" ")
+            if i in plain:
+                marks |= {at + k: plain[i] for k, t in enumerate(parts) if t}
+            else:
+                if s:
+                    tokens += parts
+                    line += [len(body)] * len(parts)
+                    number += range(at, at + len(parts))
+                body.append(s)
+            at += len(parts)
+        return tokens, line, number, marks, body
+
     def noisy(self, text: str) -> dict[int, str]:
-        """token number -> kind of noise ('broken', 'misread', 'header', 'page'); tokens are cut at blanks and line feeds."""
-        tokens = text.replace("\n", " ").split(" ")
-        out = {i: "misread" for i, new in enumerate(map(self.misread.__getitem__, tokens)) if new}
+        """token number -> kind of noise ('broken', 'misread', 'header', 'page'): where the decoded text differs from the
+        given one in its letters or lines. Tokens are cut at blanks and line feeds. A missing or added blank is repaired
+        but no noise of a page."""
         if "\n" not in text:
-            return out
-        lines, first, at = text.split("\n"), [], 0
-        for s in lines:
-            first.append(at)
-            at += s.count(" ") + 1
-        plain = self.furniture(lines) if len(lines) > 1 else {}
-        for i, kind in plain.items():
-            end = first[i + 1] if i + 1 < len(lines) else at
-            out |= dict.fromkeys((k for k in range(first[i], end) if tokens[k]), kind)
-        body = [i for i in range(len(lines)) if i not in plain]
-        for i, j in zip(body, body[1:]):
-            if lines[i] and lines[i][-1] in HYPHENS and lines[j]:
-                k = first[i] + lines[i].count(" ")
-                if self.broken(tokens[k], tokens[first[j]]):
-                    out[k] = out[first[j]] = "broken"
+            tokens = text.split(" ")
+            line, number, out = [0] * len(tokens), range(len(tokens)), {}
+        else:
+            tokens, line, number, out, _ = self.stream(text)
+        for a, b, _, kind in self.decode(tokens, line):
+            if kind in ("misread", "broken"):
+                out |= dict.fromkeys(number[a:b], kind)
         return out
 
     def repair(self, text: str) -> str:
-        """The text in paragraphs, without page furniture, with words joined, split and corrected.
-
-        The lines' tokens form one stream. A shortest path over it chooses for each
-        stretch between keeping a token, correcting it, joining it with the next (at a
-        hyphen that ends a line, or where neither part is a word but both together
-        are), and splitting a token into two known words.
-        """
-        lines = text.split("\n")
-        plain = self.furniture(lines)
-        body = [s for i, s in enumerate(lines) if i not in plain]
-        stream: list[tuple[str, int]] = []  # token, line
-        for i, s in enumerate(body):
-            stream += [(t, i) for t in s.split(" ") if t]
-        n = len(stream)
-        best: list[tuple[float, int, str]] = [(math.inf, 0, "")] * (n + 1)
-        best[0] = (0.0, 0, "")
-        for i, (token, line) in enumerate(stream):
-            base = best[i][0]
-
-            def offer(end: int, cost: float, word: str, base=base, i=i) -> None:
-                if base + cost < best[end][0]:
-                    best[end] = (base + cost, i, word)
-
-            own = self.cost(token.strip(EDGE))
-            offer(i + 1, own, token)
-            new = self.misread[token]
-            if new:
-                offer(i + 1, min(own, self.cost(new.strip(EDGE)) + 1.0) - 0.1, new)
-            if i + 1 < n:
-                after, next_line = stream[i + 1]
-                if next_line == line + 1 and token[-1] in HYPHENS and (joined := self.broken(token, after)):
-                    tail = after[len(after.rstrip(EDGE)) :]
-                    lead = token[: len(token) - len(token.lstrip(EDGE))]
-                    offer(i + 2, min(self.cost(joined), own) - 1.0, lead + joined + tail)
-                elif next_line == line and token.isalpha() and after.strip(EDGE).isalpha() and not self.count(token) and not self.count(after.strip(EDGE)) and self.count(token + after.strip(EDGE)):
-                    offer(i + 2, self.cost(token + after.strip(EDGE)) + 4.0, token + after)
-            if token.isalpha() and len(token) > 5 and not self.count(token):
-                cuts = [(self.cost(token[:k]) + self.cost(token[k:]) + 6.0, k) for k in range(2, len(token) - 1) if self.count(token[:k]) > self.floor * 20 and self.count(token[k:]) > self.floor * 20]
-                if cuts:
-                    c, k = min(cuts)
-                    offer(i + 1, c, f"{token[:k]} {token[k:]}")
-        pieces, i = [], n
-        while i:
-            _, back, word = best[i]
-            pieces.append((word, back))
-            i = back
-        pieces.reverse()
+        """The text in paragraphs, without page furniture, with words joined, parted and corrected as :meth:`decode` reads them."""
+        tokens, line, _, _, body = self.stream(text)
         breaks = self.paragraphs(body)
-        out, last = [], 0
-        for word, k in pieces:
-            line = stream[k][1]
-            if out:
-                out.append("\n\n" if any(breaks[last:line]) else " ")
-            out.append(word)
-            last = stream[min(n - 1, k)][1]
+        changed = {a: (b, new) for a, b, new, _ in self.decode(tokens, line)}
+        out, last, i = [], 0, 0
+        while i < len(tokens):
+            b, word = changed.get(i, (i + 1, tokens[i]))
+            if word:
+                if out:
+                    out.append("\n\n" if any(breaks[last : line[i]]) else " ")
+                out.append(word)
+                last = line[b - 1]
+            i = b
         return "".join(out)
 
     @staticmethod

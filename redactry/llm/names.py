@@ -162,7 +162,7 @@ class Vectors:
     def __init__(self, counts: dict[str, int], total: int):
         self.counts, self.least, self.total = counts, max(2.0, RARE * total), max(1, total)
         self.of_word = Memo(lambda key: {f: self.weight(f) * (CLASS if f[0] == "@" else 1) for f in word_features(*key)})
-        self.memo = Memo(lambda name: self.vector(*unpacked_name(name)[:2]), 20_000)
+        self.memo = Memo(lambda name: self.vector(*unpacked_name(name)[:2]), 20_000, 256)
 
     def count(self, feature: str) -> float:
         return max(self.counts.get(feature, 0), self.least)
@@ -339,7 +339,7 @@ def parsed(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
             name = parse(text)
             return packed(name) if name[1] else ""
 
-        memo = Memo(one, 50_000)
+        memo = Memo(one, 50_000, 256)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = pa.array([memo[t] for t in batch.column(len(keys)).to_pylist()], pa.string())
@@ -424,7 +424,7 @@ def similar(nodes: DataFrame, weights: tuple[dict[str, int], int], hot: dict[int
     shared = nodes.sparkSession.sparkContext.broadcast(weights)
 
     def make():
-        vectors, memo = Vectors(*shared.value), Memo(unpacked_name, 20_000)
+        vectors, memo = Vectors(*shared.value), Memo(unpacked_name, 20_000, 256)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sims = []
