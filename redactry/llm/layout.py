@@ -172,12 +172,11 @@ class Repairer:
         if lone:
             cut = self.cutting(lines, out)
             out |= {i: "page" for i in lone if cut(i)}
-        repeated = {i: "" for at in groups.values() if len(at) > 1 for i in at} | dict.fromkeys(lone, "") | out
+        heads = [at for at in groups.values() if len(at) > 1 and not next(filter(str.isalnum, lines[at[0]]), "a").islower() and not BULLET.match(lines[at[0]].strip())]
+        repeated = {i: "" for at in heads for i in at} | dict.fromkeys(lone, "") | out
         width, cut = max(map(len, lines)), self.cutting(lines, repeated)
-        for at in groups.values():
+        for at in heads:
             head = lines[at[0]].strip()
-            if len(at) < 2 or next(filter(str.isalnum, head), "a").islower() or BULLET.match(head):
-                continue
             proof = sum(cut(i) or i - 1 in out or i + 1 in out for i in at)
             if proof and proof * 2 >= len(at) - 1 or len(head) > 11 and " " in head and all(cut(i) or self.apart(lines, i, width) for i in at):
                 out |= dict.fromkeys(at, "header")

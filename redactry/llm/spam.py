@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactry.llm.arrow import map_batches
+from redactry.sources.tables import checkpointed
 
 #: Frequent function words of the languages, by which sentences are told from lists.
 FUNCTION_WORDS = {
@@ -36,24 +37,30 @@ LINK = re.compile(r"\[[^\]\n]*\]\(\S*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+
 TAG = re.compile(r"#[^\W\d]\w*")
 CUT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])|\n+")
 WORD = re.compile(r"[^\W\d_]+")
-#: What marks a patent's own lists: reference signs, classes, cited works, claims, sequences, formulas.
-OWN = re.compile(r"^\(?\d{1,4}[a-z]?\)?[\s:–-]+[^\d,.;|»›/#]{2,60}$|^\[\d+\]\s.*|^[A-H]\d\d[A-Z]\s?\d+/\d+.*|.*\b(?:claims?|ansprüche?n?|anspruch|revendications?|reivindicaci(?:ón|ones)|reivindicaç(?:ão|ões))\b.*|^SEQ ID.*", re.I | re.S)
+#: What marks a patent's own lists: reference signs, classes, cited works, sequences, formulas; and how a
+#: claim refers to others, by a number, a range or any of them.
+OWN = re.compile(r"^\(?\d{1,4}[a-z]?\)?[\s:–-]+[^\d,.;|»›/#]{2,60}$|^\[\d+\]\s.*|^[A-H]\d\d[A-Z]\s?\d+/\d+.*|^SEQ ID.*", re.I | re.S)
+CLAIM = re.compile(r"\b(?:claims?|ansprüche?n?|anspruch|patentansprüche?n?|revendications?|reivindicaci(?:ón|ones)|reivindicaç(?:ão|ões))\b", re.I)
+#: Documents of a label that a language without a list needs, before its function words are learned from them, the share
+#: of these documents and the part of all their words that such a word makes up.
+LEARNED_FROM, IN_DOCUMENTS, OF_WORDS = 100, 0.5, 0.005
 SEQUENCE = re.compile(r"\b(?:[acgtun]{9,}|[ACDEFGHIKLMNPQRSTVWY]{9,})\b")
 SEPARATOR = re.compile(r"[|›»/•·,;#>]| [-–—] ")
 
 
-def language(words: list[str], lang: str | None) -> str:
-    """The language whose function words fill most of the text; the label only decides where hardly any occur, as labels are often wrong."""
+def language(words: list[str], lang: str | None, known: dict[str, frozenset[str]] = WORDS) -> str:
+    """The language whose function words fill most of the text; the label only decides where hardly any occur, as labels
+    are often wrong. '' if the label names none that is known: its function words say nothing then."""
     some = Counter(words)
-    best, n = max(((x, sum(map(some.__getitem__, known))) for x, known in WORDS.items()), key=lambda x: (x[1], x[0] == lang))
-    return best if n * 12 > len(words) or lang not in WORDS else lang
+    best, n = max(((x, sum(map(some.__getitem__, ws))) for x, ws in known.items()), key=lambda x: (x[1], x[0] == lang))
+    return best if n * 12 > len(words) else lang if lang in known else ""
 
 
-def windows(text: str, lang: str | None) -> tuple[str, list[tuple[int, int]]]:
+def windows(text: str, lang: str | None, known: dict[str, frozenset[str]] = WORDS) -> tuple[str, list[tuple[int, int]]]:
     """(language, (per cent of function words, per cent of different words) of each window)."""
     w = text.lower().split()
-    lang = language(w, lang)
-    known = WORDS[lang]
+    lang = language(w, lang, known)
+    known = known.get(lang, frozenset())
     out = []
     for i in range(0, len(w) - WINDOW + 1, WINDOW):
         s = w[i : i + WINDOW]
@@ -77,26 +84,59 @@ def shares(words: list[str], units: list[str], known: frozenset[str]) -> tuple[f
     return n / len(words), 1 - len(set(all_grams)) / len(all_grams), 1 - sum(map(len, set(units))) / total, top
 
 
-def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[float, ...]]:
-    """language -> (least share of function words, least share of different words), from the windows of all documents,
-    then the most a page may have as top-word, repeated n-gram and duplicate-line share, from all documents.
+def function_words(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, frozenset[str]]:
+    """The lists above, and for each other label of at least LEARNED_FROM documents the words that stand in most of them
+    and make up OF_WORDS of all their words: at most 1 / OF_WORDS a label, of at most as many labels as have that share
+    of the documents. Only texts of such labels are counted."""
+    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where((F.length("text") > 0) & F.col("lang").isNotNull() & ~F.col("lang").isin(*WORDS))
+    labels = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEARNED_FROM).collect()}
+    if not labels:
+        return WORDS
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            docs, total = Counter(), Counter()
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ws = WORD.findall(text.lower())
+                total.update((lang, w) for w in ws)
+                docs.update((lang, w) for w in set(ws))
+            keys = list(docs)
+            return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([docs[k] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())], names=["lang", "w", "docs", "n"])
+
+        return step
+
+    counts = map_batches(rows.where(F.col("lang").isin(*labels)), make, "lang string, w string, docs bigint, n bigint").groupBy("lang", "w").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    counts = checkpointed(counts)
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    least = F.create_map(*[F.lit(x) for k in totals for x in (k, OF_WORDS * totals[k])]), F.create_map(*[F.lit(x) for k in labels for x in (k, IN_DOCUMENTS * labels[k])])
+    learned: dict[str, set[str]] = defaultdict(set)
+    for r in counts.where((F.col("n") >= least[0][F.col("lang")]) & (F.col("docs") >= least[1][F.col("lang")])).collect():
+        learned[r.lang].add(r.w)
+    return WORDS | {k: frozenset(ws) for k, ws in learned.items()}
+
+
+def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple]:
+    """language -> (its function words, least share of them, least share of different words), from the windows of all
+    documents, then the most a page may have as top-word, repeated n-gram and duplicate-line share, from all documents.
+    '' stands for texts of no known language, which are not judged by function words.
 
     Histograms of whole per cents are summed per task and then over all tasks, so the
     driver gets a table whose size does not depend on the corpus.
     """
+    known = function_words(df, text_col, lang_col)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             hist: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    lang, found = windows(text, lang)
+                    lang, found = windows(text, lang, known)
                     for f, d in found:
                         hist[lang, 0, f] += 1
                         hist[lang, 1, d] += 1
                     if found:
                         units = [u.strip() for u in CUT.split(text) if u.strip()]
-                        for what, x in enumerate(shares(WORD.findall(text.lower()), units, WORDS[lang])[:3], 2):
+                        for what, x in enumerate(shares(WORD.findall(text.lower()), units, known.get(lang, frozenset()))[:3], 2):
                             hist[lang, what, int(100 * x)] += 1
             keys = list(hist)
             return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([hist[k] for k in keys], pa.int64())], names=["lang", "what", "bin", "n"])
@@ -117,14 +157,15 @@ def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         return None
 
     out = {}
-    for lang in WORDS:
+    for lang in (*known, ""):
         f, d = quantile((lang, 0)), quantile((lang, 1))
         most = ((quantile((lang, k), 0.75) or 0.0, least) for k, least in enumerate(LEAST_LIMITS, 2))
-        out[lang] = (POOR * min(0.5, f or 0.35), REPETITIVE * min(0.75, max(0.55, d or 0.65)), *(max(least, q + ABOVE * (1 - q)) for q, least in most))
+        # a median of a language that is mostly spam, or that hardly occurs, is no measure
+        out[lang] = (known.get(lang, frozenset()), POOR * min(0.5, f or 0.35) if lang else 0.0, REPETITIVE * min(0.75, max(0.55, d or 0.65)), *(max(least, q + ABOVE * (1 - q)) for q, least in most))
     return out
 
 
-def measure(text: str, lang: str | None, limits: dict[str, tuple[float, ...]]) -> dict[str, float]:
+def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str, float]:
     """Shares of the text's characters: links, lists (missing function words and dense separators or repeated
     words), repetition (few different words, or units that make up a top-word or repeated n-gram share beyond its
     limit), duplicate lines, and ``spam``, their union; of duplicate lines the copies beyond the first count, if
@@ -133,23 +174,26 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple[float, ...]]) -
     A patent's own lists, by their form, are never spam.
     """
     out = dict.fromkeys(("links", "lists", "repeats", "duplicates", "spam"), 0.0)
-    lang = language(text.lower().split(), lang)
-    least_f, least_d, *most = limits[lang]
+    lang = language(text.lower().split(), lang, {k: v[0] for k, v in limits.items() if k})
+    known, least_f, least_d, *most = limits.get(lang) or (frozenset(), 0.0, REPETITIVE * 0.65)
     most_top, most_grams, most_copies = most or LEAST_LIMITS
-    known = WORDS[lang]
     units = [u for u in CUT.split(text) if u.strip()]
     if not units:
         return out
     linked = LINK.search(text) is not None
     words = [WORD.findall((LINK.sub(" ", u) if linked else u).lower()) for u in units]
     size = [len(u.strip()) for u in units]
-    own = [bool(OWN.match(u.strip())) or bool(SEQUENCE.search(u)) for u in units]
+    common = [[x for x in w if x in known] for w in words]
+    # a claim is known by the word and the sentence around it, never by the word alone
+    own = [bool(OWN.match(u.strip())) or bool(SEQUENCE.search(u)) or len(w) > 4 and len(f) >= max(least_f, 0.15) * len(w) and bool(CLAIM.search(u)) for u, w, f in zip(units, words, common)]
     link = [linked and not o and sum(len(m.group()) for m in LINK.finditer(u)) > 0.4 * n for u, n, o in zip(units, size, own)]
     tags = ["#" in u and sum(len(m.group()) for m in TAG.finditer(u)) > 0.5 * n for u, n in zip(units, size)]
     thin = []
-    for u, w, o, t in zip(units, words, own, tags):
-        f = [x for x in w if x in known]
-        thin.append(t or not o and len(w) > 0 and (len(f) / len(w) < least_f or len(set(f)) <= min(FEW, len(w) // 8) and (len(w) > 12 or len(SEPARATOR.findall(u)) * 5 > len(w))))
+    for u, w, o, t, f in zip(units, words, own, tags, common):
+        dense = len(SEPARATOR.findall(u)) * 5 > len(w)
+        # without a known language only separators tell a list from a sentence
+        poor = len(f) / max(1, len(w)) < least_f or len(set(f)) <= min(FEW, len(w) // 8) and (len(w) > 12 or dense) if lang else dense or len(w) <= FEW
+        thin.append(t or not o and len(w) > 0 and poor)
     listed = [False] * len(units)
     i = 0
     while i < len(units):
@@ -207,7 +251,7 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple[float, ...]]) -
     return out
 
 
-def score_pages(df: DataFrame, limits: dict[str, tuple[float, ...]], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score_pages(df: DataFrame, limits: dict[str, tuple], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, links, lists, repeats, duplicates, spam) of each document with text; null and blank ones give no row. No shuffle."""
     kind = dict(df.dtypes)[id_col]
     names = ("links", "lists", "repeats", "duplicates", "spam")
