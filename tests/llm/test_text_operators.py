@@ -491,6 +491,6 @@ def test_pages_a_word_or_a_language_may_not_hide():
 
 def test_function_words_of_other_labels_are_learned(spark):
     prose = ["вода идёт в дом и в сад", "дом стоит в поле и ждёт", "мастер и его сын в пути", "снег лёг в саду и на дом"]
-    df = spark.createDataFrame([(k, prose[k % 4] + f" слово{k}", "ru") for k in range(120)] + [(900, "a b", "xx"), (901, None, "ru")], "doc_id int, text string, lang string")
+    df = spark.createDataFrame([(k, prose[k % 4] + " " + chr(0x430 + k % 32) * 3, "ru") for k in range(120)] + [(900, "a b", "xx"), (901, None, "ru")], "doc_id int, text string, lang string")
     known = spam.function_words(df)
-    assert {"в", "и"} <= known["ru"] and "xx" not in known and not any(w.startswith("слово") for w in known["ru"])
+    assert {"в", "и"} <= known["ru"] and "xx" not in known and "ббб" not in known["ru"]
