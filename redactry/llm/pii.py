@@ -17,9 +17,15 @@ from redactry.sources.tables import checkpointed
 
 UPPER = "".join(chr(c) for c in range(0x1F00) if chr(c).isupper())
 L = r"[^\W\d_]"
-#: Share of a context's numbers that must be listed as an identity number before the context counts as revealing one,
-#: and share of a word's occurrences that must stand in a person's name before it counts as part of names.
-DISCLOSED, NAME_SHARE = 0.3, 0.25
+#: Bits of information that a term must give away about the entities listed: how much likelier than any word of the corpus
+#: such a term is listed. One threshold for all types.
+DISCLOSED = 3.5
+#: Mentions that the estimate behind a context (of its last word, its form, its type) counts for.
+PRIOR = 8.0
+#: Forms with contexts of at least this share of all mentions are known to every task: at most 1 / SHARE of them.
+SHARE = 1e-4
+#: Share of a word's occurrences that must stand in a person's name before it counts as part of names.
+NAME_SHARE = 0.25
 #: Words rarer than this among all words can be surnames; the more frequent ones are looked up (at most 1 / share).
 COMMON = 2e-5
 
@@ -36,7 +42,7 @@ ES_STREET = "Calle|Avenida|Avda\\.|Paseo|Travesía|Plaza|Camino|Carretera|Ronda|
 PT_STREET = "Rua|Avenida|Av\\.|Travessa|Largo|Praça|Estrada|Alameda|Beco|Calçada|Rampa|Ladeira"
 #: (words of which one must be there, the address from its number or keyword on); each begins with a digit or a fixed word, so the scan is fast.
 FORMS = tuple(
-    (frozenset(need.split("|")), re.compile(form))
+    (frozenset(w for part in need.split("|") for w in part.split(".") if w), re.compile(form))
     for need, form in (
         (EN_STREET, rf"(?<![\w/.-])\d+[A-Z]?{S}(?:{CAP}{S}){{1,3}}(?:{EN_STREET})\b\.?,{S}{NAME}(?:,?{S}[A-Z]{{1,2}}\d[A-Z\d]?{S}\d[A-Z]{{2}}|,?{S}[A-Z]{{2}}{S}\d{{5}}(?:-\d{{4}})?)?"),
         (FR_STREET, rf"(?<![\w/.-])\d+(?:{S}(?:bis|ter|quater))?,?{S}(?:{FR_STREET}){S}{JOIN}*{NAME}(?:,{S}bât\.?{S}\w+)?,{S}(?:\d{{5}}{S})?{NAME}"),
@@ -53,19 +59,42 @@ DE_NAME = re.compile(rf"(?:(?:Am|An|Im|Auf|Zum|Zur|In)(?:{S}(?:der|dem|den))?(?:
 LEAD = re.compile(r"(?:(?:Apt|Flat|Unit|Suite)\.?\s+\d+[A-Z]?,\s+|S[ốo]\s+|\d{6},\s+)$")
 
 
-def addresses(text: str, tokens: set[str]) -> list[tuple[int, int]]:
-    """Spans of street addresses; ``tokens`` are the text's, by which most forms are ruled out."""
+PARTS = re.compile("[.'’–—-]")
+
+
+def pieces(tokens: list[str]) -> set[str]:
+    """The tokens and what stands between the stops, hyphens and apostrophes in them."""
+    out = set(tokens)
+    for t in tokens:
+        if not t.isalnum():
+            out.update(PARTS.split(t))
+    return out
+
+
+def back(text: str, at: int, words: int) -> int:
+    """Where so many words, cut at blanks and line feeds, begin before a place."""
+    while words and at > 0:
+        before = at
+        at = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at))
+        if at < 0:
+            return 0
+        words -= before - at > 1
+    return at
+
+
+def addresses(text: str, parts: set[str] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, form) of street addresses; ``parts`` are the text's :func:`pieces`, by which most forms are ruled out."""
     out = []
-    for need, form in FORMS:
-        if need.isdisjoint(tokens):
+    for k, (need, form) in enumerate(FORMS):
+        if parts is not None and need.isdisjoint(parts):
             continue
         for m in form.finditer(text):
-            lead = LEAD.search(text, max(0, m.start() - 16), m.start())
-            out.append((lead.start() if lead else m.start(), m.end()))
+            lead = LEAD.search(text, back(text, m.start(), 3), m.start())
+            out.append((lead.start() if lead else m.start(), m.end(), str(k)))
     for m in DE_NUMBER.finditer(text):
-        name = DE_NAME.search(text, max(0, m.start() - 45), m.start())
+        name = DE_NAME.search(text, back(text, m.start(), 6), m.start())
         if name:
-            out.append((name.start(), m.end()))
+            out.append((name.start(), m.end(), "de"))
     return out
 
 
@@ -75,21 +104,25 @@ LOCAL = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9_%+-]|{DOT}(?=[A-Za-z0-9]))*(?=\s*
 DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9-]|{DOT}(?=[A-Za-z0-9]))*{DOT}[A-Za-z]{{2,}}", re.I)
 
 
-def emails(text: str) -> list[tuple[int, int]]:
-    """Addresses around each @, or the sign written as a word in brackets."""
+def emails(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, form) of addresses around each @, or the sign written as a word in brackets; of any length."""
     out = []
     for m in AT_SIGN.finditer(text):
         a, b = m.span()
         if m.group() != "@":
             while b < len(text) and text[b].isspace():
                 b += 1
-        left, right = LOCAL.search(text, max(0, a - 80), a), DOMAIN.match(text, b)
+        room = 80
+        while (left := LOCAL.search(text, max(0, a - room), a)) and left.start() <= a - room + 8 and room < a:
+            room *= 2  # it may begin before the window
+        right = DOMAIN.match(text, b)
         if left and right and (left.end() == a or m.group() != "@"):
-            out.append((left.start(), right.end()))
+            out.append((left.start(), right.end(), "plain" if m.group() == "@" else "spelled"))
     return out
 
 
-DIGITS = re.compile(r"[+(]?\d[\d \n().+-]{5,}\d")
+DIGITS = re.compile(r"[+(]?\d[\d \n().+/-]{5,}\d")
+RUN = re.compile(r"\d+")
 
 
 SSN = re.compile(r"(?<![\w.+/-])(?!000|666|9\d\d)\d{3}([- \n])(?!00)\d\d\1(?!0000)\d{4}(?![\w/-]|\.\d)")
@@ -103,8 +136,6 @@ PHONE = re.compile(
     rf"|{B}0[1-79](?:{P}\d\d){{4}}{E}|{B}01[5-7]\d[- \n/]\d{{7,8}}{E}|{B}0[2-9]\d{{1,3}}[ \n/-]\d{{4,8}}(?:[ \n]\d{{2,4}})?{E}|{B}8[ \n]?\(\d{{3}}\)[ \n]?\d{{3}}[- ]\d\d[- ]\d\d{E}"
 )
 NATIONAL = re.compile(rf"{B}(?:\d{{12}}|\d{{9}}|\d{{3}}(?:[ \n]\d{{3}}){{2,3}}){E}")
-#: Words before a number that make it no phone number (bank, order, tax, network), and titles before a name.
-NO_PHONE = frozenset("account konto compte cuenta conta счёт счет khoản khoan order pedido commande bestellung заказ hàng hang ticket tax code thuế thue contract contrat contrato vertrag договору đồng dong gateway bị bi".split())
 INITIAL = re.compile(rf"[{UPPER}]\.(?:[{UPPER}]\.)*")
 SMALL_INITIAL = re.compile("[a-z]\\.")
 TOKEN = re.compile(r"[^\s,;:!?()\[\]{}\"“”«»„<>…•/|]+")
@@ -219,8 +250,8 @@ class Finder:
                         self._by.setdefault(k, []).append(g)
         return [*self._by.get(flat[:2], ()), *self._by.get(flat[-3:], ())]
 
-    def persons_in(self, text: str, raws: list[str], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Spans of persons' names outside ``taken``; ``raws`` are the text's tokens."""
+    def persons_in(self, text: str, raws: list[str], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+        """(start, end, kinds of the words, first word) of persons' names outside ``taken``; ``raws`` are the text's tokens."""
         infos = list(map(self.info.__getitem__, raws))
         kinds = [k[2] for k in infos]
         if _HEADS.isdisjoint(kinds):
@@ -297,11 +328,12 @@ class Finder:
             if last < 0:
                 continue
             end = toks[last][1]
-            if ORG_AFTER.match(text, end) or ORG_BEFORE.search(text, max(0, toks[first][0] - 30), toks[first][0]):
+            if ORG_AFTER.match(text, end) or ORG_BEFORE.search(text, back(text, toks[first][0], 6), toks[first][0]):
                 continue
             if toks[last][3] != "i":
                 end = toks[last][0] + len(toks[last][2].rstrip(TRAIL))
-            out.append((toks[first][0], end))
+            form = "".join(kinds[first : last + 1]) + (toks[last][2] if kinds[last] == "i" else "")
+            out.append((toks[first][0], end, form, names.bare(toks[first][2])))
             used = last
         return out
 
@@ -366,24 +398,24 @@ def _trim(token: str) -> str:
     return token if SMALL_INITIAL.fullmatch(token) else token.strip(TRAIL)
 
 
-def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, bool, str]]:
-    """(start, end, type, sure, context) of each mention; identity numbers without blanks depend on their context."""
+def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, type, form, context) of each term that may be personal; :func:`disclosed` decides which are."""
     flat, starts, ends = flatten(text)
     raws = TOKEN.findall(flat)
-    found: list[tuple[int, int, str, bool, str]] = []
+    found: list[tuple[int, int, str, str, str]] = []
     taken: list[tuple[int, int]] = []
 
-    def take(a: int, b: int, kind: str, sure: bool = True, context: str = "") -> None:
+    def take(a: int, b: int, kind: str, form: str = "", context: str = "") -> None:
         if not any(x < b and a < y for x, y in taken):
             taken.append((a, b))
-            found.append((a, b, kind, sure, context))
+            found.append((a, b, kind, form, context))
 
     if "@" in flat or "(" in flat or "[" in flat or "{" in flat:
-        for a, b in emails(flat):
-            take(a, b, "EMAIL_ADDRESS")
+        for a, b, form in emails(flat):
+            take(a, b, "EMAIL_ADDRESS", form)
     if DIGIT.search(flat):
-        for a, b in addresses(flat, set(raws)):
-            take(a, b, "FULL_ADDRESS")
+        for a, b, form in addresses(flat, pieces(raws)):
+            take(a, b, "FULL_ADDRESS", form)
         if numbers := [m.span() for m in DIGITS.finditer(flat)]:
             for form, kind in ((SSN, "US_SSN"), (PHONE, "PHONE_NUMBER"), (NATIONAL, "VN_NATIONAL_ID")):
                 for x, y in numbers:
@@ -394,13 +426,12 @@ def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, bool, str]]
                         if not m or m.start() >= y:
                             break
                         x = m.end()
-                        before = _words(flat, m.start())
-                        if kind == "VN_NATIONAL_ID":
-                            take(*m.span(), kind, False, " ".join(names.bare(w) for w in before[-2:]))
-                        elif kind == "US_SSN" or not (before and before[-1] in NO_PHONE) and 8 <= sum(map(str.isdigit, m.group())) <= 15:
-                            take(*m.span(), kind)
-    for a, b in finder.persons_in(flat, raws, taken):
-        take(a, b, "PERSON")
+                        runs = [str(len(r)) for r in RUN.findall(m.group())]
+                        if kind != "PHONE_NUMBER" or 8 <= sum(map(int, runs)) <= 15:
+                            before = re.findall(rf"{L}+", flat[back(flat, m.start(), 3) : m.start()].lower())
+                            take(*m.span(), kind, " ".join(runs), " ".join(names.bare(w) for w in before[-2:]))
+    for a, b, form, first in finder.persons_in(flat, raws, taken):
+        take(a, b, "PERSON", form, first)
     if starts is not None:
         found = [(starts[a], ends[b - 1], *rest) for a, b, *rest in found]
     return sorted(found)
@@ -409,10 +440,6 @@ def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, bool, str]]
 DIGIT = re.compile(r"\d")
 
 
-def _words(text: str, at: int) -> list[str]:
-    return re.findall(rf"{L}+", text[max(0, at - 30) : at].lower())
-
-
 def learn(words: DataFrame, entities: DataFrame) -> tuple[frozenset[str], ...]:
     """(given names, Vietnamese given names, words of persons' names, plain words) from corpus counts.
 
@@ -463,7 +490,7 @@ VI_MIDDLE = frozenset("van thi minh duc huu xuan ngoc thanh quoc bich".split())
 
 
 def find(df: DataFrame, finder_parts, garbled=None, noisy=None, id_col: str = "scan_id", text_col: str = "text") -> DataFrame:
-    """(id, span_start, span_end, pii_type, sure, context), one row per mention.
+    """(id, span_start, span_end, pii_type, form, context), one row per mention.
 
     With ``garbled`` (of :func:`encoding.train`) and ``noisy`` (of :func:`layout.train`),
     texts that problems 1 and 6 find are passed over in the same pass. Null texts give no row.
@@ -487,29 +514,55 @@ def find(df: DataFrame, finder_parts, garbled=None, noisy=None, id_col: str = "s
                 got = mentions(text, finder)
                 ids.extend([i] * len(got))
                 rows.extend(got)
-            types = (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+            types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
             cols = list(zip(*rows)) if rows else [[]] * 5
-            return pa.record_batch([pa.array(ids, batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "span_start", "span_end", "pii_type", "sure", "context"])
+            return pa.record_batch([pa.array(ids, batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "span_start", "span_end", "pii_type", "form", "context"])
 
         return step
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    return map_batches(rows, make, f"id {kind}, span_start int, span_end int, pii_type string, sure boolean, context string").withColumnRenamed("id", id_col)
+    return map_batches(rows, make, f"id {kind}, span_start int, span_end int, pii_type string, form string, context string").withColumnRenamed("id", id_col)
 
 
-def disclosed(found: DataFrame, entities: DataFrame, id_col: str = "scan_id") -> DataFrame:
-    """The mentions that disclose: sure ones, and those whose context the corpus ties to identity numbers.
+def information(found: DataFrame, entities: DataFrame, n_words: int, id_col: str = "scan_id") -> DataFrame:
+    """(pii_type, form, context, n, bits): what the corpus says each kind of term gives away.
 
-    For each context, the share of its numbers that the entity rows list as
-    VN_NATIONAL_ID estimates how strongly it reveals one. Contexts below the
-    threshold (orders, tickets, accounts) drop out.
+    The entity rows list the mentions in part. The share of a kind's mentions that
+    they list estimates how likely such a term is an entity of its type: of those
+    behind the same words, smoothed by those behind the last word alone, these by
+    the form and that by the type. ``bits`` is its pointwise mutual information with
+    the entities: how much likelier that is than for any word of the corpus. A place
+    listed with several types counts for each in part; null types and places list nothing.
+    """
+    kinds = [r.pii_type for r in found.select("pii_type").distinct().collect()]
+    place = [id_col, "span_start", "span_end"]
+    listed = entities.where(F.col("entity_type").isNotNull()).groupBy(*place).agg(F.collect_set("entity_type").alias("types"))
+    told = F.when(F.array_contains("types", F.col("pii_type")), 1 / F.size("types")).otherwise(0.0)
+    hits = found.join(listed, place, "left").groupBy("pii_type", "form", "context").agg(F.count("*").alias("n"), F.sum(told).alias("l"))
+    hits = checkpointed(hits.withColumn("last", F.element_at(F.split("context", " "), -1)))
+    base = entities.where(F.col("entity_type").isin(*kinds)).select(*place).distinct().count() / max(1, n_words)
+    share = lambda n, hit, prior: (F.col(hit) + PRIOR * prior) / (F.col(n) + PRIOR)
+    out = hits
+    for k, keys in enumerate((["pii_type"], ["pii_type", "form"], ["pii_type", "last"])):
+        out = out.join(hits.groupBy(*keys).agg(F.sum("n").alias(f"n{k}"), F.sum("l").alias(f"l{k}")), keys)
+    p = F.col("l0") / F.col("n0")
+    for n, hit in (("n1", "l1"), ("n2", "l2"), ("n", "l")):
+        p = share(n, hit, p)
+    return out.select("pii_type", "form", "context", "n", F.log2(p / max(base, 1e-12)).alias("bits"))
+
+
+def disclosed(found: DataFrame, entities: DataFrame, n_words: int, id_col: str = "scan_id") -> DataFrame:
+    """The mentions whose kind of term gives away at least DISCLOSED bits; these are generalised to their type.
+
+    Kinds of term that make up SHARE of the mentions are looked up in a broadcast of
+    at most 1 / SHARE rows; only the others, which are no hot keys, are joined by them.
     """
-    unsure = found.where("NOT sure")
-    listed = entities.where("entity_type = 'VN_NATIONAL_ID'").select(F.col(id_col), "span_start", "span_end").distinct().withColumn("listed", F.lit(1))
-    stats = unsure.join(listed, [id_col, "span_start", "span_end"], "left").groupBy("context").agg(F.avg(F.coalesce("listed", F.lit(0))).alias("share"))
-    revealing = stats.where(F.col("share") >= DISCLOSED).select("context")
-    kept = unsure.join(revealing, "context", "left_semi")
-    return found.where("sure").unionByName(kept.select(*found.columns))
+    keys = ["pii_type", "form", "context"]
+    known = checkpointed(information(found, entities, n_words, id_col).withColumn("reveals", F.col("bits") >= DISCLOSED))
+    often = F.col("n") >= max(2.0, SHARE * found.count())
+    marked = found.join(F.broadcast(known.where(often).select(*keys, "reveals")), keys, "left")
+    rare = marked.where("reveals IS NULL").select(*found.columns).join(known.where(~often & F.col("reveals")).select(*keys), keys, "left_semi")
+    return marked.where("reveals").select(*found.columns).unionByName(rare.select(*found.columns))
 
 
 def masked(df: DataFrame, kept: DataFrame, id_col: str = "scan_id", text_col: str = "text") -> DataFrame:

@@ -59,7 +59,8 @@ def _mentions(spark: SparkSession, sf: str, all_texts: bool) -> DataFrame:
     entities = load(spark, sf, "detected_entities", "entity_id", "scan_id", "entity_type", "span_start", "span_end", "text_val")
     words = corpus.word_counts(rows)
     others = () if all_texts else (encoding.train(words), layout.train(words))
-    return pii.disclosed(checkpointed(pii.find(rows, pii.learn(words, entities), *others)), entities)
+    found = checkpointed(pii.find(rows, pii.learn(words, entities), *others))
+    return pii.disclosed(found, entities, words.agg(F.sum("n")).first()[0] or 0)
 
 
 def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
