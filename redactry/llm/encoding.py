@@ -10,19 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactry.llm import corpus
+from redactry.llm import corpus, lookalike
 from redactry.llm.arrow import Memo, map_batches
 from redactry.sources.tables import checkpointed
 
 #: The single-byte code pages a text may have been read in, and may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1250", "cp1258")
-MISREAD = ("cp1252", "cp1251", "mac_roman", "cp437", "cp866", "koi8-r", "cp1250")
-WRITTEN_AS = ("cp1252", "cp1251", "cp1250", "mac_roman", "cp866", "koi8-r")
 #: Log-likelihood a restored word must gain. Validation may lower it, not below the second figure,
 #: on so many of the most frequent words.
 MARGIN, LEAST_MARGIN, VALIDATED = 7.0, 4.0, 2000
-#: A known word whose characters reach this log probability each is not tried as another page.
-TYPICAL = -2.2
+#: Of the clean words of the validation, the share that may gain more than the margin.
+FALSE = 1e-3
 #: Times a restored word must be more frequent in the corpus than the word as it stands.
 RATIO = 5
 PUNCTUATION = " .,;:!?()[]{}\"'“”‘’«»„…–—-*•"
@@ -82,21 +80,57 @@ def unpacked(word: str, depth: int = 3) -> dict[str, str]:
     return out
 
 
+#: Chains of one step, which a run of words may share without any word that is known.
+DIRECT = frozenset(f"{a}>{b}" for a in READ_AS for b in READ_AS)
+
+
 @cache
 def rereadings() -> list[tuple[str, frozenset, dict[int, str]]]:
     """(chain, characters of the page, what each stands for in the other page) of every two pages."""
     out = []
-    for page in MISREAD:
-        for true in WRITTEN_AS:
+    for page in READ_AS:
+        for true in READ_AS:
             if page != true:
                 to = reading(true)
                 out.append((f"{page}>{true}", frozenset(map(chr, table(page))), {c: to[b] for c, b in table(page).items() if c > 127}))
     return out
 
 
+@cache
+def look_alikes() -> dict[int, str]:
+    """Letters of other scripts, and the Icelandic capital taken for the Vietnamese one, as what they look like."""
+    return str.maketrans(lookalike.CYRILLIC + lookalike.GREEK + "Ðð", lookalike.AS_LATIN + lookalike.GREEK_AS_LATIN + "Đđ")
+
+
+@cache
+def crossings() -> list[tuple[str, bytes]]:
+    """(chain, byte -> byte) of every two pages: what a byte read in the first is in the second; 255, never valid UTF-8, if nothing."""
+    return [(f"{a}>{b}", bytes(table(b).get(ord(c), 255) for c in reading(a))) for a in READ_AS for b in READ_AS if a != b]
+
+
+def crossed(word: str) -> dict[str, str]:
+    """text -> chain, for UTF-8 read in one page, written in another and read in a third."""
+    out: dict[str, str] = {}
+    for page in READ_AS:
+        raw = to_bytes(word, page)
+        if raw is None:
+            continue
+        for chain, to in crossings():
+            try:
+                got = raw.translate(to).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if got != word and got.isprintable():
+                out.setdefault(got, f"{page}>{chain}>utf-8")
+    return out
+
+
 @cache
 def has_plain_form(c: str) -> bool:
-    """Blanks, marks, controls and compatibility characters: the normaliser's, not this operator's."""
+    """Blanks, marks, controls and compatibility characters: the normaliser's, not this operator's. C1 controls only come
+    from a wrong decoding."""
+    if "\x80" <= c <= "\x9f":
+        return False
     return c in PUNCTUATION or c in "†‡°" or unicodedata.category(c)[0] in "ZCM" or unicodedata.normalize("NFKC", c) != c
 
 
@@ -135,23 +169,29 @@ class Restorer:
         self.by_length: dict[int, list[str]] | None = None
 
     def best(self, word: str) -> tuple[float, str, str, bool]:
+        """Every chain is scored: UTF-8 read as a page up to three deep, a page read as another, and both in either order."""
         own = self.model.word(word)
-        score, text, chain = own, word, ""
-        for t, c in unpacked(word).items():
-            if (s := self.model.word(t)) > score:
-                score, text, chain = s, t, c
-        if chain:
-            return score - own, chain, text, score - own > self.margin
-        known = self.lexicon.get(core(word), 0)
-        if own > TYPICAL * (len(word) + 1) and known:
-            return 0.0, "", word, False
-        for t, c in transcoded(word).items():
-            if (s := self.model.word(t)) > score:
-                score, text, chain = s, t, c
-        if not chain:
-            return 0.0, "", word, False
-        alone = score - own > self.margin and len(core(text)) > 2 and self.lexicon.get(core(text), 0) > RATIO * known
-        return score - own, chain, text, alone
+        known, size = self.lexicon.get(core(word), 0), self.model.word
+        deep = unpacked(word)
+        paged = dict(transcoded(word))
+        for t, c in deep.items():
+            for t2, c2 in transcoded(t).items():
+                paged.setdefault(t2, f"{c} {c2}")
+        score, text, chain, alone = own, word, "", False
+        for t, c in deep.items():
+            if (s := size(t)) > score:
+                score, text, chain, alone = s, t, c, s - own > self.margin
+        if not chain and not known and not word.isascii():
+            paged = crossed(word) | paged
+        alike = core(word.translate(look_alikes()))
+        for t, c in paged.items():
+            # in a single-byte page every byte string is valid, so the corpus must know the word far better; and a letter
+            # that only looks like another was typed, not garbled
+            often = len(core(t)) > 2 and self.lexicon.get(core(t), 0) > RATIO * known and core(t) != alike
+            often = often and (alike == core(word) or not self.lexicon.get(alike))
+            if (often or not chain and c in DIRECT) and (s := size(t)) > score:
+                score, text, chain, alone = s, t, c, often and s - own > self.margin
+        return score - own if chain else 0.0, chain, text, alone
 
     def refilled(self, word: str, begins: bool) -> str:
         """A word with lost letters, filled in if the corpus knows one word that fits far better than any other; else as it is.
@@ -230,7 +270,7 @@ def train(words: DataFrame) -> tuple[corpus.CharModel, dict[str, int], float]:
     """(model, lexicon, margin) of the clean words in :func:`corpus.word_counts`.
 
     Words that a UTF-8 chain changes, or that hold controls or U+FFFD, are left
-    out. The margin is validated on words garbled here, which must pass it.
+    out. The margin is validated on words garbled here, which must pass it, and on the words as they are, which must not.
     """
 
     def make():
@@ -250,6 +290,11 @@ def train(words: DataFrame) -> tuple[corpus.CharModel, dict[str, int], float]:
     held_out = sorted((w for w in lexicon if not w.isascii()), key=lambda w: (-lexicon[w], w))[:VALIDATED]
     gains = sorted(model.word(w) - model.word("".join(map(reading(p).__getitem__, w.encode()))) for w in held_out for p in READ_AS)
     margin = min(MARGIN, max(LEAST_MARGIN, gains[len(gains) // 100])) if gains else MARGIN
+    # and of the words as they are, taken for unknown ones, hardly any may; those that may be garbled themselves, as another
+    # page gives a far more frequent word, are no measure
+    false = sorted((max((model.word(t) - model.word(w) for t in crossed(w)), default=0.0) for w in held_out if not any(lexicon.get(t, 0) > RATIO * lexicon[w] for t in transcoded(w))), reverse=True)
+    if false:
+        margin = max(margin, false[int(FALSE * len(false))])
     return model, lexicon, margin
 
 

@@ -16,6 +16,8 @@ CAPACITY = 8192
 #: Items a group holds on average. A group has about this many items whatever the
 #: input's size, so its memory and its share of unused space don't depend on it.
 GROUP_ITEMS = 1024
+#: Groups a task packs, and the most tasks there are: an explicit number, as the rows are too small to be split by bytes.
+TASK_GROUPS, MOST_TASKS = 4, 20_000
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -43,7 +45,8 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
 
 
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container of each item (every size is at most the capacity); starts at the least count, one more whenever one overflows."""
+    """Container of each item (every size is at most the capacity); starts at the least count and rises by what overflows,
+    one at least."""
     out = np.zeros(len(sizes), np.int64)
     if not len(sizes):
         return out
@@ -52,7 +55,7 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
         sums, members = difference(sizes, k)
         if sums.max() <= capacity:
             break
-        k += 1
+        k += max(1, int(np.maximum(sums - capacity, 0).sum()) // capacity)
     for j, items in enumerate(members):
         out[items] = j
     return out
@@ -80,4 +83,5 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         pdf["container"] = key[0] << 20 | fill(pdf["size"].to_numpy(np.int64), capacity)
         return pdf[["id", "part_no", "size", "container"]]
 
-    return parts.groupBy("grp").applyInPandas(one, f"id {kind}, part_no int, size bigint, container bigint").withColumnRenamed("id", id_col)
+    tasks = min(MOST_TASKS, -(-groups // TASK_GROUPS))
+    return parts.repartition(tasks, "grp").groupBy("grp").applyInPandas(one, f"id {kind}, part_no int, size bigint, container bigint").withColumnRenamed("id", id_col)

@@ -52,6 +52,22 @@ def test_nested_and_single_byte_pages(restorer):
     assert restorer.restore("Die Pr�fstelle h�lt. �bliche T�ren")[2] == "Die Prüfstelle hält. Übliche Türen"
 
 
+def test_chains_of_pages_and_utf8_in_either_order(restorer):
+    """A page read as another and then UTF-8 read as a page; UTF-8 read in one page, written in another and read in a third."""
+    first = SENTENCES[0].encode("cp1252").decode("cp1251").encode().decode("cp1252")
+    assert restorer.restore(first) == (True, restorer.restore(first)[1], SENTENCES[0])
+    crossed = "für".encode().decode("cp437").encode("cp850", "replace").decode("cp1252")
+    assert "für" in encoding.crossed(crossed) or "?" in crossed
+    for page, read in (("cp1252", "cp850"), ("cp850", "cp1252"), ("cp1252", "cp437")):
+        found, _, text = restorer.restore("".join(map(encoding.reading(read).__getitem__, SENTENCES[1].encode(page))))
+        assert found and {"société", "réglera", "réunion", "dépôt."} <= set(text.split())  # a lone letter may stay in doubt
+
+
+def test_letters_that_only_look_alike_are_not_garbled(restorer):
+    for text in ("Die Рrüfstelle hаlt Тüren", "VNÐ 500", "Ðề nghị phòng kế toán"):
+        assert not restorer.restore(text)[0]
+
+
 @pytest.mark.parametrize("clean", [*SENTENCES, "ATENÇÃO: INFORMAÇÃO SOBRE À VÉRIFIER À L'ÂGE", "señal Ñ-63", "Ångström α β 10 €", "x" * 100_000])
 def test_clean_text_is_let_alone(restorer, clean):
     assert restorer.restore(clean) == (False, "", clean)
