@@ -25,6 +25,8 @@ FALSE = 1e-3
 RATIO = 5
 PUNCTUATION = " .,;:!?()[]{}\"'“”‘’«»„…–—-*•"
 LOST = "\N{REPLACEMENT CHARACTER}"
+#: UTF-8 has no lone byte beyond ASCII, so a word with a lone character beyond it is none read as a page.
+LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
 #: Starts only behind white space and never backtracks, so a long ASCII token is passed over once.
 WORD = re.compile(r"(?<![^ \t\n\r\f\v])[^\x80-\U0010ffff \t\n\r\f\v]*+[^\x00-\x7f][^ \t\n\r\f\v]*+")
 
@@ -62,7 +64,7 @@ def unpacked(word: str, depth: int = 3) -> dict[str, str]:
     for _ in range(depth):
         step = []
         for w in front:
-            if w.isascii():
+            if w.isascii() or LONE.search(w):
                 continue
             for page in READ_AS:
                 raw = to_bytes(w, page)
@@ -85,14 +87,12 @@ DIRECT = frozenset(f"{a}>{b}" for a in READ_AS for b in READ_AS)
 
 
 @cache
-def rereadings() -> list[tuple[str, frozenset, dict[int, str]]]:
-    """(chain, characters of the page, what each stands for in the other page) of every two pages."""
+def rereadings() -> list[tuple[frozenset, list[tuple[str, dict[int, str]]]]]:
+    """Of each page its characters, and of each other page the chain and what they stand for in it."""
     out = []
     for page in READ_AS:
-        for true in READ_AS:
-            if page != true:
-                to = reading(true)
-                out.append((f"{page}>{true}", frozenset(map(chr, table(page))), {c: to[b] for c, b in table(page).items() if c > 127}))
+        turns = [(f"{page}>{true}", {c: reading(true)[b] for c, b in table(page).items() if c > 127}) for true in READ_AS if page != true]
+        out.append((frozenset(map(chr, table(page))), turns))
     return out
 
 
@@ -111,6 +111,8 @@ def crossings() -> list[tuple[str, bytes]]:
 def crossed(word: str) -> dict[str, str]:
     """text -> chain, for UTF-8 read in one page, written in another and read in a third."""
     out: dict[str, str] = {}
+    if LONE.search(word):
+        return out
     for page in READ_AS:
         raw = to_bytes(word, page)
         if raw is None:
@@ -140,8 +142,8 @@ def transcoded(word: str) -> dict[str, str]:
     chars = set(word)
     if all(c.isascii() or has_plain_form(c) for c in chars):
         return out
-    for chain, page, to in rereadings():
-        if chars <= page:
+    for page, turns in rereadings():
+        for chain, to in turns if chars <= page else ():
             got = word.translate(to)
             if got != word and got not in out:
                 inner = got.strip(PUNCTUATION).replace("-", "").replace("'", "").replace("’", "")
@@ -187,7 +189,10 @@ class Restorer:
         for t, c in paged.items():
             # in a single-byte page every byte string is valid, so the corpus must know the word far better; and a letter
             # that only looks like another was typed, not garbled
-            often = len(core(t)) > 2 and self.lexicon.get(core(t), 0) > RATIO * known and core(t) != alike
+            times = self.lexicon.get(core(t), 0)
+            if known and not times:
+                continue  # a word of the corpus does not stand for one it does not know
+            often = len(core(t)) > 2 and times > RATIO * known and core(t) != alike
             often = often and (alike == core(word) or not self.lexicon.get(alike))
             if (often or not chain and c in DIRECT) and (s := size(t)) > score:
                 score, text, chain, alone = s, t, c, often and s - own > self.margin
