@@ -31,6 +31,7 @@ SIGNED = re.compile(r"(?:[^\W\d_]|\|)[@!|†$\d](?:[^\W\d_]|\|)|^[@!|†$\d](?:[
 CODE = re.compile(r"\d\D*\d|@.*\.|^[A-ZĐ]{2,6}\d|^[A-ZĐ]\d+(?:\W|$)|^\d+[A-Za-z]$|^\d+(?:st|nd|rd|th|er|re|e|ème|ª|º|h|m|kg|mm|cm|km|g|l)$|^[\W\d_]+$|://|^www\.|_")
 LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]+")
 MARKS = " \t.,;:!?()[]{}<>|/*#-–—_=~•·"
+BROKEN = re.compile(f"[{HYPHENS}]\n")
 BULLET = re.compile(r"[-*•] ")
 #: Company forms, whose full stop ends no sentence.
 COMPANY = re.compile(r"\b(?:Inc|Ltd|Corp|Co|L\.L\.C|S\.A)\.$")
@@ -243,16 +244,18 @@ class Repairer:
         sure = self.floor * 20
         return min(((self.cost(token[:k]) + self.cost(token[k:]) + CUT, k) for k in range(2, len(token) - 1) if self.count(token[:k]) > sure and self.count(token[k:]) > sure), default=None)
 
-    def decode(self, tokens: list[str], line: list[int]) -> list[tuple[int, int, str, str]]:
+    def decode(self, tokens: list[str], line: list[int], ends: list[int] | None = None) -> list[tuple[int, int, str, str]]:
         """(first token, token behind, text, kind) wherever the likeliest reading of the stream differs from it.
 
         The lines' characters form one stream. A shortest path over its places chooses
         between keeping, correcting, splitting and merging words and joining halves over
         a hyphen at a line's end. Places where only one reading is possible part the
-        lattice, so it is laid out only between them.
+        lattice, so it is laid out only between them. ``ends`` tells the tokens that begin a line, if known.
         """
         kinds = list(map(self.open.__getitem__, tokens))
         n, out = len(tokens), []
+        # only these can begin a stretch with more than one reading
+        begins = {i for i, k in enumerate(kinds) if k} | {i - 1 for i in ([i for i in range(1, n) if line[i] != line[i - 1]] if ends is None else ends) if tokens[i - 1] and tokens[i - 1][-1] in HYPHENS}
 
         def linked(i: int) -> bool:
             """May token i be joined with the next?"""
@@ -260,14 +263,16 @@ class Repairer:
                 return False
             return line[i + 1] == line[i] + 1 and tokens[i][-1] in HYPHENS if line[i] != line[i + 1] else kinds[i] > 0 and kinds[i + 1] > 0
 
-        i = 0
-        while i < n:
+        done = -1
+        for i in sorted(begins):
+            if i <= done:
+                continue
             j = i
             while linked(j):
                 j += 1
             if j > i or kinds[i] == 2:
                 out += self.path(tokens[i : j + 1], line[i : j + 1], i)
-            i = j + 1
+            done = j
         return out
 
     def path(self, tokens: list[str], line: list[int], first: int) -> list[tuple[int, int, str, str]]:
@@ -313,25 +318,33 @@ class Repairer:
 
     def is_noisy(self, text: str, tokens: list[str]) -> bool:
         """Whether :meth:`noisy` finds anything, for a text already cut into its tokens."""
-        return any(map(self.misread.__getitem__, tokens)) or "\n" in text and bool(self.noisy(text))
+        if any(map(self.misread.__getitem__, tokens)):
+            return True
+        if "\n" not in text:
+            return False
+        # without a misread token only page furniture and halves at a line's end are left to find
+        return bool(self.furniture(text.split("\n"))) or BROKEN.search(text) is not None and bool(self.noisy(text))
 
-    def stream(self, text: str) -> tuple[list[str], list[int], list[int], dict[int, str], list[str]]:
-        """(tokens, their lines, their numbers in the text, number -> kind of the tokens of page furniture, lines) of the text's body."""
+    def stream(self, text: str) -> tuple[list[str], list[int], list[int], dict[int, str], list[str], list[int]]:
+        """(tokens, their lines, their numbers in the text, number -> kind of the tokens of page furniture, lines, tokens that
+        begin a line) of the text's body."""
         lines = text.split("\n")
         plain = self.furniture(lines) if len(lines) > 1 else {}
-        tokens, line, number, marks, body, at = [], [], [], {}, [], 0
+        tokens, line, number, marks, body, ends, at = [], [], [], {}, [], [], 0
         for i, s in enumerate(lines):
             parts = s.split(" ")
             if i in plain:
                 marks |= {at + k: plain[i] for k, t in enumerate(parts) if t}
             else:
                 if s:
+                    if tokens:
+                        ends.append(len(tokens))
                     tokens += parts
                     line += [len(body)] * len(parts)
                     number += range(at, at + len(parts))
                 body.append(s)
             at += len(parts)
-        return tokens, line, number, marks, body
+        return tokens, line, number, marks, body, ends
 
     def noisy(self, text: str) -> dict[int, str]:
         """token number -> kind of noise ('broken', 'misread', 'header', 'page'): where the decoded text differs from the
@@ -339,19 +352,19 @@ class Repairer:
         but no noise of a page."""
         if "\n" not in text:
             tokens = text.split(" ")
-            line, number, out = [0] * len(tokens), range(len(tokens)), {}
+            line, number, out, ends = [0] * len(tokens), range(len(tokens)), {}, []
         else:
-            tokens, line, number, out, _ = self.stream(text)
-        for a, b, _, kind in self.decode(tokens, line):
+            tokens, line, number, out, _, ends = self.stream(text)
+        for a, b, _, kind in self.decode(tokens, line, ends):
             if kind in ("misread", "broken"):
                 out |= dict.fromkeys(number[a:b], kind)
         return out
 
     def repair(self, text: str) -> str:
         """The text in paragraphs, without page furniture, with words joined, parted and corrected as :meth:`decode` reads them."""
-        tokens, line, _, _, body = self.stream(text)
+        tokens, line, _, _, body, ends = self.stream(text)
         breaks = self.paragraphs(body)
-        changed = {a: (b, new) for a, b, new, _ in self.decode(tokens, line)}
+        changed = {a: (b, new) for a, b, new, _ in self.decode(tokens, line, ends)}
         out, last, i = [], 0, 0
         while i < len(tokens):
             b, word = changed.get(i, (i + 1, tokens[i]))

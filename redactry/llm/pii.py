@@ -40,16 +40,16 @@ DE_LAST = "a-zäöüß."
 FR_STREET = "rue|quai|allée|chemin|avenue|boulevard|place|impasse|route|cours|square|passage|sentier|faubourg|ruelle|esplanade|venelle|montée"
 ES_STREET = "Calle|Avenida|Avda\\.|Paseo|Travesía|Plaza|Camino|Carretera|Ronda|Callejón|Pasaje|Cuesta|Glorieta|Vía"
 PT_STREET = "Rua|Avenida|Av\\.|Travessa|Largo|Praça|Estrada|Alameda|Beco|Calçada|Rampa|Ladeira"
-#: (words of which one must be there, the address from its number or keyword on); each begins with a digit or a fixed word, so the scan is fast.
+#: (words of which the text must hold one, the address from its number or keyword on); each begins with a digit or a fixed word, so the scan is fast.
 FORMS = tuple(
-    (frozenset(w for part in need.split("|") for w in part.split(".") if w), re.compile(form))
+    (tuple(need.split("|")), re.compile(form))
     for need, form in (
         (EN_STREET, rf"(?<![\w/.-])\d+[A-Z]?{S}(?:{CAP}{S}){{1,3}}(?:{EN_STREET})\b\.?,{S}{NAME}(?:,?{S}[A-Z]{{1,2}}\d[A-Z\d]?{S}\d[A-Z]{{2}}|,?{S}[A-Z]{{2}}{S}\d{{5}}(?:-\d{{4}})?)?"),
         (FR_STREET, rf"(?<![\w/.-])\d+(?:{S}(?:bis|ter|quater))?,?{S}(?:{FR_STREET}){S}{JOIN}*{NAME}(?:,{S}bât\.?{S}\w+)?,{S}(?:\d{{5}}{S})?{NAME}"),
-        (f"{ES_STREET}|{PT_STREET}".replace("\\", ""), rf"(?:{ES_STREET}|{PT_STREET}){S}{JOIN}*{NAME}(?:,|{S})?{S}?(?:n[º°o.]{{1,2}}{S})?\d+[A-Za-z]?(?:,{S}\d+\.?[ºª°]{S}?[A-Z]\w*|,{S}(?:apto|ap\.|apt\.|piso|andar){S}\d+\w*)?,{S}(?:\d{{5}}{S}|\d{{4,5}}-\d{{3}}{S})?{NAME}"),
+        (f"{ES_STREET}|{PT_STREET}".replace("\\", ""), rf"(?<!\w)(?:{ES_STREET}|{PT_STREET}){S}{JOIN}*{NAME}(?:,|{S})?{S}?(?:n[º°o.]{{1,2}}{S})?\d+[A-Za-z]?(?:,{S}\d+\.?[ºª°]{S}?[A-Z]\w*|,{S}(?:apto|ap\.|apt\.|piso|andar){S}\d+\w*)?,{S}(?:\d{{5}}{S}|\d{{4,5}}-\d{{3}}{S})?{NAME}"),
         ("phường|xã|trấn|phuong|xa|tran|P.|X.", rf"(?<![\w/.-])\d+[A-Za-z]?(?:/\d+)*,?{S}(?:(?:đường|phố|duong|pho|ngõ|ngo){S})?{NAME},{S}(?:phường|xã|thị{S}trấn|phuong|xa|thi{S}tran|P\.|X\.){S}{NAME}(?:,{S}(?:quận|huyện|thị{S}xã|quan|huyen|thi{S}xa|Q\.|H\.){S}{NAME})?,{S}(?:thành{S}phố|tỉnh|thanh{S}pho|tinh|TP\.?|T\.){S}{NAME}"),
-        ("г.", rf"г\.{S}?{NAME},{S}ул\.{S}?{NAME},{S}(?:д\.|дом){S}?\d+\w?(?:,{S}кв\.{S}?\d+)?"),
-        ("ул.", rf"ул\.{S}?{NAME},{S}(?:(?:д\.|дом){S}?)?\d+\w?(?:,{S}кв\.{S}?\d+)?(?:,{S}(?:г\.{S}?)?{NAME})?"),
+        ("г.", rf"(?<!\w)г\.{S}?{NAME},{S}ул\.{S}?{NAME},{S}(?:д\.|дом){S}?\d+\w?(?:,{S}кв\.{S}?\d+)?"),
+        ("ул.", rf"(?<!\w)ул\.{S}?{NAME},{S}(?:(?:д\.|дом){S}?)?\d+\w?(?:,{S}кв\.{S}?\d+)?(?:,{S}(?:г\.{S}?)?{NAME})?"),
         ("ул.", rf"\d{{5,6}},{S}(?:г\.{S}?)?{NAME},{S}{NAME}{S}ул\.,{S}(?:дом|д\.){S}?\d+\w?(?:,{S}кв\.{S}?\d+)?"),
     )
 )
@@ -59,18 +59,6 @@ DE_NAME = re.compile(rf"(?:(?:Am|An|Im|Auf|Zum|Zur|In)(?:{S}(?:der|dem|den))?(?:
 LEAD = re.compile(r"(?:(?:Apt|Flat|Unit|Suite)\.?\s+\d+[A-Z]?,\s+|S[ốo]\s+|\d{6},\s+)$")
 
 
-PARTS = re.compile("[.'’–—-]")
-
-
-def pieces(tokens: list[str]) -> set[str]:
-    """The tokens and what stands between the stops, hyphens and apostrophes in them."""
-    out = set(tokens)
-    for t in tokens:
-        if not t.isalnum():
-            out.update(PARTS.split(t))
-    return out
-
-
 def back(text: str, at: int, words: int) -> int:
     """Where so many words, cut at blanks and line feeds, begin before a place."""
     while words and at > 0:
@@ -82,11 +70,11 @@ def back(text: str, at: int, words: int) -> int:
     return at
 
 
-def addresses(text: str, parts: set[str] | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, form) of street addresses; ``parts`` are the text's :func:`pieces`, by which most forms are ruled out."""
+def addresses(text: str, rule_out: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, form) of street addresses; with ``rule_out`` forms none of whose words the text holds are not looked for."""
     out = []
     for k, (need, form) in enumerate(FORMS):
-        if parts is not None and need.isdisjoint(parts):
+        if rule_out and not any(word in text for word in need):
             continue
         for m in form.finditer(text):
             lead = LEAD.search(text, back(text, m.start(), 3), m.start())
@@ -414,7 +402,7 @@ def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, str, str]]:
         for a, b, form in emails(flat):
             take(a, b, "EMAIL_ADDRESS", form)
     if DIGIT.search(flat):
-        for a, b, form in addresses(flat, pieces(raws)):
+        for a, b, form in addresses(flat):
             take(a, b, "FULL_ADDRESS", form)
         if numbers := [m.span() for m in DIGITS.finditer(flat)]:
             for form, kind in ((SSN, "US_SSN"), (PHONE, "PHONE_NUMBER"), (NATIONAL, "VN_NATIONAL_ID")):
