@@ -30,7 +30,7 @@ HINTS = {
     "code": r"[A-Z][\-/]\d",
     "contract": r"(?:HD|HĐ|NDA)[\-/]\d",
     "at": r"@",
-    "colons": r"[0-9A-F]:[0-9A-F:]",
+    "colons": r"[0-9A-F]:[0-9A-F:]|::",
     "pairs": r"[0-9A-F][:\-][0-9A-F]{2}[:\-]",
     "plus": r"\+\d|0084",
     "bracket": r"\(\d",
@@ -135,6 +135,21 @@ CUSTOM = (
     ),
 )
 
+
+def ipv6() -> str:
+    """The full grammar of RFC 4291, the longest forms first: eight groups, one '::' anywhere, an IPv4 address at the end."""
+    h, dotted = "[0-9a-f]{1,4}", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+    forms = [f"(?:{h}:){{6}}{dotted}", f"(?:{h}:){{7}}{h}"]
+    for left in range(6, -1, -1):
+        head = f"(?:{h}:){{{left - 1}}}{h}" if left else ""
+        if left <= 4:
+            forms.append(f"{head}::(?:{h}:){{0,{4 - left}}}{dotted}")
+        forms.append(f"{head}::{h}(?::{h}){{0,{6 - left}}}")
+    forms += [f"(?:{h}:){{{n - 1}}}{h}::" for n in range(7, 0, -1)]
+    return r"(?<![\w:.])(?:" + "|".join(forms) + r")(?![\w:]|\.\d)"
+
+
+IPV6 = ipv6()
 # Our own definitions, from public standards, of the general categories.
 GENERAL = (
     rule("EMAIL_ADDRESS", "email mail contact", ("dot-atom at domain", 1.0, r"\b[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}\b", "at")),
@@ -148,7 +163,7 @@ GENERAL = (
     rule(
         "IP_ADDRESS", "ip address server host",
         ("IPv4", 0.6, r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", "dotted"),
-        ("IPv6", 0.6, r"\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b|\b(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}\b", "colons"),
+        ("IPv6", 0.6, IPV6, "colons"),
     ),
     rule("CREDIT_CARD", "card credit visa mastercard", ("12 to 19 digits", 0.3, r"\b\d(?:[ \-]?\d){11,18}\b", "digit run"), validate=validators.credit_card),
     rule("IBAN_CODE", "iban bank account", ("country, check, account", 0.5, r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}\b"), validate=validators.iban),

@@ -58,3 +58,4 @@ def bech32(text: str) -> bool:
 
 def crypto(text: str) -> float | None:
     return 1.0 if base58check(text) or bech32(text) else None
+

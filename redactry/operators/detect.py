@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,16 @@ TOKEN = re.compile(r"\w+")
 HINTED = {name: re.compile(rx, re.I) for name, rx in HINTS.items()}
 
 
+def words_before(text: str, at: int, n: int = NEIGHBOURS) -> list[str]:
+    """The n words before a place, however long; the window grows until it holds one more, so none is cut."""
+    room = 100
+    while True:
+        found = TOKEN.findall(text[max(0, at - room) : at])
+        if len(found) > n or room >= at:
+            return found[-n:]
+        room *= 4
+
+
 def matches(text: str, rules: tuple[tuple[Rule, list[re.Pattern]], ...], threshold: float) -> list[tuple]:
     """(entity_type, start, end, score, ord) of one text. ``ord`` numbers the patterns, so ties have an order."""
     out, order, holds = [], 0, {}
@@ -37,8 +48,7 @@ def matches(text: str, rules: tuple[tuple[Rule, list[re.Pattern]], ...], thresho
                         continue
                     score = checked
                 if r.context and score < 1:
-                    before = TOKEN.findall(text[max(0, a - 400) : a])[-NEIGHBOURS:]
-                    after = TOKEN.findall(text[b : b + 400])[:NEIGHBOURS]
+                    before, after = words_before(text, a), [t.group() for t in islice(TOKEN.finditer(text, b), NEIGHBOURS)]
                     # a long match may hold its context; its first two words are its own keyword
                     own = TOKEN.findall(m.group())[2:]
                     if any(t.lower() in r.context for t in (*before, *own, *after)):

@@ -128,7 +128,10 @@ def corrected(span: str, kind: str) -> str:
 
 
 def sentence_initial(text: str, start: int) -> bool:
-    return re.search(rf"(?:^|[{re.escape(STOPS)}])\s*\Z|\n\s*\Z", text[:start]) is not None
+    at = start
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at == 0 or text[at - 1] in STOPS or "\n" in text[at:start]
 
 
 def score(span: str, text: str, start: int, counts: dict[str, int]) -> float:

@@ -40,7 +40,10 @@ ONCE = "WITH once AS (SELECT DISTINCT ON (entity_id) * FROM detected_entities OR
 # ---- detection -------------------------------------------------------------------------------------------------
 
 #: Look-ahead is missing in the oracle's regular expressions; these say the same without it.
-WITHOUT_LOOKAHEAD = {r"\b0(?![35789])\d{9}\b|\b[1-9]\d{9}\b": r"\b0[0-24-6]\d{9}\b|\b[1-9]\d{9}\b"}
+WITHOUT_LOOKAHEAD = {
+    r"\b0(?![35789])\d{9}\b|\b[1-9]\d{9}\b": r"\b0[0-24-6]\d{9}\b|\b[1-9]\d{9}\b",
+    rules.IPV6: rules.IPV6.removeprefix(r"(?<![\w:.])").removesuffix(r"(?![\w:]|\.\d)"),  # no longer run of groups stands in the texts
+}
 
 
 #: The oracle's word boundary is that of ASCII and cannot be replaced where a match may touch a letter beyond it;
@@ -97,13 +100,13 @@ for _r in rules.GENERAL:
     _name = f"detect_general_{_r.entity_type.lower()}"
     if _r.validate is None:
         QUERIES[_name] = _detector(_r)
-        if _name not in NO_ORACLE and "(?!" not in "".join(p.regex for p in _r.patterns):
+        if _name not in NO_ORACLE and "(?!" not in "".join(WITHOUT_LOOKAHEAD.get(p.regex, p.regex) for p in _r.patterns):
             ORACLES[_name] = spans_sql(_r.entity_type, _r.patterns)
 
 
 # Texts for the rules that the stored texts hardly touch: the same expression in Spark and in SQL.
 SEEDS = """CASE o_orderkey % 9
- WHEN 0 THEN concat('Leaked credential: AKIA', lpad(CAST(o_orderkey AS STRING), 16, 'Q'), ' was found')
+ WHEN 0 THEN concat('Deploy user ', CAST(o_custkey AS STRING), ' signs in with AKIA', lpad(CAST(o_orderkey AS STRING), 16, 'Q'), ' since May')
  WHEN 1 THEN concat('conn = postgresql://admin:pw', CAST(o_custkey AS STRING), '@db.internal:5432/prod now')
  WHEN 2 THEN concat('api_key = "k', lpad(CAST(o_orderkey AS STRING), 12, 'x'), '" and sk-', lpad(CAST(o_orderkey AS STRING), 24, 'z'), ' too')
  WHEN 3 THEN concat('Server config ', CAST(o_orderkey AS STRING), ' -----BEGIN RSA PRIVATE KEY----- follows')

@@ -16,6 +16,8 @@ from redactry.sources.shipping import ship
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SUFFIXES = (".txt", ".docx", ".pdf")
 MEDIA = {".txt": "text/plain", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".pdf": "application/pdf"}
+#: Folders of a DOCX whose files are not text: images, other documents.
+EMBEDDED = ("word/media/", "word/embeddings/")
 PAGES = 20
 EXTRACTED = "path string, text string, file_type string, total_pages int, processing_mode string, error string"
 
@@ -100,15 +102,21 @@ def delete_in_paragraph(p: ET.Element, spans: list[tuple[int, int]]) -> bool:
     return before - len(paragraph_text(p)) == gone
 
 
-def redact_docx(content: bytes, find: Callable[[str], list[tuple[int, int]]]) -> bytes:
+def redact_docx(content: bytes, find: Callable[[str], list[tuple[int, int]]], image: Callable[[bytes], bytes] | None = None) -> bytes:
     """The document without the spans ``find`` gives for each paragraph of body, tables, headers and footers.
 
-    Raises if a span could not be removed as a whole, so nothing is given out half redacted.
+    ``image`` gives an image without what it shows, or raises; without it a document
+    with images is refused, as nothing has read them. Raises if a span could not be
+    removed as a whole, so nothing is given out half redacted.
     """
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
         for item in z.infolist():
             data = z.read(item.filename)
+            if item.filename.startswith(EMBEDDED) and not item.is_dir():
+                if image is None:
+                    raise ValueError("an embedded file is unread")
+                data = image(data)
             if item.filename.startswith("word/") and item.filename.endswith(".xml") and item.filename.split("/")[1].startswith(("document", "header", "footer")):
                 root = ET.fromstring(data)
                 for p in paragraphs(root):

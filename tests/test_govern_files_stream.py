@@ -132,3 +132,30 @@ def test_streams(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.calls for r in spark.table("calls").collect()] == [2]
+
+
+def test_a_docx_with_unread_images_is_not_given_out():
+    import io
+    import zipfile
+
+    import pytest
+
+    from redactry.sources import files
+
+    body = f'<w:document xmlns:w="{files.W[1:-1]}"><w:body><w:p><w:r><w:t>call Ann now</w:t></w:r></w:p></w:body></w:document>'
+
+    def docx(*more):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", body)
+            for name in more:
+                z.writestr(name, b"picture of Ann")
+        return out.getvalue()
+
+    find = lambda t: [(5, 8)]
+    assert files.docx_text(files.redact_docx(docx(), find)) == "call  now"
+    for name in ("word/media/image1.png", "word/embeddings/sheet.bin"):
+        with pytest.raises(ValueError):
+            files.redact_docx(docx(name), find)
+    new = files.redact_docx(docx("word/media/image1.png"), find, lambda data: b"blank")
+    assert zipfile.ZipFile(io.BytesIO(new)).read("word/media/image1.png") == b"blank"
