@@ -512,6 +512,9 @@ def find(df: DataFrame, finder_parts, garbled=None, noisy=None, id_col: str = "s
     return map_batches(rows, make, f"id {kind}, span_start int, span_end int, pii_type string, form string, context string").withColumnRenamed("id", id_col)
 
 
+KINDS = ("EMAIL_ADDRESS", "PHONE_NUMBER", "VN_NATIONAL_ID", "US_SSN", "FULL_ADDRESS", "PERSON")
+
+
 def information(found: DataFrame, entities: DataFrame, n_words: int, id_col: str = "scan_id") -> DataFrame:
     """(pii_type, form, context, n, bits): what the corpus says each kind of term gives away.
 
@@ -522,13 +525,13 @@ def information(found: DataFrame, entities: DataFrame, n_words: int, id_col: str
     the entities: how much likelier that is than for any word of the corpus. A place
     listed with several types counts for each in part; null types and places list nothing.
     """
-    kinds = [r.pii_type for r in found.select("pii_type").distinct().collect()]
     place = [id_col, "span_start", "span_end"]
-    listed = entities.where(F.col("entity_type").isNotNull()).groupBy(*place).agg(F.collect_set("entity_type").alias("types"))
-    told = F.when(F.array_contains("types", F.col("pii_type")), 1 / F.size("types")).otherwise(0.0)
+    bit = lambda c: F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.xxhash64(c), F.lit(63)).cast("int"))
+    listed = entities.where(F.col("entity_type").isNotNull()).groupBy(*place).agg(F.bit_or(bit("entity_type")).alias("types"))
+    told = F.when(F.col("types").bitwiseAND(bit("pii_type")) != 0, 1 / F.bit_count("types")).otherwise(0.0)
     hits = found.join(listed, place, "left").groupBy("pii_type", "form", "context").agg(F.count("*").alias("n"), F.sum(told).alias("l"))
     hits = checkpointed(hits.withColumn("last", F.element_at(F.split("context", " "), -1)))
-    base = entities.where(F.col("entity_type").isin(*kinds)).select(*place).distinct().count() / max(1, n_words)
+    base = entities.where(F.col("entity_type").isin(*KINDS)).select(*place).distinct().count() / max(1, n_words)
     share = lambda n, hit, prior: (F.col(hit) + PRIOR * prior) / (F.col(n) + PRIOR)
     out = hits
     for k, keys in enumerate((["pii_type"], ["pii_type", "form"], ["pii_type", "last"])):
@@ -547,7 +550,7 @@ def disclosed(found: DataFrame, entities: DataFrame, n_words: int, id_col: str =
     """
     keys = ["pii_type", "form", "context"]
     known = checkpointed(information(found, entities, n_words, id_col).withColumn("reveals", F.col("bits") >= DISCLOSED))
-    often = F.col("n") >= max(2.0, SHARE * found.count())
+    often = F.col("n") >= max(2.0, SHARE * (known.agg(F.sum("n")).first()[0] or 0))
     marked = found.join(F.broadcast(known.where(often).select(*keys, "reveals")), keys, "left")
     rare = marked.where("reveals IS NULL").select(*found.columns).join(known.where(~often & F.col("reveals")).select(*keys), keys, "left_semi")
     return marked.where("reveals").select(*found.columns).unionByName(rare.select(*found.columns))
