@@ -526,7 +526,9 @@ def information(found: DataFrame, entities: DataFrame, n_words: int, id_col: str
     listed with several types counts for each in part; null types and places list nothing.
     """
     place = [id_col, "span_start", "span_end"]
-    bit = lambda c: F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({c}), 63) AS INT))")
+    # the six types have a bit of their own, so no other type is taken for one of them; the others share the rest
+    own = " ".join(f"WHEN '{kind}' THEN {k}" for k, kind in enumerate(KINDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, CASE {c} {own} ELSE CAST({len(KINDS)} + pmod(xxhash64({c}), {63 - len(KINDS)}) AS INT) END)")
     listed = entities.where(F.col("entity_type").isNotNull()).groupBy(*place).agg(F.bit_or(bit("entity_type")).alias("types"))
     told = F.when(F.col("types").bitwiseAND(bit("pii_type")) != 0, 1 / F.bit_count("types")).otherwise(0.0)
     hits = found.join(listed, place, "left").groupBy("pii_type", "form", "context").agg(F.count("*").alias("n"), F.sum(told).alias("l"))
