@@ -265,10 +265,10 @@ class Finder:
 
         def surname(i: int) -> int:
             """Index of the last token of (initials, particles, surname) from i, or -1."""
-            j = i
-            while j < n and (toks[j][3] in ("i", "p") or toks[j][3] == "j" and toks[i - 1][2][0].islower()) and (j == i or spaced(j - 1)):
+            j, small = i, i > 0 and toks[i - 1][2][:1].islower()  # the word before may be empty (a lone dash) or missing
+            while j < n and (toks[j][3] in ("i", "p") or toks[j][3] == "j" and small) and (j == i or spaced(j - 1)):
                 j += 1
-            if j < n and (j == i or spaced(j - 1)) and is_name(j) and (toks[j][2][0].isupper() or toks[i - 1][2][0].islower()):
+            if j < n and (j == i or spaced(j - 1)) and is_name(j) and (toks[j][2][0].isupper() or small):
                 return j
             return -1
 

@@ -223,6 +223,11 @@ def test_mentions(finder, text, want):
     assert [(text[a:b], kind) for a, b, kind, *_ in pii.mentions(text, finder)] == want
 
 
+@pytest.mark.parametrize("text", ["page ' A.B. a. smithers", "– A.B. smithers", "A.B. a. smithers –", "A. –"])
+def test_initials_behind_a_lone_sign_or_nothing(finder, text):
+    assert pii.mentions(text, finder) == []
+
+
 def test_contexts_and_masking(spark, finder):
     parts = (finder.given_names, finder.vi_given, finder.persons, finder.plain)
     rows = spark.createDataFrame([(i, f"Số CCCD {100000000000 + i} đây" if i % 2 else f"Đơn hàng {200000000000 + i} đây") for i in range(40)] + [(98, None), (99, "")], "scan_id long, text string")
