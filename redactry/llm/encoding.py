@@ -7,18 +7,17 @@ import unicodedata
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactry.llm import corpus, lookalike
 from redactry.llm.arrow import Memo, map_batches
-from redactry.sources.tables import checkpointed
+from redactry.sources.tables import checkpointed, discard
 
 #: The single-byte code pages a text may have been read in, and may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1250", "cp1258")
-#: Log-likelihood a restored word must gain. Validation may lower it, not below the second figure,
-#: on so many of the most frequent words.
-MARGIN, LEAST_MARGIN, VALIDATED = 7.0, 4.0, 2000
+#: Log-likelihood a restored word must gain. Validation on all words of the lexicon may lower it, not below the second figure.
+MARGIN, LEAST_MARGIN = 7.0, 4.0
 #: Of the clean words of the validation, the share that may gain more than the margin.
 FALSE = 1e-3
 #: Times a restored word must be more frequent in the corpus than the word as it stands.
@@ -291,18 +290,45 @@ def train(words: DataFrame) -> tuple[corpus.CharModel, dict[str, int], float]:
     for w, n in corpus.frequent(words, corpus.WORD_SHARE, 2).items():
         if clean(w):
             lexicon[core(w)] = lexicon.get(core(w), 0) + n
-    # garble known words in every page that can hold them; 99 of 100 must pass
-    held_out = sorted((w for w in lexicon if not w.isascii()), key=lambda w: (-lexicon[w], w))[:VALIDATED]
-    gains = sorted(model.word(w) - model.word("".join(map(reading(p).__getitem__, w.encode()))) for w in held_out for p in READ_AS)
-    margin = min(MARGIN, max(LEAST_MARGIN, gains[len(gains) // 100])) if gains else MARGIN
-    # and of the words as they are, taken for unknown ones, hardly any may; those that may be garbled themselves, as another
-    # page gives a far more frequent word, are no measure
-    false = sorted((max((model.word(t) - model.word(w) for t in crossed(w)), default=0.0) for w in held_out if not any(lexicon.get(t, 0) > RATIO * lexicon[w] for t in transcoded(w))), reverse=True)
-    if false:
-        margin = max(margin, false[int(FALSE * len(false))])
+    margin = validated(words.sparkSession, model, lexicon)
     return model, lexicon, margin
 
 
+def validated(spark: SparkSession, model: corpus.CharModel, lexicon: dict[str, int]) -> float:
+    """The margin that 99 of 100 words garbled in every page pass, and of the words as they are hardly any; of every word
+    of the lexicon beyond ASCII, in tasks, as one takes about a millisecond."""
+    held_out = [w for w in lexicon if not w.isascii()]
+    if not held_out:
+        return MARGIN
+    shared = spark.sparkContext.broadcast((model, lexicon))
+
+    def make():
+        (model, lexicon), size = shared.value, shared.value[0].word
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            garbled, gain = [], []
+            for w in batch.column(0).to_pylist():
+                own = size(w)
+                garbled += [True] * len(READ_AS)
+                gain += (own - size("".join(map(reading(p).__getitem__, w.encode()))) for p in READ_AS)
+                # a word that may be garbled itself, as another page gives a far more frequent word, is no measure
+                if not any(lexicon.get(t, 0) > RATIO * lexicon[w] for t in transcoded(w)):
+                    garbled.append(False)
+                    gain.append(max((size(t) - own for t in crossed(w)), default=0.0))
+            return pa.record_batch([pa.array(garbled, pa.bool_()), pa.array(gain, pa.float64())], names=["garbled", "gain"])
+
+        return step
+
+    gains = checkpointed(map_batches(spark.createDataFrame(pa.table({"word": pa.array(held_out, pa.string())})), make, "garbled boolean, gain double"))
+    n = {r.garbled: r.n for r in gains.groupBy("garbled").agg(F.count("*").alias("n")).collect()}
+    # only gains on the far side of the limits can move the margin, so few are ranked
+    low = gains.where(F.col("garbled") & (F.col("gain") < MARGIN)).orderBy("gain").offset(n[True] // 100).first()
+    margin = max(LEAST_MARGIN, low.gain) if low else MARGIN
+    high = gains.where(~F.col("garbled") & (F.col("gain") > margin)).orderBy(F.desc("gain")).offset(int(FALSE * n.get(False, 0))).first()
+    discard(gains)
+    return high.gain if high else margin
+
+
 def clean(word: str) -> bool:
     if word.isascii():
         return True

@@ -73,6 +73,18 @@ def test_clean_text_is_let_alone(restorer, clean):
     assert restorer.restore(clean) == (False, "", clean)
 
 
+def test_the_margin_is_validated_on_every_word(spark):
+    """Rare words that a chain of pages turns into frequent ones raise the margin, however many words are more frequent."""
+    rng = random.Random(3)
+    often = sorted({"".join(rng.choice("bcdlmnrst") + rng.choice("aeiouéèà") for _ in range(4)) + "é" for _ in range(2300)})
+    rare = [w for w in (x.encode().decode("koi8-r").encode("cp866").decode("cp437") for x in often[:60]) if encoding.clean(w) and not encoding.transcoded(w)]
+    words = spark.createDataFrame([(w, 50) for w in often] + [(w, 5) for w in rare], "key string, n bigint")
+    model, lexicon, margin = encoding.train(words)
+    gains = sorted((max((model.word(t) - model.word(w) for t in encoding.crossed(w)), default=0.0) for w in rare), reverse=True)
+    assert len(lexicon) == len(often) + len(rare) and len(often) > 2000
+    assert margin == gains[int(encoding.FALSE * len(lexicon))] > encoding.MARGIN
+
+
 def test_restore_edges(spark, texts):
     trained = encoding.train(corpus.word_counts(texts))
     rows = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "a", "a"), (4, "fÃ¼r größere Türen", "a"), (4, "fÃ¼r größere Türen", "a")], "scan_id long, text string, chains string")
