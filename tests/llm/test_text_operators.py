@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from redactry.llm import bpe, chunking, corpus, encoding, langid, layout, lookalike, names, packing, pii, spam
+from redactry.llm import bpe, chunking, corpus, encoding, langid, layout, lookalike, names, packing, pii, queries, spam
 
 SENTENCES = [
     "Die Prüfstelle hält übliche Türen für größere Stückzahlen geschlossen.",
@@ -85,6 +85,18 @@ def test_the_margin_is_validated_on_every_word(spark):
     assert margin == gains[int(encoding.FALSE * len(lexicon))] > encoding.MARGIN
 
 
+def test_what_normalising_leaves_out_is_judged_by_a_margin_of_every_word(spark, monkeypatch):
+    """The margin with which p2_found leaves garbled texts out; the rare words raise it as above."""
+    rng, used = random.Random(3), []
+    often = sorted({"".join(rng.choice("bcdlmnrst") + rng.choice("aeiouéèà") for _ in range(4)) + "é" for _ in range(2300)})
+    rare = [x.encode().decode("koi8-r").encode("cp866").decode("cp437") for x in often[:60]]
+    rows = spark.createDataFrame([(i, " ".join(often)) for i in range(10)] + [(99, " ".join(rare * 2))], "scan_id long, text string")
+    restore = encoding.restore_texts
+    monkeypatch.setattr(encoding, "restore_texts", lambda df, trained, **more: used.append(trained[2]) or restore(df, trained, **more))
+    queries._garbled_or_noisy(rows, rows)
+    assert used[0] > encoding.MARGIN
+
+
 def test_restore_edges(spark, texts):
     trained = encoding.train(corpus.word_counts(texts))
     rows = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "a", "a"), (4, "fÃ¼r größere Türen", "a"), (4, "fÃ¼r größere Türen", "a")], "scan_id long, text string, chains string")
