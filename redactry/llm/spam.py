@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
+from itertools import accumulate, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,24 +37,30 @@ RUN, SHARE = 16, 0.5
 FEW = 3
 LINK = re.compile(r"\[[^\]\n]*\]\(\S*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+", re.I)
 TAG = re.compile(r"#[^\W\d]\w*")
-CUT = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])|\n+")
+#: White space between a sentence's end and a letter, or line feeds; begins with a class, so that what is none is passed over fast.
+CUT = re.compile(r"\s(?:(?<=[.!?]\s)\s*+(?=[^\W\d_])|(?<=\n)\n*+)")
 WORD = re.compile(r"[^\W\d_]+")
 #: What marks a patent's own lists: reference signs, classes, cited works, sequences, formulas; and how a
 #: claim refers to others, by a number, a range or any of them.
 OWN = re.compile(r"^\(?\d{1,4}[a-z]?\)?[\s:–-]+[^\d,.;|»›/#]{2,60}$|^\[\d+\]\s.*|^[A-H]\d\d[A-Z]\s?\d+/\d+.*|^SEQ ID.*", re.I | re.S)
 CLAIM = re.compile(r"\b(?:claims?|ansprüche?n?|anspruch|patentansprüche?n?|revendications?|reivindicaci(?:ón|ones)|reivindicaç(?:ão|ões))\b", re.I)
+#: Parts of lower-case texts one of which CLAIM needs, as re.I takes a dotless i for i and a long s for s.
+CLAIM_PARTS = ("claim", "spruch", "sprüch", "revendication", "reivindica", "ı", "ſ", "i\u0307")
 #: Documents of a label that a language without a list needs, before its function words are learned from them, the share
 #: of these documents and the part of all their words that such a word makes up.
 LEARNED_FROM, IN_DOCUMENTS, OF_WORDS = 100, 0.5, 0.005
 SEQUENCE = re.compile(r"\b(?:[acgtun]{9,}|[ACDEFGHIKLMNPQRSTVWY]{9,})\b")
-SEPARATOR = re.compile(r"[|›»/•·,;#>]| [-–—] ")
+AMINO = "[ACDEFGHIKLMNPQRSTVWY]"
+CAPITALS = re.compile(AMINO + AMINO + "{8}")
+SIGNS = "|›»/•·,;#>"
+SEPARATOR = re.compile(rf"[{SIGNS}]| [-–—] ")
 
 
 def language(words: list[str], lang: str | None, known: dict[str, frozenset[str]] = WORDS) -> str:
     """The language whose function words fill most of the text; the label only decides where hardly any occur, as labels
     are often wrong. '' if the label names none that is known: its function words say nothing then."""
     some = Counter(words)
-    best, n = max(((x, sum(map(some.__getitem__, ws))) for x, ws in known.items()), key=lambda x: (x[1], x[0] == lang))
+    best, n = max(((x, sum(map(some.get, ws, repeat(0)))) for x, ws in known.items()), key=lambda x: (x[1], x[0] == lang))
     return best if n * 12 > len(words) else lang if lang in known else ""
 
 
@@ -68,6 +76,13 @@ def windows(text: str, lang: str | None, known: dict[str, frozenset[str]] = WORD
     return lang, out
 
 
+def separators(unit: str) -> int:
+    """How many SEPARATORs a unit has; counted sign by sign where no dash stands alone."""
+    if " - " in unit or " – " in unit or " — " in unit:
+        return len(SEPARATOR.findall(unit))
+    return sum(map(unit.count, SIGNS))
+
+
 def grams(words: list[str]) -> list[tuple[str, ...]]:
     return list(zip(*(words[i:] for i in range(GRAM))))
 
@@ -181,18 +196,24 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
     if not units:
         return out
     linked = LINK.search(text) is not None
-    words = [WORD.findall((LINK.sub(" ", u) if linked else u).lower()) for u in units]
-    size = [len(u.strip()) for u in units]
+    lower, bare = [u.lower() for u in units], [u.strip() for u in units]
+    words = [WORD.findall(LINK.sub(" ", u).lower()) for u in units] if linked else list(map(WORD.findall, lower))
+    size = list(map(len, bare))
     common = [[x for x in w if x in known] for w in words]
     # a claim is known by the word and the sentence around it, never by the word alone
-    own = [bool(OWN.match(u.strip())) or bool(SEQUENCE.search(u)) or len(w) > 4 and len(f) >= max(least_f, 0.15) * len(w) and bool(CLAIM.search(u)) for u, w, f in zip(units, words, common)]
+    # a sequence is a word of its own, so most units are known to have none by the text's words and their runs of capitals
+    sequences = linked or any(len(x) > 8 and not x.strip("acgtun") for x in {x for w in words for x in w})
+    some = " ".join(lower)
+    claims, enough = [part for part in CLAIM_PARTS if part in some], max(least_f, 0.15)
+    own = [bool(OWN.match(t)) or (sequences or CAPITALS.search(u)) and bool(SEQUENCE.search(u)) or len(w) > 4 and len(f) >= enough * len(w) and any(map(low.__contains__, claims)) and bool(CLAIM.search(u)) for u, t, low, w, f in zip(units, bare, lower, words, common)]
     link = [linked and not o and sum(len(m.group()) for m in LINK.finditer(u)) > 0.4 * n for u, n, o in zip(units, size, own)]
     tags = ["#" in u and sum(len(m.group()) for m in TAG.finditer(u)) > 0.5 * n for u, n in zip(units, size)]
     thin = []
-    for u, w, o, t, f in zip(units, words, own, tags, common):
-        dense = len(SEPARATOR.findall(u)) * 5 > len(w)
+    signs = list(map(separators, units))
+    for u, w, o, t, f, s in zip(units, words, own, tags, common, signs):
+        dense = s * 5 > len(w)
         # without a known language only separators tell a list from a sentence
-        poor = len(f) / max(1, len(w)) < least_f or len(set(f)) <= min(FEW, len(w) // 8) and (len(w) > 12 or dense) if lang else dense or len(w) <= FEW
+        poor = len(f) / (len(w) or 1) < least_f or len(set(f)) <= min(FEW, len(w) // 8) and (len(w) > 12 or dense) if lang else dense or len(w) <= FEW
         thin.append(t or not o and len(w) > 0 and poor)
     listed = [False] * len(units)
     i = 0
@@ -204,26 +225,28 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
         while j < len(units) and (thin[j] or link[j] or not words[j]):
             j += 1
         row = [x for k in range(i, j) for x in words[k]]
-        marks = sum(len(SEPARATOR.findall(units[k])) for k in range(i, j)) + (j - i)
+        marks = sum(signs[i:j]) + (j - i)
         if len(row) >= RUN and (len(set(row)) < 0.8 * len(row) or marks * 8 > len(row)):
             listed[i:j] = [thin[k] for k in range(i, j)]
         i = j
     repeats = [False] * len(units)
-    for i in range(len(units)):
-        if own[i] or not words[i]:
-            continue
-        for back in (True, False):
-            row, k = list(words[i]), i
-            while len(row) < WINDOW:
-                k += -1 if back else 1
-                if not 0 <= k < len(units):
-                    break
-                if not own[k]:
-                    row += words[k]
-            if len(row) >= 0.6 * WINDOW and len(set(row[: 2 * WINDOW])) < least_d * min(len(row), 2 * WINDOW) and len(set(words[i]) - set(row[len(words[i]) :])) <= 0.35 * len(set(words[i])):
-                repeats[i] = True
     theirs = [x for w, o in zip(words, own) if not o for x in w]
-    top_share, gram_share, copy_share, top = shares(theirs, [u.strip() for u, o in zip(units, own) if not o], known)
+    judged = [i for i, (w, o) in enumerate(zip(words, own)) if w and not o]
+    begins = [0, *accumulate(len(words[i]) for i in judged)]
+    for i, a, b in zip(judged, begins, begins[1:]):
+        # the unit with whole units before it, the last of them cut at its end, or behind it, until they fill a window
+        before = max(0, bisect_right(begins, b - WINDOW) - 1)
+        first, second = (begins[before], begins[before + 1]) if b - a < WINDOW else (a, b)
+        behind = begins[min(bisect_left(begins, a + WINDOW), len(begins) - 1)] if b - a < WINDOW else b
+        cut = first + max(0, min(second - first, 2 * WINDOW - (b - second)))
+        ahead = (b - first, theirs[second:b] + theirs[first:cut], theirs[first:a])
+        for n, part, others in (ahead, (behind - a, theirs[a : min(behind, a + 2 * WINDOW)], theirs[b:behind])):
+            if n >= 0.6 * WINDOW and len(set(part)) < least_d * min(n, 2 * WINDOW):
+                mine = set(words[i])
+                if len(mine.difference(others)) <= 0.35 * len(mine):
+                    repeats[i] = True
+                    break
+    top_share, gram_share, copy_share, top = shares(theirs, [u for u, o in zip(bare, own) if not o], known)
     if top_share > most_top:
         repeats = [r or not o and w.count(top) > most_top * len(w) for r, w, o in zip(repeats, words, own)]
     if gram_share > most_grams:
@@ -236,17 +259,17 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
             if w and not o:
                 repeats[i] = repeats[i] or sum(marked[at : at + len(w)]) * 2 > len(w)
                 at += len(w)
-    seen = Counter(u.strip() for u in units)
+    seen = Counter(bare)
     copies, before = [False] * len(units), set()
     if copy_share > most_copies:
-        for i, (u, o) in enumerate(zip(units, own)):
-            copies[i] = u.strip() in before and not o
-            before.add(u.strip())
+        for i, (u, o) in enumerate(zip(bare, own)):
+            copies[i] = u in before and not o
+            before.add(u)
     total = sum(size)
     out["links"] = sum(n for n, x in zip(size, link) if x) / total
     out["lists"] = sum(n for n, x in zip(size, listed) if x) / total
     out["repeats"] = sum(n for n, x in zip(size, repeats) if x) / total
-    out["duplicates"] = sum(n for u, n, o in zip(units, size, own) if seen[u.strip()] > 1 and not o) / total
+    out["duplicates"] = sum(n for u, n, o in zip(bare, size, own) if seen[u] > 1 and not o) / total
     out["spam"] = sum(n for n, *x in zip(size, link, listed, repeats, copies) if any(x)) / total
     return out
 
