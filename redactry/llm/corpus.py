@@ -20,6 +20,8 @@ WORD_SHARE, GRAM_SHARE = 1e-6, 2e-6
 #: Copies of one text beyond this share of all rows, and this many, count once; so at most 1 / COPIES texts are looked up.
 COPIES, COPIES_LEAST = 1e-3, 20
 EDGE = "\x02"
+#: Trigrams whose log probability a worker keeps.
+LOGS = 200_000
 #: Longer strings between blanks (encoded data, keys) are no words and don't enter the character counts.
 LONGEST = 60
 
@@ -99,16 +101,24 @@ class CharModel:
             self.ctx2[g[:2]] += n
             self.ctx1[g[1]] += n
         self.total = sum(self.one.values())
+        self.logs: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         """Log probability of the word with its end."""
-        a = b = EDGE
-        out, k = 0.0, self.k
-        one, two, three, ctx1, ctx2 = self.one, self.two, self.three, self.ctx1, self.ctx2
-        for c in word + EDGE:
-            p = (one.get(c, 0) + 0.01) / (self.total + 1000)
-            p = (two.get(b + c, 0) + k * p) / (ctx1.get(b, 0) + k)
-            p = (three.get(a + b + c, 0) + k * p) / (ctx2.get(a + b, 0) + k)
-            out += math.log(p)
-            a, b = b, c
+        w, out, logs = EDGE + EDGE + word + EDGE, 0.0, self.logs
+        for i in range(len(word) + 1):
+            g = w[i : i + 3]
+            x = logs.get(g)
+            out += self._log(g) if x is None else x
         return out
+
+    def _log(self, g: str) -> float:
+        """Log probability of a trigram's last character behind the others; kept, as trigrams repeat."""
+        k = self.k
+        p = (self.one.get(g[2], 0) + 0.01) / (self.total + 1000)
+        p = (self.two.get(g[1:], 0) + k * p) / (self.ctx1.get(g[1], 0) + k)
+        p = (self.three.get(g, 0) + k * p) / (self.ctx2.get(g[:2], 0) + k)
+        if len(self.logs) >= LOGS:
+            self.logs.clear()
+        x = self.logs[g] = math.log(p)
+        return x

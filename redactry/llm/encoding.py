@@ -86,12 +86,13 @@ DIRECT = frozenset(f"{a}>{b}" for a in READ_AS for b in READ_AS)
 
 
 @cache
-def rereadings() -> list[tuple[frozenset, list[tuple[str, dict[int, str]]]]]:
-    """Of each page its characters, and of each other page the chain and what they stand for in it."""
+def rereadings() -> list[tuple[frozenset, list[tuple[str, dict[int, str], frozenset]]]]:
+    """Of each page its characters, and of each other page the chain, what they stand for in it, and those that stand for
+    what no word holds."""
     out = []
     for page in READ_AS:
         turns = [(f"{page}>{true}", {c: reading(true)[b] for c, b in table(page).items() if c > 127}) for true in READ_AS if page != true]
-        out.append((frozenset(map(chr, table(page))), turns))
+        out.append((frozenset(map(chr, table(page))), [(chain, to, frozenset(chr(c) for c, x in to.items() if not x.isalpha() and x not in PUNCTUATION + "-'’")) for chain, to in turns]))
     return out
 
 
@@ -142,7 +143,9 @@ def transcoded(word: str) -> dict[str, str]:
     if all(c.isascii() or has_plain_form(c) for c in chars):
         return out
     for page, turns in rereadings():
-        for chain, to in turns if chars <= page else ():
+        for chain, to, never in turns if chars <= page else ():
+            if not chars.isdisjoint(never):
+                continue
             got = word.translate(to)
             if got != word and got not in out:
                 inner = got.strip(PUNCTUATION).replace("-", "").replace("'", "").replace("’", "")

@@ -74,7 +74,7 @@ def addresses(text: str, rule_out: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, form) of street addresses; with ``rule_out`` forms none of whose words the text holds are not looked for."""
     out = []
     for k, (need, form) in enumerate(FORMS):
-        if rule_out and not any(word in text for word in need):
+        if rule_out and not any(map(text.__contains__, need)):
             continue
         for m in form.finditer(text):
             lead = LEAD.search(text, back(text, m.start(), 3), m.start())
@@ -182,6 +182,7 @@ class Finder:
 
     def __init__(self, given: frozenset[str], vi_given: frozenset[str], persons: frozenset[str], plain: frozenset[str]):
         self.given_names, self.vi_given, self.persons, self.plain = given, vi_given, persons, plain
+        self.fused = re.compile("(?:" + "|".join(sorted((g for g in given if len(g) > 5), key=len, reverse=True)) + ")(?:van|von|de)$")
         self.kind = Memo(self._kind)
         self.info = Memo(self._info)
 
@@ -223,7 +224,7 @@ class Finder:
             return "f"
         if cap and telex != flat and telex in self.vi_given and low not in self.plain:
             return "v"
-        if cap and len(flat) > 4 and re.match("(?:" + "|".join(sorted((g for g in self.given_names if len(g) > 5), key=len, reverse=True)) + ")(?:van|von|de)$", flat):
+        if cap and len(flat) > 4 and self.fused.match(flat):
             return "g"
         if low not in self.plain or low in self.persons:
             return "s" if len(t) > 3 else "v" if cap and len(t) > 1 else ""

@@ -64,6 +64,25 @@ def test_chains_of_pages_and_utf8_in_either_order(restorer):
         assert found and {"société", "réglera", "réunion", "dépôt."} <= set(text.split())  # a lone letter may stay in doubt
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.text(st.characters(min_codepoint=0x21, max_codepoint=0x45F), min_size=1, max_size=8))
+def test_no_reading_spelled_like_a_word_is_passed_over(word):
+    want = {}
+    for chars, turns in encoding.rereadings():
+        for chain, to, *_ in turns if {*word} <= chars and not all(c.isascii() or encoding.has_plain_form(c) for c in word) else ():
+            inner = (new := word.translate(to)).strip(encoding.PUNCTUATION).replace("-", "").replace("'", "").replace("’", "")
+            if new != word and inner.isalpha() and (inner.islower() or inner.istitle() or inner.isupper()):
+                want.setdefault(new, chain)
+    assert encoding.transcoded(word) == want
+
+
+def test_kept_trigrams_do_not_grow_without_bound(monkeypatch):
+    monkeypatch.setattr(corpus, "LOGS", 3)
+    model = corpus.CharModel({"\x02\x02a": 3, "\x02ab": 2, "ab\x02": 2})
+    first = model.word("abba")
+    assert model.word("abba") == first and len(model.logs) <= 3
+
+
 def test_letters_that_only_look_alike_are_not_garbled(restorer):
     for text in ("Die Рrüfstelle hаlt Тüren", "VNÐ 500", "Ðề nghị phòng kế toán"):
         assert not restorer.restore(text)[0]
