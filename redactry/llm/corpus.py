@@ -105,9 +105,13 @@ class CharModel:
 
     def word(self, word: str) -> float:
         """Log probability of the word with its end."""
-        w, out, logs = EDGE + EDGE + word + EDGE, 0.0, self.logs
-        for i in range(len(word) + 1):
-            g = w[i : i + 3]
+        return self.behind(EDGE + EDGE + word + EDGE)
+
+    def behind(self, text: str) -> float:
+        """Log probability of a text behind its first two characters."""
+        out, logs = 0.0, self.logs
+        for i in range(len(text) - 2):
+            g = text[i : i + 3]
             x = logs.get(g)
             out += self._log(g) if x is None else x
         return out

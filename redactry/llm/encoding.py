@@ -7,7 +7,7 @@ import unicodedata
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactry.llm import corpus, lookalike
@@ -16,7 +16,7 @@ from redactry.sources.tables import checkpointed, discard
 
 #: The single-byte code pages a text may have been read in, and may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1250", "cp1258")
-#: Log-likelihood a restored word must gain. Validation on all words of the lexicon may lower it, not below the second figure.
+#: Log-likelihood a restored word must gain. Validation on all clean words of the texts may lower it, not below the second figure.
 MARGIN, LEAST_MARGIN = 7.0, 4.0
 #: Of the clean words of the validation, the share that may gain more than the margin.
 FALSE = 1e-3
@@ -26,6 +26,8 @@ PUNCTUATION = " .,;:!?()[]{}\"'“”‘’«»„…–—-*•"
 LOST = "\N{REPLACEMENT CHARACTER}"
 #: UTF-8 has no lone byte beyond ASCII, so a word with a lone character beyond it is none read as a page.
 LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
+#: Characters beyond ASCII, with single ones of it between them.
+BEYOND = re.compile(r"[^\x00-\x7f]+(?:[\x00-\x7f][^\x00-\x7f]+)*")
 #: Starts only behind white space and never backtracks, so a long ASCII token is passed over once.
 WORD = re.compile(r"(?<![^ \t\n\r\f\v])[^\x80-\U0010ffff \t\n\r\f\v]*+[^\x00-\x7f][^ \t\n\r\f\v]*+")
 
@@ -194,12 +196,16 @@ class Restorer:
             times = self.lexicon.get(core(t), 0)
             if known and not times:
                 continue  # a word of the corpus does not stand for one it does not know
-            often = len(core(t)) > 2 and times > RATIO * known and core(t) != alike
-            often = often and (alike == core(word) or not self.lexicon.get(alike))
+            often = self.knows_better(t, word, alike, known)
             if (often or not chain and c in DIRECT) and (s := size(t)) > score:
                 score, text, chain, alone = s, t, c, often and s - own > self.margin
         return score - own if chain else 0.0, chain, text, alone
 
+    def knows_better(self, text: str, word: str, alike: str, known: int) -> bool:
+        """Whether the corpus knows a reading far better than the word, which it knows ``known`` times and which looks like ``alike``."""
+        low = core(text)
+        return len(low) > 2 and self.lexicon.get(low, 0) > RATIO * known and low != alike and (alike == core(word) or not self.lexicon.get(alike))
+
     def refilled(self, word: str, begins: bool) -> str:
         """A word with lost letters, filled in if the corpus knows one word that fits far better than any other; else as it is.
 
@@ -293,43 +299,78 @@ def train(words: DataFrame) -> tuple[corpus.CharModel, dict[str, int], float]:
     for w, n in corpus.frequent(words, corpus.WORD_SHARE, 2).items():
         if clean(w):
             lexicon[core(w)] = lexicon.get(core(w), 0) + n
-    margin = validated(words.sparkSession, model, lexicon)
-    return model, lexicon, margin
+    return model, lexicon, validated(words, model, lexicon)
+
+
+def losses(model: corpus.CharModel, word: str) -> list[float]:
+    """Log likelihood that a word loses as UTF-8 read in each page. ASCII stays what it is, so only characters beyond it and the two behind are weighed."""
+    text = corpus.EDGE * 2 + word + corpus.EDGE
+    parts = [text[m.start() - 2 : m.end() + 2] for m in BEYOND.finditer(text)]
+    own = sum(map(model.behind, parts))
+    return [own - sum(model.behind("".join(map(reading(page).__getitem__, part.encode()))) for part in parts) for page in READ_AS]
+
 
+def validated(words: DataFrame, model: corpus.CharModel, lexicon: dict[str, int]) -> float:
+    """The margin that 99 of 100 words garbled in every page pass, and of the words as they are hardly any; of every clean
+    word beyond ASCII in :func:`corpus.word_counts`, however rare, in tasks.
 
-def validated(spark: SparkSession, model: corpus.CharModel, lexicon: dict[str, int]) -> float:
-    """The margin that 99 of 100 words garbled in every page pass, and of the words as they are hardly any; of every word
-    of the lexicon beyond ASCII, in tasks, as one takes about a millisecond."""
-    held_out = [w for w in lexicon if not w.isascii()]
-    if not held_out:
-        return MARGIN
-    shared = spark.sparkContext.broadcast((model, lexicon))
+    A word that may be garbled itself, as another page gives a far more frequent word, is no measure, nor is, of words not
+    in the lexicon, one that any chain turns into such a word. A reading that the corpus doesn't know is never taken.
+    """
+    sc = words.sparkSession.sparkContext
+    shared = sc.broadcast((model, lexicon))
+
+    def cores():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pairs = [(core(w), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if clean(w)]
+            return pa.record_batch([pa.array([w for w, _ in pairs], pa.string()), pa.array([n for _, n in pairs], pa.int64())], names=["word", "n"])
+
+        return step
 
     def make():
-        (model, lexicon), size = shared.value, shared.value[0].word
+        model, lexicon = shared.value
+        r, longest = Restorer(model, lexicon), max(map(len, lexicon), default=0)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            garbled, gain = [], []
-            for w in batch.column(0).to_pylist():
-                own = size(w)
-                garbled += [True] * len(READ_AS)
-                gain += (own - size("".join(map(reading(p).__getitem__, w.encode()))) for p in READ_AS)
-                # a word that may be garbled itself, as another page gives a far more frequent word, is no measure
-                if not any(lexicon.get(t, 0) > RATIO * lexicon[w] for t in transcoded(w)):
-                    garbled.append(False)
-                    gain.append(max((size(t) - own for t in crossed(w)), default=0.0))
-            return pa.record_batch([pa.array(garbled, pa.bool_()), pa.array(gain, pa.float64())], names=["garbled", "gain"])
+            low, high, n = [], [], 0
+            for w, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                alike = core(w.translate(look_alikes()))
+                taken = [t for t in crossed(w) if r.knows_better(t, w, alike, 0)]
+                # a page read as another leaves the length as it is, so of a longer word nothing is in the lexicon
+                if len(w) <= longest and any(lexicon.get(t, 0) > RATIO * times for t in transcoded(w)):
+                    continue
+                if w not in lexicon and any(lexicon[core(t)] > RATIO * times for t in taken):
+                    continue
+                n += 1
+                # gains on the near side of the limits can't move the margin, so they are only counted
+                low += (max(x, LEAST_MARGIN) for x in losses(model, w) if x < MARGIN)
+                own = model.word(w) if taken else 0.0
+                high += (x for x in [max((model.word(t) - own for t in taken), default=0.0)] if x > LEAST_MARGIN)
+            garbled = [True] * len(low) + [False] * len(high) + [None]
+            return pa.record_batch([pa.array(garbled, pa.bool_()), pa.array([*low, *high, None], pa.float64()), pa.array([0] * (len(garbled) - 1) + [n], pa.int64())], names=["garbled", "gain", "n"])
 
         return step
 
-    gains = checkpointed(map_batches(spark.createDataFrame(pa.table({"word": pa.array(held_out, pa.string())})), make, "garbled boolean, gain double"))
-    n = {r.garbled: r.n for r in gains.groupBy("garbled").agg(F.count("*").alias("n")).collect()}
-    # only gains on the far side of the limits can move the margin, so few are ranked
-    low = gains.where(F.col("garbled") & (F.col("gain") < MARGIN)).orderBy("gain").offset(n[True] // 100).first()
-    margin = max(LEAST_MARGIN, low.gain) if low else MARGIN
-    high = gains.where(~F.col("garbled") & (F.col("gain") > margin)).orderBy(F.desc("gain")).offset(int(FALSE * n.get(False, 0))).first()
+    beyond = map_batches(words.select("key", "n").where(F.length("key") < F.octet_length("key")), cores, "word string, n bigint")
+    tasks = 4 * sc.defaultParallelism  # given, as by bytes these words would go into one
+    whole = beyond.where(F.length("word") < F.octet_length("word")).repartition(tasks, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    gains = checkpointed(map_batches(whole, make, "garbled boolean, gain double, n bigint"))
+    n = gains.agg(F.sum("n")).first()[0] or 0
+    low = ranked(gains.where("garbled"), n * len(READ_AS) // 100)
+    margin = MARGIN if low is None else low
+    high = ranked(gains.where(~F.col("garbled") & (F.col("gain") > margin)).select((-F.col("gain")).alias("gain")), int(FALSE * n))
     discard(gains)
-    return high.gain if high else margin
+    return margin if high is None else -high
+
+
+def ranked(gains: DataFrame, k: int) -> float | None:
+    """The k-th least gain, from 0, or None if there are not as many; counted in steps of an eighth, so that only one step's are sorted."""
+    step = F.floor(F.col("gain") * 8)
+    for r in gains.groupBy(step.alias("at")).agg(F.count("*").alias("n"), F.min("gain").alias("least"), F.max("gain").alias("most")).orderBy("at").collect():
+        if k < r.n:
+            return r.least if r.least == r.most else gains.where(step == r["at"]).orderBy("gain").offset(k).first().gain
+        k -= r.n
+    return None
 
 
 def clean(word: str) -> bool:

@@ -117,6 +117,44 @@ def test_what_normalising_leaves_out_is_judged_by_a_margin_of_every_word(spark,
     assert used[0] > encoding.MARGIN
 
 
+@pytest.fixture(scope="module")
+def seldom():
+    """(words, words seen once that a chain of pages turns into those)."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("bcdlmnrst") + rng.choice("aeiouéèà") for _ in range(4)) + "é" for _ in range(800)})
+    return words, [w for w in (x.encode().decode("koi8-r").encode("cp866").decode("cp437") for x in words[:60]) if encoding.clean(w) and not encoding.transcoded(w)]
+
+
+def test_words_too_rare_for_the_lexicon_are_validated_too(spark, seldom):
+    words, once = seldom
+    model, lexicon, margin = encoding.train(spark.createDataFrame([(w, 3) for w in words] + [(w, 1) for w in once], "key string, n bigint"))
+    assert once and lexicon.keys().isdisjoint(once)
+    assert margin == max(model.word(t) - model.word(w) for w in once for t in encoding.crossed(w)) > encoding.MARGIN
+
+
+def test_normalising_leaves_no_text_out_by_a_margin_of_frequent_words(spark, seldom, tmp_path):
+    """Clean words seen once show that what a chain gains is no proof, so their text, which holds a look-alike, is a case."""
+    words, once = seldom
+    rows = [*((i, " ".join(words)) for i in range(3)), (7, " and ".join([*once, "m\u0430il"]))]
+    spark.createDataFrame(rows, "scan_id long, text string").write.parquet(f"{tmp_path}/scan_requests.parquet")
+    spark.createDataFrame([(1, 7, "m\u0430il")], "entity_id long, scan_id long, text_val string").write.parquet(f"{tmp_path}/detected_entities.parquet")
+    assert {("scan_requests", 7), ("detected_entities", 1)} <= {tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()}
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.text(st.sampled_from("abé-ßж中\U0001f600"), min_size=1, max_size=9))
+def test_losses_are_those_of_the_whole_word(word):
+    model = corpus.CharModel({"\x02\x02a": 3, "\x02aé": 2, "aéb": 2, "éb\x02": 4, "Ã©b": 1, "ж中a": 2})
+    want = [model.word(word) - model.word("".join(map(encoding.reading(p).__getitem__, word.encode()))) for p in encoding.READ_AS]
+    assert encoding.losses(model, word) == pytest.approx(want)
+
+
+def test_ranked(spark):
+    gains = [4.0] * 5 + [random.Random(1).uniform(-3, 9) for _ in range(60)]
+    df = spark.createDataFrame([(x,) for x in gains], "gain double")
+    assert [encoding.ranked(df, k) for k in (0, 20, 33, 64, 65)] == [*(sorted(gains)[k] for k in (0, 20, 33, 64)), None]
+
+
 def test_restore_edges(spark, texts):
     trained = encoding.train(corpus.word_counts(texts))
     rows = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "a", "a"), (4, "fÃ¼r größere Türen", "a"), (4, "fÃ¼r größere Türen", "a")], "scan_id long, text string, chains string")
