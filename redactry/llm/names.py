@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
@@ -58,6 +59,8 @@ COMMON = 1e-4
 #: Names of one group that share a feature are compared in blocks of about this many, and rows of one cluster paired so;
 #: groups below the share are not looked up, so that at most 1 / share are known to every task.
 BLOCK, HOT = 2000, 1e-3
+#: Names of the groups that a task links, on average, and shared features of two names that it sums at once.
+TASK_NAMES, AT_ONCE = 20_000, 500_000
 
 
 @cache
@@ -213,6 +216,29 @@ class Vectors:
         return out
 
 
+def cosines(names: list[str], groups: np.ndarray, vectors: Vectors) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places i < j, cosines) of all pairs of a group that share a feature, some names' pairs at a time."""
+    found, n = [vectors.memo[x] for x in names], len(names)
+    code: dict[str, int] = {}
+    rows = np.repeat(np.arange(n), np.fromiter(map(len, found), np.int64, n))
+    weight = np.fromiter((w for v in found for w in v.values()), np.float64, len(rows))
+    key = np.fromiter((code.setdefault(f, len(code)) for v in found for f in v), np.int64, len(rows))
+    key += groups[rows] * len(code)
+    norm = np.bincount(rows, weight, n)
+    order = np.argsort(key, kind="stable")
+    key, rows, weight = key[order], rows[order], weight[order]
+    behind = np.searchsorted(key, key, side="right") - np.arange(len(key)) - 1
+    part = (np.cumsum(np.bincount(rows, behind, n)).astype(np.int64) // AT_ONCE)[rows]
+    for p in np.unique(part[behind > 0]):
+        at = np.flatnonzero((part == p) & (behind > 0))
+        times = behind[at]
+        left = np.repeat(at, times)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+        pair, back = np.unique(rows[left] * n + rows[right], return_inverse=True)
+        i, j = pair // n, pair % n
+        yield i, j, np.bincount(back, weight[left]) / np.sqrt(norm[i] * norm[j])
+
+
 def near(a: str, b: str, most: int) -> bool:
     """At most so many edits apart; two neighbours swapped count once."""
     if abs(len(a) - len(b)) > most:
@@ -445,13 +471,95 @@ def similar(nodes: DataFrame, weights: tuple[dict[str, int], int], hot: dict[int
     return links
 
 
+def tie(a: int, b: int) -> int:
+    """Spark's xxhash64 of the lesser and the greater number, as :func:`average_linkage` orders equal links."""
+    mask, h = (1 << 64) - 1, 42
+    for x in (min(a, b), max(a, b)):
+        k = x * 0xC2B2AE3D27D4EB4F & mask
+        h = (h + 0x27D4EB2F165667C5 + 8 & mask) ^ ((k << 31 | k >> 33) * 0x9E3779B185EBCA87 & mask)
+        h = ((h << 27 | h >> 37) * 0x9E3779B185EBCA87 + 0x85EBCA77C2B2AE63) & mask
+        h = (h ^ h >> 33) * 0xC2B2AE3D27D4EB4F & mask
+        h = (h ^ h >> 29) * 0x165667B19E3779F9 & mask
+        h ^= h >> 32
+    return h - (h >> 63 << 64)
+
+
+def merged(links: dict[tuple[int, int], float], threshold: float = LINK) -> dict[int, int]:
+    """node -> cluster of every node with a link: the rounds of :func:`average_linkage` for links that one task holds."""
+    clusters = {x: x for ab in links for x in ab}
+    sizes, edges = dict.fromkeys(clusters, 1), links
+    while True:
+        best: dict[int, tuple[float, int]] = {}
+        for (a, b), s in edges.items():
+            mean = round(s / sizes[a] / sizes[b], 9)
+            if mean >= threshold:
+                for x, y in ((a, b), (b, a)):
+                    m, z = best.get(x, (0.0, y))
+                    if mean > m or mean == m and (tie(x, y), y) > (tie(x, z), z):
+                        best[x] = mean, y
+        merges = {b: a for a, (_, b) in best.items() if a < b and best[b][1] == a}
+        if not merges:
+            return clusters
+        clusters = {x: merges.get(c, c) for x, c in clusters.items()}
+        for b, a in merges.items():
+            sizes[a] += sizes.pop(b)
+        sums: dict[tuple[int, int], float] = {}
+        for (a, b), s in edges.items():
+            a, b = merges.get(a, a), merges.get(b, b)
+            if a != b:
+                ab = (a, b) if a < b else (b, a)
+                sums[ab] = sums.get(ab, 0.0) + s
+        edges = sums
+
+
+def linked_in_tasks(nodes: DataFrame, weights: tuple[dict[str, int], int], common: frozenset[str], tasks: int) -> DataFrame:
+    """(node, cluster) of every node with a link, for groups of no more than BLOCK names.
+
+    A task holds such a group whole, so all its cosines are summed there and its links merged, by the definitions of
+    :func:`similar` and :func:`average_linkage` but without a shuffle of features, of pairs or of rounds.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, memo = Vectors(*shared.value), Memo(unpacked_name, 20_000, 256)
+
+        def linked(ids: list[int], groups: list, names: list[str]) -> pa.RecordBatch:
+            group = np.cumsum([a != b for a, b in zip(groups, [groups[0], *groups])])
+            links = {}
+            for *pairs, cosine in cosines(names, group, vectors):
+                some = cosine >= COSINE
+                for i, j, c in zip(*(x[some].tolist() for x in (*pairs, cosine))):
+                    sim = c * agree(memo[names[i]], memo[names[j]], common)
+                    if sim > 0:
+                        links[ids[i], ids[j]] = sim
+            clusters = merged(links)
+            return pa.record_batch([pa.array(x, pa.int64()) for x in (clusters.keys(), clusters.values())], names=["node", "cluster"])
+
+        held: tuple[list, list, list] = ([], [], [])
+        for batch in batches:
+            for own, column in zip(held, batch.columns):
+                own += column.to_pylist()
+            groups = held[1]
+            if groups and groups[0] != groups[-1]:  # the last group may go on in the next batch
+                end = groups.index(groups[-1])
+                yield linked(*(own[:end] for own in held))
+                held = tuple(own[end:] for own in held)
+        if held[0]:
+            yield linked(*held)
+
+    # an explicit number of tasks, as by bytes these rows would go into one or two; by node too, as agree() looks at the lesser first
+    whole = nodes.select("node", "grp", "name").repartition(tasks, "grp").sortWithinPartitions("grp", "node")
+    return whole.mapInArrow(run, "node bigint, cluster bigint")
+
+
 def link(rows: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
     """(id, group, text_val, cluster): every row whose text names something, with its cluster within its group.
 
     Names become weighted vectors of character n-grams, joined by cosine within
     their group (:func:`similar`), and average linkage over the cosines gives the
-    clusters. Rows with equal names are one node, so copies cost nothing. Rows
-    without a group are linked with none. Repeated ids must be removed before.
+    clusters; groups of no more than BLOCK names have both in one task. Rows with
+    equal names are one node, so copies cost nothing. Rows without a group are
+    linked with none. Repeated ids must be removed before.
     """
     source = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(text_col).alias("text"))
     named = checkpointed(parsed(source, ["id", "grp"], "text").withColumn("node", F.xxhash64("grp", "name")))
@@ -462,10 +570,13 @@ def link(rows: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFra
     words = checkpointed(words.groupBy("w", "org").agg(F.count("*").alias("n")))
     common = frozenset(r.w for r in words.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, COMMON * total)).collect())
     counts = {r.f: r.n for r in counted_features(words).where(F.col("n") > max(2, RARE * total)).collect()}
-    sizes = nodes.where(F.col("grp").isNotNull()).groupBy(F.xxhash64("grp").alias("g")).agg(F.count("*").alias("n"))
-    hot = {r.g: r.n for r in sizes.where(F.col("n") > max(BLOCK, HOT * total)).collect()}
-    links = checkpointed(similar(nodes, (counts, total), hot, common))
-    clusters = average_linkage(links)
+    grouped = nodes.where(F.col("grp").isNotNull())
+    large = checkpointed(grouped.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    clusters = checkpointed(linked_in_tasks(grouped.join(large, "grp", "left_anti"), (counts, total), common, -(-total // TASK_NAMES) or 1))
+    if not large.isEmpty():
+        hot = {r.g: r.n for r in large.where(F.col("n") > HOT * total).select(F.xxhash64("grp").alias("g"), "n").collect()}
+        links = checkpointed(similar(grouped.join(large, "grp", "left_semi"), (counts, total), hot, common))
+        clusters = clusters.unionByName(average_linkage(links))
     return named.join(clusters, "node", "left").select(F.col("id").alias(id_col), F.col("grp").alias(group_col), "text_val", F.coalesce("cluster", "node").alias("cluster"))
 
 

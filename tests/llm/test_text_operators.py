@@ -247,6 +247,46 @@ def test_similar_names_against_every_pair(spark, monkeypatch):
     assert names.similar(nodes, ({}, len(rows)), {}, frozenset(), top_n=1).count() < len(want)
 
 
+def test_groups_of_few_names_are_linked_in_one_task_as_large_ones_are(spark, monkeypatch):
+    """The same clusters as by the join of features and the distributed rounds, which only groups above BLOCK need."""
+    random.seed(6)
+    people = [f"{g} {s}" for g in ("Bob", "Robert", "B.", "Elizabeth", "Liz", "Lars", "John", "Jon") for s in ("Zafdansef", "Nadnifkak", "Nadnifkaak", "Smith", "Olsen", "Olson", "Nguyen Van")]
+    rows = [(k, random.choice((1, 1, 1, 2, 3, None)), random.choice((str.title, str.upper))(random.choice(people))) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, grp int, text string")
+    monkeypatch.setattr(names, "BLOCK", 10)  # the groups of 1, and 2 or 3 perhaps, are large
+    want = {r.id: r.cluster for r in names.link(df, "id", "grp", "text").collect()}
+    monkeypatch.undo()
+
+    def shuffled(*_):
+        raise AssertionError("features of small groups are shuffled")
+
+    monkeypatch.setattr(names, "similar", shuffled)
+    for at_once in (names.AT_ONCE, 40):
+        monkeypatch.setattr(names, "AT_ONCE", at_once)
+        assert {r.id: r.cluster for r in names.link(df, "id", "grp", "text").collect()} == want
+    assert len(set(want.values())) < len({(g, t.lower()) for _, g, t in rows})
+
+
+def test_sums_of_cosines_in_slices(monkeypatch):
+    """Every pair of a group that shares a feature, once, with the cosine of the vectors, also summed a few names at a time."""
+    texts = [names.packed(names.parse(f"{g} {s}")) for g in ("Bob", "Robert", "Lars") for s in ("Smith", "Olsen", "Zafdansef", "Lee")] * 2
+    groups, vectors = np.array([0] * 12 + [1] * 12), names.Vectors({"olsen": 90}, 1000)
+    want = {(i, j): vectors.cosine(texts[i], texts[j]) for i in range(24) for j in range(i + 1, 24) if groups[i] == groups[j]}
+    for at_once in (500_000, 9):
+        monkeypatch.setattr(names, "AT_ONCE", at_once)
+        got = [((i, j), c) for part in names.cosines(texts, groups, vectors) for i, j, c in zip(*(x.tolist() for x in part))]
+        assert dict(got) == pytest.approx({k: c for k, c in want.items() if c}) and len(got) == len(dict(got))
+
+
+def test_ties_go_by_the_hash_of_spark(spark):
+    pairs = [(3, 5), (-7, 2), (2**63 - 1, -(2**63)), (0, -1), (1234567890123, -987654321)]
+    for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h")).collect():
+        assert names.tie(r.a, r.b) == names.tie(r.b, r.a) == r.h
+    links = {(a, b): random.Random(a * 9 + b).choice((0.4, 0.8)) for a in range(12) for b in range(a + 1, 12)}
+    got = names.average_linkage(spark.createDataFrame([(a, b, s) for (a, b), s in links.items()], "a long, b long, sim double"), 0.5)
+    assert {r.node: r.cluster for r in got.collect()} == names.merged(links, 0.5)
+
+
 def test_rows_of_a_large_cluster_meet_once(spark, monkeypatch):
     monkeypatch.setattr(names, "BLOCK", 5)
     df = spark.createDataFrame([(k, 1, f"t{k % 9}", 7) for k in range(33)], "id long, key int, text_val string, cluster long")
