@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from itertools import accumulate, repeat
+from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate, chain, compress, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,12 @@ TAG = re.compile(r"#[^\W\d]\w*")
 #: White space between a sentence's end and a letter, or line feeds; begins with a class, so that what is none is passed over fast.
 CUT = re.compile(r"\s(?:(?<=[.!?]\s)\s*+(?=[^\W\d_])|(?<=\n)\n*+)")
 WORD = re.compile(r"[^\W\d_]+")
+#: A page of bytes for lower-case texts: ASCII, frequent signs, and the small letters of Latin-1, Greek and Latin Extended-A.
+PAGE = "".join(map(chr, range(128))) + ("–—“”„’…" + "".join(chr(c) for part in ((0xAA, 0x100), (0x3B1, 0x3CA), (0x101, 0x180)) for c in range(*part) if WORD.match(chr(c)) and chr(c) == chr(c).lower()))[:128]
+PAGE = PAGE.ljust(256, "\ufffe")
+TO_PAGE = codecs.charmap_build(PAGE)
+#: Of its bytes those of WORD's letters and line feeds, blanks for the others.
+LETTERS = bytes(b if b == 10 or WORD.match(PAGE[b]) else 32 for b in range(256))
 #: What marks a patent's own lists: reference signs, classes, cited works, sequences, formulas; and how a
 #: claim refers to others, by a number, a range or any of them.
 OWN = re.compile(r"^\(?\d{1,4}[a-z]?\)?[\s:–-]+[^\d,.;|»›/#]{2,60}$|^\[\d+\]\s.*|^[A-H]\d\d[A-Z]\s?\d+/\d+.*|^SEQ ID.*", re.I | re.S)
@@ -50,17 +59,28 @@ CLAIM_PARTS = ("claim", "spruch", "sprüch", "revendication", "reivindica", "ı"
 #: of these documents and the part of all their words that such a word makes up.
 LEARNED_FROM, IN_DOCUMENTS, OF_WORDS = 100, 0.5, 0.005
 SEQUENCE = re.compile(r"\b(?:[acgtun]{9,}|[ACDEFGHIKLMNPQRSTVWY]{9,})\b")
-AMINO = "[ACDEFGHIKLMNPQRSTVWY]"
-CAPITALS = re.compile(AMINO + AMINO + "{8}")
+#: The letters of sequences by their kinds, line feeds, blanks for other bytes; and what a SEQUENCE needs of them.
+RUNS = bytes(b if b == 10 else 97 if chr(b) in "acgtun" else 65 if chr(b) in "ACDEFGHIKLMNPQRSTVWY" else 32 for b in range(256))
+SMALL, CAPITALS = b"a" * 9, b"A" * 9
 SIGNS = "|›»/•·,;#>"
+DASHES = (" - ", " – ", " — ")
 SEPARATOR = re.compile(rf"[{SIGNS}]| [-–—] ")
 
 
+@cache
+def languages_of(*known: tuple[str, frozenset[str]]) -> dict[str, list[str]]:
+    """Function word -> the languages it is one of."""
+    return {w: [x for x, ws in known if w in ws] for w in frozenset().union(*(ws for _, ws in known))}
+
+
 def language(words: list[str], lang: str | None, known: dict[str, frozenset[str]] = WORDS) -> str:
     """The language whose function words fill most of the text; the label only decides where hardly any occur, as labels
     are often wrong. '' if the label names none that is known: its function words say nothing then."""
-    some = Counter(words)
-    best, n = max(((x, sum(map(some.get, ws, repeat(0)))) for x, ws in known.items()), key=lambda x: (x[1], x[0] == lang))
+    of, counts = languages_of(*known.items()), dict.fromkeys(known, 0)
+    for w, n in Counter(filter(of.__contains__, words)).items():
+        for x in of[w]:
+            counts[x] += n
+    best, n = max(counts.items(), key=lambda x: (x[1], x[0] == lang))
     return best if n * 12 > len(words) else lang if lang in known else ""
 
 
@@ -76,27 +96,53 @@ def windows(text: str, lang: str | None, known: dict[str, frozenset[str]] = WORD
     return lang, out
 
 
+def blank(error: UnicodeError) -> tuple[str, int]:
+    """A blank for signs that PAGE lacks, if none is a letter."""
+    if WORD.search(error.object, error.start, error.end):
+        raise error
+    return " ", error.end
+
+
+codecs.register_error("redactry.blank", blank)
+
+
+def words_of(lines: str) -> list[list[str]]:
+    """WORD's words of each line of a lower-case text; by a table of bytes, many times faster than the pattern, but in
+    lines with letters that PAGE lacks."""
+    try:
+        page = codecs.charmap_encode(lines, "redactry.blank", TO_PAGE)[0]
+    except UnicodeEncodeError:
+        each = lines.split("\n")
+        return [WORD.findall(lines)] if len(each) == 1 else [words for line in each for words in words_of(line)]
+    return list(map(str.split, codecs.charmap_decode(page.translate(LETTERS), "strict", PAGE)[0].split("\n")))
+
+
 def separators(unit: str) -> int:
     """How many SEPARATORs a unit has; counted sign by sign where no dash stands alone."""
-    if " - " in unit or " – " in unit or " — " in unit:
+    if any(map(unit.__contains__, DASHES)):
         return len(SEPARATOR.findall(unit))
     return sum(map(unit.count, SIGNS))
 
 
-def grams(words: list[str]) -> list[tuple[str, ...]]:
-    return list(zip(*(words[i:] for i in range(GRAM))))
+def grams(words: list[str]) -> Iterator[tuple[str, ...]]:
+    return zip(*(words[i:] for i in range(GRAM)))
 
 
-def shares(words: list[str], units: list[str], known: frozenset[str]) -> tuple[float, float, float, str]:
-    """Top-word share of the words, shares of repeated n-grams and of duplicate units (copies beyond the first), and the
-    top word. All 0 for texts of less than a window of words."""
+def shares(words: list[str], units: list[str], known: frozenset[str], least_top: float = -1.0, least_grams: float = -1.0) -> tuple[float, float, float, str]:
+    """Top-word share of the words, share of repeated n-grams (either 0 if it can't be beyond its ``least``), share of
+    duplicate units (copies beyond the first), and the top word. All 0 for texts of less than a window of words."""
     if len(words) < WINDOW:
         return 0.0, 0.0, 0.0, ""
     counts = Counter(words)
-    n, top = max(((n, w) for w, n in counts.items() if w not in known and len(w) > 1), default=(0, ""))
-    all_grams = grams(words)
+    most, top = 0, ""
+    for w, n in counts.items() if max(counts.values()) / len(words) > least_top else ():
+        if n >= most and (n > most or w > top) and w not in known and len(w) > 1:
+            most, top = n, w
+    # each word's first occurrence ends an n-gram that is new, so a page of enough different words needs no count of them
+    all_grams = len(words) - GRAM + 1
+    few = 1 - (len(counts) - GRAM + 1) / all_grams > least_grams
     total = sum(map(len, units)) or 1
-    return n / len(words), 1 - len(set(all_grams)) / len(all_grams), 1 - sum(map(len, set(units))) / total, top
+    return most / len(words), 1 - len(set(grams(words))) / all_grams if few else 0.0, 1 - sum(map(len, set(units))) / total, top
 
 
 def function_words(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, frozenset[str]]:
@@ -150,8 +196,9 @@ def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                         hist[lang, 0, f] += 1
                         hist[lang, 1, d] += 1
                     if found:
-                        units = [u.strip() for u in CUT.split(text) if u.strip()]
-                        for what, x in enumerate(shares(WORD.findall(text.lower()), units, known.get(lang, frozenset()))[:3], 2):
+                        units = [x for u in CUT.split(text) if (x := u.strip())]
+                        words = list(chain.from_iterable(words_of(text.lower())))
+                        for what, x in enumerate(shares(words, units, known.get(lang, frozenset()))[:3], 2):
                             hist[lang, what, int(100 * x)] += 1
             keys = list(hist)
             return pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([hist[k] for k in keys], pa.int64())], names=["lang", "what", "bin", "n"])
@@ -189,27 +236,31 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
     A patent's own lists, by their form, are never spam.
     """
     out = dict.fromkeys(("links", "lists", "repeats", "duplicates", "spam"), 0.0)
-    lang = language(text.lower().split(), lang, {k: v[0] for k, v in limits.items() if k})
+    whole = text.lower()
+    lang = language(whole.split(), lang, {k: v[0] for k, v in limits.items() if k})
     known, least_f, least_d, *most = limits.get(lang) or (frozenset(), 0.0, REPETITIVE * 0.65)
     most_top, most_grams, most_copies = most or LEAST_LIMITS
     units = [u for u in CUT.split(text) if u.strip()]
     if not units:
         return out
-    linked = LINK.search(text) is not None
-    lower, bare = [u.lower() for u in units], [u.strip() for u in units]
-    words = [WORD.findall(LINK.sub(" ", u).lower()) for u in units] if linked else list(map(WORD.findall, lower))
+    linked = ("](" in text or "<a" in whole or "://" in text or "www." in whole) and LINK.search(text) is not None
+    lines = "\n".join(units)  # no unit has a line feed
+    low_lines = lines.lower()
+    lower, bare = low_lines.split("\n"), list(map(str.strip, units))
+    words = words_of("\n".join([LINK.sub(" ", u) for u in units]).lower() if linked else low_lines)
     size = list(map(len, bare))
-    common = [[x for x in w if x in known] for w in words]
+    common = [list(filter(known.__contains__, w)) for w in words]
     # a claim is known by the word and the sentence around it, never by the word alone
-    # a sequence is a word of its own, so most units are known to have none by the text's words and their runs of capitals
-    sequences = linked or any(len(x) > 8 and not x.strip("acgtun") for x in {x for w in words for x in w})
-    some = " ".join(lower)
-    claims, enough = [part for part in CLAIM_PARTS if part in some], max(least_f, 0.15)
-    own = [bool(OWN.match(t)) or (sequences or CAPITALS.search(u)) and bool(SEQUENCE.search(u)) or len(w) > 4 and len(f) >= enough * len(w) and any(map(low.__contains__, claims)) and bool(CLAIM.search(u)) for u, t, low, w, f in zip(units, bare, lower, words, common)]
+    runs = lines.encode("ascii", "replace").translate(RUNS)
+    sequences = [SMALL in r or CAPITALS in r for r in runs.split(b"\n")] if SMALL in runs or CAPITALS in runs else repeat(False)
+    claims, enough = [part for part in CLAIM_PARTS if part in whole], max(least_f, 0.15)
+    own = [bool(OWN.match(t)) or r and bool(SEQUENCE.search(u)) or bool(claims) and len(w) > 4 and len(f) >= enough * len(w) and any(map(low.__contains__, claims)) and bool(CLAIM.search(u)) for u, t, low, w, f, r in zip(units, bare, lower, words, common, sequences)]
     link = [linked and not o and sum(len(m.group()) for m in LINK.finditer(u)) > 0.4 * n for u, n, o in zip(units, size, own)]
     tags = ["#" in u and sum(len(m.group()) for m in TAG.finditer(u)) > 0.5 * n for u, n in zip(units, size)]
     thin = []
-    signs = list(map(separators, units))
+    there = "".join(s for s in SIGNS if s in text)
+    dashes = [d for d in DASHES if d in text]
+    signs = [separators(u) if dashes and any(map(u.__contains__, dashes)) else sum(map(u.count, there)) for u in units]
     for u, w, o, t, f, s in zip(units, words, own, tags, common, signs):
         dense = s * 5 > len(w)
         # without a known language only separators tell a list from a sentence
@@ -233,20 +284,33 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
     theirs = [x for w, o in zip(words, own) if not o for x in w]
     judged = [i for i, (w, o) in enumerate(zip(words, own)) if w and not o]
     begins = [0, *accumulate(len(words[i]) for i in judged)]
+    # how many words up to each place stood less than two windows before too: a part of the text repeats no more than these
+    last, again, repeated = {}, 0, [0]
+    for at, w in enumerate(theirs):
+        if at - last.get(w, -2 * WINDOW) < 2 * WINDOW:
+            again += 1
+        last[w] = at
+        repeated.append(again)
+
+    def poor(n: int, x: int, y: int, p: int = 0, q: int = 0) -> bool:
+        # n words, of which those from x to y and from p to q count
+        enough = least_d * min(n, 2 * WINDOW)
+        return n >= 0.6 * WINDOW and (p < q or y - x - repeated[y] + repeated[x] < enough) and len(set(theirs[x:y] + theirs[p:q])) < enough
+
+    def said(i: int, x: int, y: int) -> bool:
+        mine = set(words[i])
+        return len(mine.difference(theirs[x:y])) <= 0.35 * len(mine)
+
     for i, a, b in zip(judged, begins, begins[1:]):
+        if b - a >= WINDOW:
+            continue  # it fills a window, so there are no others that say the same
         # the unit with whole units before it, the last of them cut at its end, or behind it, until they fill a window
         before = max(0, bisect_right(begins, b - WINDOW) - 1)
-        first, second = (begins[before], begins[before + 1]) if b - a < WINDOW else (a, b)
-        behind = begins[min(bisect_left(begins, a + WINDOW), len(begins) - 1)] if b - a < WINDOW else b
-        cut = first + max(0, min(second - first, 2 * WINDOW - (b - second)))
-        ahead = (b - first, theirs[second:b] + theirs[first:cut], theirs[first:a])
-        for n, part, others in (ahead, (behind - a, theirs[a : min(behind, a + 2 * WINDOW)], theirs[b:behind])):
-            if n >= 0.6 * WINDOW and len(set(part)) < least_d * min(n, 2 * WINDOW):
-                mine = set(words[i])
-                if len(mine.difference(others)) <= 0.35 * len(mine):
-                    repeats[i] = True
-                    break
-    top_share, gram_share, copy_share, top = shares(theirs, [u for u, o in zip(bare, own) if not o], known)
+        first, second = begins[before], begins[before + 1]
+        behind = begins[min(bisect_left(begins, a + WINDOW), len(begins) - 1)]
+        ahead = (first, b) if b - first <= 2 * WINDOW else (second, b, first, max(first, 2 * WINDOW - b + second + first))
+        repeats[i] = poor(b - first, *ahead) and said(i, first, a) or poor(behind - a, a, min(behind, a + 2 * WINDOW)) and said(i, b, behind)
+    top_share, gram_share, copy_share, top = shares(theirs, [u for u, o in zip(bare, own) if not o], known, most_top, most_grams)
     if top_share > most_top:
         repeats = [r or not o and w.count(top) > most_top * len(w) for r, w, o in zip(repeats, words, own)]
     if gram_share > most_grams:
@@ -266,11 +330,12 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
             copies[i] = u in before and not o
             before.add(u)
     total = sum(size)
-    out["links"] = sum(n for n, x in zip(size, link) if x) / total
-    out["lists"] = sum(n for n, x in zip(size, listed) if x) / total
-    out["repeats"] = sum(n for n, x in zip(size, repeats) if x) / total
-    out["duplicates"] = sum(n for u, n, o in zip(bare, size, own) if seen[u] > 1 and not o) / total
-    out["spam"] = sum(n for n, *x in zip(size, link, listed, repeats, copies) if any(x)) / total
+    out["links"] = sum(compress(size, link)) / total
+    out["lists"] = sum(compress(size, listed)) / total
+    out["repeats"] = sum(compress(size, repeats)) / total
+    if len(seen) < len(bare):
+        out["duplicates"] = sum(n for u, n, o in zip(bare, size, own) if seen[u] > 1 and not o) / total
+    out["spam"] = sum(compress(size, (a or b or c or d for a, b, c, d in zip(link, listed, repeats, copies)))) / total
     return out
 
 

@@ -655,6 +655,48 @@ def test_units_and_separators_are_those_of_the_plain_patterns(text):
     assert spam.CUT.split(text) == re.split(r"(?<=[.!?])\s+(?=[^\W\d_])|\n+", text)
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(st.sampled_from("aBſİßΣα²½ªłж弁 \t.,-_19’—\u0301\ud800\x85"), max_size=20), max_size=5))
+def test_words_by_the_table_are_those_of_the_pattern(lines):
+    low = "\n".join(lines).lower()
+    assert spam.words_of(low) == [spam.WORD.findall(line) for line in low.split("\n")]
+
+
+def test_repeats_are_those_of_every_window_counted():
+    """Units of few different words with whole units before or behind them, each window counted without a bound."""
+    random.seed(7)
+    found = 0
+    for k in range(150):
+        pool = [f"{a}{b}" for a in "pqrst" for b in "aeiou"[: random.choice((1, 3, 5))]]
+        units = [" ".join(random.choices(pool, k=random.choice((3, 8, 20, 45, 70)))) for _ in range(random.choice((1, 6, 25)))]
+        words, repeats = [u.split() for u in units], []
+        flat, begins = [w for ws in words for w in ws], np.cumsum([0, *map(len, words)]).tolist()
+        for i, (a, b) in enumerate(zip(begins, begins[1:])):
+            first = max([x for x in begins[: i + 1] if x <= b - 50], default=0)
+            second, behind = min(x for x in begins if x > first), min([x for x in begins if x >= a + 50], default=begins[-1])
+            kept = flat[second:b] + flat[first : first + max(0, min(second - first, 100 - b + second))]
+            sides = ((b - first, kept, flat[first:a]), (behind - a, flat[a : min(behind, a + 100)], flat[b:behind]))
+            repeats.append(b - a < 50 and any(n >= 30 and len(set(part)) < 0.35 * min(n, 100) and len(set(words[i]) - set(others)) <= 0.35 * len(set(words[i])) for n, part, others in sides))
+        want = sum(len(u) for u, r in zip(units, repeats) if r) / sum(map(len, units))
+        assert spam.measure("\n".join(units), None, dict.fromkeys(("en", ""), (frozenset(), 0.0, 0.35, 1.0, 1.0, 1.0)))["repeats"] == want
+        found += 0 < want < 1
+    assert found > 10
+
+
+def test_shares_that_no_limit_can_be_beyond_are_not_counted(monkeypatch):
+    limits = {k: (ws, 0.136, 0.42) for k, ws in spam.WORDS.items()}
+    words = spam.WORD.findall(PATENT.lower())
+    top, repeated, copies, _ = spam.shares(words, PATENT.split("\n"), spam.WORDS["en"])
+    assert spam.shares(words, PATENT.split("\n"), spam.WORDS["en"], top / 2, repeated - 0.01)[:3] == (top, repeated, copies)
+
+    def counted(_):
+        raise AssertionError("n-grams of a page with enough different words are counted")
+
+    monkeypatch.setattr(spam, "grams", counted)
+    page = " ".join(f"The {a}{b}x is on {b}{a}y." for a in "acdegh" for b in "acdegh")
+    assert spam.measure(page, "en", limits)["duplicates"] == 0
+
+
 def test_patents_are_not_spam(spark):
     limits = {k: (ws, 0.136, 0.42) for k, ws in spam.WORDS.items()}
     assert spam.measure(PATENT, None, limits)["spam"] == 0 and spam.measure(f"{PATENT}\n{OWN}", "en", limits)["spam"] < 0.05
