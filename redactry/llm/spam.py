@@ -42,6 +42,8 @@ LINK = re.compile(r"\[[^\]\n]*\]\(\S*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)\S+
 TAG = re.compile(r"#[^\W\d]\w*")
 #: White space between a sentence's end and a letter, or line feeds; begins with a class, so that what is none is passed over fast.
 CUT = re.compile(r"\s(?:(?<=[.!?]\s)\s*+(?=[^\W\d_])|(?<=\n)\n*+)")
+#: The first of these, found by the sentence's end, as few signs are one.
+END = re.compile(r"[.!?]\s+(?=[^\W\d_])")
 WORD = re.compile(r"[^\W\d_]+")
 #: A page of bytes for lower-case texts: ASCII, frequent signs, and the small letters of Latin-1, Greek and Latin Extended-A.
 PAGE = "".join(map(chr, range(128))) + ("–—“”„’…" + "".join(chr(c) for part in ((0xAA, 0x100), (0x3B1, 0x3CA), (0x101, 0x180)) for c in range(*part) if WORD.match(chr(c)) and chr(c) == chr(c).lower()))[:128]
@@ -96,6 +98,16 @@ def windows(text: str, lang: str | None, known: dict[str, frozenset[str]] = WORD
     return lang, out
 
 
+def cut(text: str) -> list[str]:
+    """What CUT leaves of the text but for blank parts."""
+    out, at = [], 0
+    for m in END.finditer(text):
+        out += text[at : m.start() + 1].split("\n")
+        at = m.end()
+    out += text[at:].split("\n")
+    return [u for u in out if u and not u.isspace()]
+
+
 def blank(error: UnicodeError) -> tuple[str, int]:
     """A blank for signs that PAGE lacks, if none is a letter."""
     if WORD.search(error.object, error.start, error.end):
@@ -196,7 +208,7 @@ def calibrate(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
                         hist[lang, 0, f] += 1
                         hist[lang, 1, d] += 1
                     if found:
-                        units = [x for u in CUT.split(text) if (x := u.strip())]
+                        units = list(map(str.strip, cut(text)))
                         words = list(chain.from_iterable(words_of(text.lower())))
                         for what, x in enumerate(shares(words, units, known.get(lang, frozenset()))[:3], 2):
                             hist[lang, what, int(100 * x)] += 1
@@ -240,7 +252,7 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
     lang = language(whole.split(), lang, {k: v[0] for k, v in limits.items() if k})
     known, least_f, least_d, *most = limits.get(lang) or (frozenset(), 0.0, REPETITIVE * 0.65)
     most_top, most_grams, most_copies = most or LEAST_LIMITS
-    units = [u for u in CUT.split(text) if u.strip()]
+    units = cut(text)
     if not units:
         return out
     linked = ("](" in text or "<a" in whole or "://" in text or "www." in whole) and LINK.search(text) is not None
@@ -281,35 +293,40 @@ def measure(text: str, lang: str | None, limits: dict[str, tuple]) -> dict[str,
             listed[i:j] = [thin[k] for k in range(i, j)]
         i = j
     repeats = [False] * len(units)
-    theirs = [x for w, o in zip(words, own) if not o for x in w]
     judged = [i for i, (w, o) in enumerate(zip(words, own)) if w and not o]
+    theirs = list(chain.from_iterable(map(words.__getitem__, judged)))
     begins = [0, *accumulate(len(words[i]) for i in judged)]
-    # how many words up to each place stood less than two windows before too: a part of the text repeats no more than these
+    # how many words up to each unit stood less than two windows before too: a part of the text repeats no more than these
     last, again, repeated = {}, 0, [0]
-    for at, w in enumerate(theirs):
-        if at - last.get(w, -2 * WINDOW) < 2 * WINDOW:
-            again += 1
-        last[w] = at
+    for i, a in zip(judged, begins):
+        for at, w in enumerate(words[i], a):
+            if at - last.get(w, -2 * WINDOW) < 2 * WINDOW:
+                again += 1
+            last[w] = at
         repeated.append(again)
 
-    def poor(n: int, x: int, y: int, p: int = 0, q: int = 0) -> bool:
-        # n words, of which those from x to y and from p to q count
-        enough = least_d * min(n, 2 * WINDOW)
-        return n >= 0.6 * WINDOW and (p < q or y - x - repeated[y] + repeated[x] < enough) and len(set(theirs[x:y] + theirs[p:q])) < enough
-
-    def said(i: int, x: int, y: int) -> bool:
+    def said(i: int, others: list[str]) -> bool:
         mine = set(words[i])
-        return len(mine.difference(theirs[x:y])) <= 0.35 * len(mine)
+        return len(mine.difference(others)) <= 0.35 * len(mine)
 
-    for i, a, b in zip(judged, begins, begins[1:]):
+    for k, (i, a, b) in enumerate(zip(judged, begins, begins[1:])):
         if b - a >= WINDOW:
             continue  # it fills a window, so there are no others that say the same
         # the unit with whole units before it, the last of them cut at its end, or behind it, until they fill a window
         before = max(0, bisect_right(begins, b - WINDOW) - 1)
         first, second = begins[before], begins[before + 1]
-        behind = begins[min(bisect_left(begins, a + WINDOW), len(begins) - 1)]
-        ahead = (first, b) if b - first <= 2 * WINDOW else (second, b, first, max(first, 2 * WINDOW - b + second + first))
-        repeats[i] = poor(b - first, *ahead) and said(i, first, a) or poor(behind - a, a, min(behind, a + 2 * WINDOW)) and said(i, b, behind)
+        n = b - first
+        full = n if n < 2 * WINDOW else 2 * WINDOW
+        if n >= 0.6 * WINDOW and (n > 2 * WINDOW or n - repeated[k + 1] + repeated[before] < least_d * n):
+            part = theirs[first:b] if n <= 2 * WINDOW else theirs[second:b] + theirs[first : max(first, 2 * WINDOW - b + second + first)]
+            if len(set(part)) < least_d * full and said(i, theirs[first:a]):
+                repeats[i] = True
+                continue
+        after = min(bisect_left(begins, a + WINDOW), len(begins) - 1)
+        n = begins[after] - a
+        full = n if n < 2 * WINDOW else 2 * WINDOW
+        if n >= 0.6 * WINDOW and full - repeated[after] + repeated[k] < least_d * full and len(set(theirs[a : a + full])) < least_d * full:
+            repeats[i] = said(i, theirs[b : begins[after]])
     top_share, gram_share, copy_share, top = shares(theirs, [u for u, o in zip(bare, own) if not o], known, most_top, most_grams)
     if top_share > most_top:
         repeats = [r or not o and w.count(top) > most_top * len(w) for r, w, o in zip(repeats, words, own)]

@@ -662,6 +662,12 @@ def test_words_by_the_table_are_those_of_the_pattern(lines):
     assert spam.words_of(low) == [spam.WORD.findall(line) for line in low.split("\n")]
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.text(st.sampled_from("aB1 \n\t.?!²\xa0\r\u3000-"), max_size=60))
+def test_units_are_the_parts_of_the_cut_that_are_not_blank(text):
+    assert spam.cut(text) == [u for u in spam.CUT.split(text) if u.strip()]
+
+
 def test_repeats_are_those_of_every_window_counted():
     """Units of few different words with whole units before or behind them, each window counted without a bound."""
     random.seed(7)
