@@ -23,6 +23,7 @@ FALSE = 1e-3
 #: Times a restored word must be more frequent in the corpus than the word as it stands.
 RATIO = 5
 PUNCTUATION = " .,;:!?()[]{}\"'“”‘’«»„…–—-*•"
+ASCII_PUNCTUATION = PUNCTUATION.encode("ascii", "ignore")
 LOST = "\N{REPLACEMENT CHARACTER}"
 #: UTF-8 has no lone byte beyond ASCII, so a word with a lone character beyond it is none read as a page.
 LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
@@ -141,6 +142,10 @@ def has_plain_form(c: str) -> bool:
 def transcoded(word: str) -> dict[str, str]:
     """text -> chain, for one single-byte page that was read as another; only texts spelled like words."""
     out: dict[str, str] = {}
+    # ASCII stays what it is, so a word with a digit or a sign inside its ASCII is spelled like none in any page
+    inner = word.encode("ascii", "ignore").strip(ASCII_PUNCTUATION).translate(None, b"-'")
+    if inner and not inner.isalpha():
+        return out
     chars = set(word)
     if all(c.isascii() or has_plain_form(c) for c in chars):
         return out
@@ -176,19 +181,22 @@ class Restorer:
 
     def best(self, word: str) -> tuple[float, str, str, bool]:
         """Every chain is scored: UTF-8 read as a page up to three deep, a page read as another, and both in either order."""
-        own = self.model.word(word)
         known, size = self.lexicon.get(core(word), 0), self.model.word
         deep = unpacked(word)
         paged = dict(transcoded(word))
         for t, c in deep.items():
             for t2, c2 in transcoded(t).items():
                 paged.setdefault(t2, f"{c} {c2}")
+        crossing = not deep and not known and not word.isascii() and crossed(word)
+        if not deep and not paged and not crossing:
+            return 0.0, "", word, False
+        own = self.model.word(word)
         score, text, chain, alone = own, word, "", False
         for t, c in deep.items():
             if (s := size(t)) > score:
                 score, text, chain, alone = s, t, c, s - own > self.margin
         if not chain and not known and not word.isascii():
-            paged = crossed(word) | paged
+            paged = (crossed(word) if deep else crossing) | paged
         alike = core(word.translate(look_alikes()))
         for t, c in paged.items():
             # in a single-byte page every byte string is valid, so the corpus must know the word far better; and a letter

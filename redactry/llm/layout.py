@@ -42,6 +42,8 @@ END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
 #: Signs and letters that recognition takes for one another, as one letter; then groups of letters, the longest first.
 LIKE = str.maketrans("@4!|1i†$50368c9", "aalllltssoebbeg")
 GROUPS = (("rrl", "m"), ("lll", "m"), ("ll", "h"), ("u", "h"), ("rn", "m"), ("vv", "w"), ("el", "d"), ("tl", "d"), ("le", "k"), ("rl", "n"))
+#: Letters and signs that a signature keeps as they are, so equal signatures have equally many of each.
+KEPT = "pyf,."
 ALONE = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 
 
@@ -152,6 +154,7 @@ class Repairer:
         out: dict[int, str] = {}
         lone: dict[int, int] = {}
         groups: dict[str, list[int]] = defaultdict(list)
+        kin: dict[tuple, list[int]] = defaultdict(list)
         blanks = [s.count(" ") if s and not s[-1].isspace() and not s[0].isspace() else s.strip().count(" ") for s in lines]
         alike = Counter(blanks)
         for i, s in enumerate(lines):
@@ -169,11 +172,15 @@ class Repairer:
                     lone[i] = int(t)
                     continue
             if len(t) > 3 and alike[blanks[i]] > 1:  # equal signatures have equally many blanks
-                groups[signature(t)].append(i)
+                low = t.lower()
+                kin[blanks[i], *map(low.count, KEPT)].append(i)
+        for at in kin.values():
+            for i in at if len(at) > 1 else ():
+                groups[signature(lines[i].strip())].append(i)
         if lone:
             cut = self.cutting(lines, out)
             out |= {i: "page" for i in lone if cut(i)}
-        heads = [at for at in groups.values() if len(at) > 1 and not next(filter(str.isalnum, lines[at[0]]), "a").islower() and not BULLET.match(lines[at[0]].strip())]
+        heads = [at for at in sorted(groups.values()) if len(at) > 1 and not next(filter(str.isalnum, lines[at[0]]), "a").islower() and not BULLET.match(lines[at[0]].strip())]
         repeated = {i: "" for at in heads for i in at} | dict.fromkeys(lone, "") | out
         width, cut = max(map(len, lines)), self.cutting(lines, repeated)
         for at in heads:

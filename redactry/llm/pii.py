@@ -6,6 +6,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +54,9 @@ FORMS = tuple(
         ("ул.", rf"\d{{5,6}},{S}(?:г\.{S}?)?{NAME},{S}{NAME}{S}ул\.,{S}(?:дом|д\.){S}?\d+\w?(?:,{S}кв\.{S}?\d+)?"),
     )
 )
+#: Of FORMS, those that begin with a number, the head of any of them, and what any match of form 2 holds.
+NUMBERED, HOUSE = (0, 1, 3), re.compile(r"(?<![\w/.-])\d+[A-Za-z]?(?:/\d+)*,?[ \n]")
+KEYWORD = re.compile(rf"(?:{ES_STREET}|{PT_STREET})[ \n]")
 #: A number behind a street's name, and what stands before it; and what may precede a match of FORMS.
 DE_NUMBER = re.compile(rf"(?<=[{DE_LAST}])[ \n]\d+(?:[ \n]?[a-z]\b|/\d+)?,{S}(?:D-)?(?:\d{{5}}{S})?{NAME}")
 DE_NAME = re.compile(rf"(?:(?:Am|An|Im|Auf|Zum|Zur|In)(?:{S}(?:der|dem|den))?(?:{S}{CAP}){{1,3}}|(?:{CAP}{S}){{0,2}}[{UPPER}]{L}*(?:{DE_STREET}))$")
@@ -70,16 +74,35 @@ def back(text: str, at: int, words: int) -> int:
     return at
 
 
-def addresses(text: str, rule_out: bool = True) -> list[tuple[int, int, str]]:
-    """(start, end, form) of street addresses; with ``rule_out`` forms none of whose words the text holds are not looked for."""
+def matches(form: re.Pattern, text: str, places: list[int]) -> Iterator[re.Match]:
+    """What ``form.finditer`` gives, for a form that can only match at these places, which ascend."""
+    end = 0
+    for i in places:
+        if i >= end and (m := form.match(text, i)):
+            end = m.end()
+            yield m
+
+
+def addresses(text: str, rule_out: bool = True, runs: list[int] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, form) of street addresses; with ``rule_out`` forms none of whose words the text holds are not looked for,
+    and those that begin with a number or hold one behind a blank are tried at the text's numbers alone, which begin at ``runs``."""
     out = []
+    if runs is None:
+        runs = [m.start() for m in RUN.finditer(text)]
+    houses = [i for i in runs if HOUSE.match(text, i)]
     for k, (need, form) in enumerate(FORMS):
-        if rule_out and not any(map(text.__contains__, need)):
+        if not rule_out:
+            got = form.finditer(text)
+        elif k in NUMBERED:
+            got = matches(form, text, houses)
+        elif KEYWORD.search(text) if k == 2 else any(map(text.__contains__, need)):
+            got = form.finditer(text)
+        else:
             continue
-        for m in form.finditer(text):
+        for m in got:
             lead = LEAD.search(text, back(text, m.start(), 3), m.start())
             out.append((lead.start() if lead else m.start(), m.end(), str(k)))
-    for m in DE_NUMBER.finditer(text):
+    for m in matches(DE_NUMBER, text, [i - 1 for i in runs if i and text[i - 1] in " \n"]) if rule_out else DE_NUMBER.finditer(text):
         name = DE_NAME.search(text, back(text, m.start(), 6), m.start())
         if name:
             out.append((name.start(), m.end(), "de"))
@@ -126,10 +149,28 @@ PHONE = re.compile(
 NATIONAL = re.compile(rf"{B}(?:\d{{12}}|\d{{9}}|\d{{3}}(?:[ \n]\d{{3}}){{2,3}}){E}")
 INITIAL = re.compile(rf"[{UPPER}]\.(?:[{UPPER}]\.)*")
 SMALL_INITIAL = re.compile("[a-z]\\.")
-TOKEN = re.compile(r"[^\s,;:!?()\[\]{}\"“”«»„<>…•/|]+")
+LETTERS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+FUSED = re.compile(r"[^\W\d_]{2}[A-ZÀ-ÞĐĂƠƯ](?:[^\W\d_]|['’])")
+#: Characters that part tokens as white space does.
+PARTING = ",;:!?()[]{}\"“”«»„<>…•/|"
 TRAIL = ".'’-–—"
 
 
+def _plain(cluster: str) -> str:
+    return unicodedata.normalize("NFC", "".join(c if (p := lookalike.plain(c)) is None else p for c in cluster))
+
+
+#: A character with its marks without disguises; and whether a character belongs to the one before.
+PLAIN, ATTACHED = Memo(_plain), Memo(lambda c: bool(unicodedata.combining(c) or c in lookalike.INVISIBLE))
+
+
+def tokens(text: str) -> list[str]:
+    """The text's tokens; a sign replaced by a blank leaves all places as they are."""
+    for c in PARTING:
+        text = text.replace(c, " ")
+    return text.split()
+
+
 def flatten(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     """(text without disguises, start and end in the given text of each of its characters or None if they agree)."""
     odd = list(lookalike.odd_tokens(text))
@@ -147,10 +188,9 @@ def flatten(text: str) -> tuple[str, list[int] | None, list[int] | None]:
         i, b = a, a + len(token)
         while i < b:
             j = i + 1
-            while j < b and (unicodedata.combining(text[j]) or text[j] in lookalike.INVISIBLE):
+            while j < b and ATTACHED[text[j]]:
                 j += 1
-            s = "".join(lookalike.plain(c) if lookalike.plain(c) is not None else c for c in text[i:j])
-            s = unicodedata.normalize("NFC", s)
+            s = PLAIN[text[i:j]]
             if script == "L":
                 s = s.translate(latin)
             out.append(s)
@@ -165,15 +205,19 @@ def flatten(text: str) -> tuple[str, list[int] | None, list[int] | None]:
 class Tokens:
     """(start, end, word, kind) of a text's tokens, made when asked for."""
 
-    def __init__(self, starts: list[int], infos: list[tuple[str, int, str]]):
-        self.starts, self.infos = starts, infos
+    def __init__(self, text: str, raws: list[str], info: dict[str, tuple[str, int, str]]):
+        self.text, self.ends, self.raws, self.info = text, [], raws, info
 
     def __len__(self) -> int:
-        return len(self.infos)
+        return len(self.raws)
 
     def __getitem__(self, i: int) -> tuple[int, int, str, str]:
-        word, lead, kind = self.infos[i]
-        a = self.starts[i] + lead
+        raw, ends = self.raws[i], self.ends
+        if i >= len(ends):  # no letter of a token stands between tokens, so each is the next place of its letters
+            find, at = self.text.find, ends[-1] if ends else 0
+            ends += [at := find(x, at) + len(x) for x in self.raws[len(ends) : i + 1]]
+        word, lead, kind = self.info[raw]
+        a = ends[i] - len(raw) + lead
         return a, a + len(word), word, kind
 
 
@@ -183,13 +227,13 @@ class Finder:
     def __init__(self, given: frozenset[str], vi_given: frozenset[str], persons: frozenset[str], plain: frozenset[str]):
         self.given_names, self.vi_given, self.persons, self.plain = given, vi_given, persons, plain
         self.fused = re.compile("(?:" + "|".join(sorted((g for g in given if len(g) > 5), key=len, reverse=True)) + ")(?:van|von|de)$")
-        self.kind = Memo(self._kind)
         self.info = Memo(self._info)
+        self.code = Memo(lambda raw: self.info[raw][2] or " ")
 
     def _info(self, raw: str) -> tuple[str, int, str]:
         """(word, where it starts in the token, kind)."""
         word = _trim(raw)
-        return (word, raw.index(word[0]), self.kind[word]) if word else ("", 0, "")
+        return (word, raw.index(word[0]), self._kind(word)) if word else ("", 0, "")
 
     def _kind(self, token: str) -> str:
         """g given name, f Vietnamese family name, F fused name, i initials, s possible surname, v Vietnamese given name or middle, p particle, '' other."""
@@ -203,11 +247,11 @@ class Finder:
         low = t.lower()
         if low in names.PARTICLES:
             return "p"
-        if not re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", t):
+        if not LETTERS.fullmatch(t):
             return ""
         flat = names.bare(t)
         cap = t[0].isupper()
-        if cap and not t.isupper() and re.search(r"[^\W\d_]{2}[A-ZÀ-ÞĐĂƠƯ](?:[^\W\d_]|['’])", t) and not t.startswith(("Mc", "Mac", "Gmb")):
+        if cap and not t.isupper() and FUSED.search(t) and not t.startswith(("Mc", "Mac", "Gmb")):
             head = "".join(f" {b}" if a.islower() and b.isupper() else b for a, b in zip(" " + t, t)).split()
             if names.bare(head[0]) in self.given_names or names.bare(head[0]) in names.FAMILY or names.bare(head[-1]) in self.vi_given and names.bare(head[-1]) != flat:
                 return "F"
@@ -241,11 +285,11 @@ class Finder:
 
     def persons_in(self, text: str, raws: list[str], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
         """(start, end, kinds of the words, first word) of persons' names outside ``taken``; ``raws`` are the text's tokens."""
-        infos = list(map(self.info.__getitem__, raws))
-        kinds = [k[2] for k in infos]
-        if _HEADS.isdisjoint(kinds):
+        kinds = "".join(map(self.code.__getitem__, raws))
+        heads = [m.start() for m in HEADS.finditer(kinds)]
+        if not heads:
             return []
-        toks = Tokens([m.start() for m in TOKEN.finditer(text)], infos)
+        toks = Tokens(text, raws, self.info)
         n, out, used = len(kinds), [], -1
         bad = sorted(taken)
         ends = [y for _, y in bad]
@@ -284,7 +328,7 @@ class Finder:
                 j += 1
             return j
 
-        for i in [i for i, k in enumerate(kinds) if k in _HEADS or k == "s" and i + 1 < n and kinds[i + 1] == "i"]:
+        for i in heads:
             if i <= used or not free(i):
                 continue
             a, b, word, kind = toks[i]
@@ -321,7 +365,7 @@ class Finder:
                 continue
             if toks[last][3] != "i":
                 end = toks[last][0] + len(toks[last][2].rstrip(TRAIL))
-            form = "".join(kinds[first : last + 1]) + (toks[last][2] if kinds[last] == "i" else "")
+            form = kinds[first : last + 1].replace(" ", "") + (toks[last][2] if kinds[last] == "i" else "")
             out.append((toks[first][0], end, form, names.bare(toks[first][2])))
             used = last
         return out
@@ -369,7 +413,8 @@ class Finder:
         return i, j
 
 
-_HEADS = frozenset("ghfFivd")
+#: Kinds of words that may begin a name, each a character.
+HEADS = re.compile("[ghfFivd]|s(?=i)")
 #: Prepositions that may also be particles of a surname, and words by which a Romance sentence shows.
 PREPOSITIONS = frozenset(("de", "von", "di", "du", "del", "da"))
 DOUBLE = frozenset((("van", "der"), ("van", "den"), ("van", "de"), ("von", "der"), ("de", "la"), ("de", "los"), ("de", "las")))
@@ -390,7 +435,7 @@ def _trim(token: str) -> str:
 def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, str, str]]:
     """(start, end, type, form, context) of each term that may be personal; :func:`disclosed` decides which are."""
     flat, starts, ends = flatten(text)
-    raws = TOKEN.findall(flat)
+    raws = tokens(flat)
     found: list[tuple[int, int, str, str, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -402,14 +447,14 @@ def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, str, str]]:
     if "@" in flat or "(" in flat or "[" in flat or "{" in flat:
         for a, b, form in emails(flat):
             take(a, b, "EMAIL_ADDRESS", form)
-    if DIGIT.search(flat):
-        for a, b, form in addresses(flat):
+    if runs := [m.start() for m in RUN.finditer(flat)]:
+        for a, b, form in addresses(flat, runs=runs):
             take(a, b, "FULL_ADDRESS", form)
-        if numbers := [m.span() for m in DIGITS.finditer(flat)]:
+        # a number begins with the first digit of a run, or a sign before it
+        places = [i - (i > 0 and flat[i - 1] in "+(") for i in runs]
+        if numbers := [m.span() for m in matches(DIGITS, flat, places) if sum(map(str.isdigit, m.group())) >= 8]:
             for form, kind in ((SSN, "US_SSN"), (PHONE, "PHONE_NUMBER"), (NATIONAL, "VN_NATIONAL_ID")):
                 for x, y in numbers:
-                    if sum(map(str.isdigit, flat[x:y])) < 8:
-                        continue
                     while x < y:
                         m = form.search(flat, x, min(len(flat), y + 8))
                         if not m or m.start() >= y:
@@ -426,9 +471,6 @@ def mentions(text: str, finder: Finder) -> list[tuple[int, int, str, str, str]]:
     return sorted(found)
 
 
-DIGIT = re.compile(r"\d")
-
-
 def learn(words: DataFrame, entities: DataFrame) -> tuple[frozenset[str], ...]:
     """(given names, Vietnamese given names, words of persons' names, plain words) from corpus counts.
 

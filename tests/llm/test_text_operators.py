@@ -392,6 +392,30 @@ def test_no_address_is_ruled_out_by_its_words(spark, sf):
         assert pii.addresses(flat) == pii.addresses(flat, rule_out=False)
 
 
+PIECES = ["12 Mill Lane, Leeds", "3 bis, rue de Metz, 75001 Lyon", "Calle Mayor 7, 28001 Soria", "7/2 Lý Do, phường Tân, quận Ba, tỉnh Ba", "Am Damm 5, 10115 Ulm", "+(84) 95 22", "+84 952 217 214", "(202) 555-0149", "A.", "–", "\u2003", "…", "“Ann”", "5", "/", ".", "-", " ", "\n", ", ", "é"]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(PIECES), max_size=9).map("".join))
+def test_terms_are_looked_for_only_where_they_can_begin(text):
+    runs = [m.start() for m in pii.RUN.finditer(text)]
+    assert pii.addresses(text) == pii.addresses(text, runs=runs) == pii.addresses(text, rule_out=False)
+    assert [m.span() for m in pii.matches(pii.DIGITS, text, [i - (i > 0 and text[i - 1] in "+(") for i in runs])] == [m.span() for m in pii.DIGITS.finditer(text)]
+    want = [(m.start(), m.end()) for m in re.finditer(r"[^\s,;:!?()\[\]{}\"“”«»„<>…•/|]+", text)]
+    toks = pii.Tokens(text, pii.tokens(text), {t: (t, 0, "") for t in pii.tokens(text)})
+    assert [toks[i][:2] for i in range(len(toks))] == want
+
+
+def test_work_without_a_result_is_passed_over(monkeypatch, restorer):
+    signed, signature = [], layout.signature
+    monkeypatch.setattr(layout, "signature", lambda s: signed.append(s) or signature(s))
+    lines = ["Jahresbericht vom Fluss", "Erste Zeile mit yyy Wort", "Jahresbericht v0m Fluss", "Zweite Zeile mit ppp Wort", "Kein Wort steht allein"]
+    layout.Repairer({}, 1, 1).furniture(lines)
+    assert not {"Erste Zeile mit yyy Wort", "Zweite Zeile mit ppp Wort"} & set(signed)
+    monkeypatch.setattr(encoding, "rereadings", lambda: pytest.fail("a word with a sign inside is no word in any page"))
+    assert encoding.transcoded("für.\xa0Die\xa0Tür,\xa0" * 500 + "Ende") == {} == encoding.transcoded("für2")
+
+
 def test_learning_from_empty_tables(spark, texts):
     entities = spark.createDataFrame([], "entity_id long, entity_type string, text_val string")
     given_names, vi, persons, plain = pii.learn(corpus.word_counts(texts), entities)
