@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ TRIM = " .,;:!?()[]{}\"“”«»„…*•/|"
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Abbreviations after which no sentence ends.
 SHORT = frozenset("ул г д кв пр стр bât nº no av st rd str nr tel vs etc approx dr mr mrs ms prof corp inc ltd co jr sr".split())
-STOP = re.compile(r"(?<![^\s.!?…])([^\s.!?…]*+)[.!?…]+[\"'”’»)\]]*\s+|\n\s*")
+#: Begins with a class of few characters, so the scan for it is fast; no form that a word's end may have is longer than ENDING.
+STOP = re.compile(r"[.!?…\n](?:(?<=\n)\s*+|(?<!\n)(?<![.!?…][.!?…])[.!?…]*+[\"'”’»)\]]*+\s++)")
+ENDING, BEFORE = 5, re.compile(r"[^\s.!?…]*+\Z")
 ITEM = re.compile(r"\s*(?:[-–—*•·]|\d{1,3}[.)])\s")
 
 
@@ -55,16 +58,17 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
     """Half-open spans of sentences and lines."""
     at = 0
     for m in STOP.finditer(text):
-        word = m.group(1)
-        if word is not None:
+        a, b = m.span()
+        if text[a] != "\n":
+            word = BEFORE.search(text, max(0, a - ENDING), a).group()
             if len(word) <= 1 or word.lower() in SHORT or len(word) <= 3 and word[0].isupper() and not word.isupper() or word.isupper() and len(word) <= 2:
                 continue
-            after = text[m.end() : m.end() + 1]
+            after = text[b : b + 1]
             if after and after.islower() and after.isascii():
                 continue
-        if m.end() > at:
-            yield at, m.end()
-        at = m.end()
+        if b > at:
+            yield at, b
+        at = b
     if at < len(text):
         yield at, len(text)
 
@@ -86,11 +90,12 @@ PAGES = Repairer({}, 1, 1)
 
 def telling(sentence: str) -> list[str]:
     """The different words that show a language: written small, or all words of a line in capitals. Names are passed over."""
-    shapes = [SHAPES[t] for t in sentence.split()]
-    small = [w for w, kind in shapes if kind == 1]
-    big = [w for w, kind in shapes if kind == 2]
-    if len(big) > len(small) and len(big) >= LEAST_WORDS:
-        small += big
+    tokens = sentence.split()
+    small = list(filter(None, map(SMALL.__getitem__, tokens)))
+    if len(tokens) - len(small) >= max(LEAST_WORDS, len(small) + 1):  # as many may be in capitals
+        big = list(filter(None, map(BIG.__getitem__, tokens)))
+        if len(big) > len(small) and len(big) >= LEAST_WORDS:
+            small += big
     return list(dict.fromkeys(small))
 
 
@@ -102,7 +107,8 @@ def _shape(token: str) -> tuple[str, int]:
     return (w, 1) if w.islower() else (w.lower(), 2) if w.isupper() and len(w) > 1 else ("", 0)
 
 
-SHAPES = Memo(_shape)
+#: token -> its word if it is written small, in capitals; else the empty string.
+SMALL, BIG = (Memo(lambda t, kind=kind: w[0] if (w := _shape(t))[1] == kind else "") for kind in (1, 2))
 
 
 def grams(word: str) -> set[str]:
@@ -148,7 +154,7 @@ class Classifier:
         """
         if len(self.memo) > 150_000:
             self.memo.clear()
-        ids = np.fromiter((self.memo[w] for ws in batches for w in ws), np.int64)
+        ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(batches)), np.int64)
         starts = np.cumsum([0, *map(len, batches[:-1])])
         sums = np.add.reduceat(self.rows[ids], starts, axis=0)
         return sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1))
@@ -248,20 +254,20 @@ def segments(df: DataFrame, model: Classifier, id_col: str = "scan_id", text_col
             for k, text in enumerate(texts):
                 furniture = page_lines(text) if "\n" in text else []
                 for a, b in sentences(text):
+                    if furniture and any(x <= a and b <= y + 1 for x, y in furniture):
+                        continue
                     s = text[a:b]
                     ws = telling(s)
-                    if any(x <= a and b <= y + 1 for x, y in furniture):
-                        continue
                     if len(ws) >= LEAST_WORDS and not ITEM.match(s):
                         words.append(ws)
                         spans.append((a, b))
                         owner.append(k)
             scores = c.score(words) if words else np.zeros((0, len(LANGUAGES)))
             top = np.argsort(-scores, axis=1)[:, :2]
+            best = np.take_along_axis(scores, top, axis=1)
             found: list[list[tuple]] = [[] for _ in texts]
-            for i, k in enumerate(owner):
-                lead = float(scores[i, top[i, 0]] - scores[i, top[i, 1]])
-                found[k].append((*spans[i], LANGUAGES[top[i, 0]], lead))
+            for k, span, y, lead in zip(owner, spans, top[:, 0].tolist(), (best[:, 0] - best[:, 1]).tolist()):
+                found[k].append((*span, LANGUAGES[y], lead))
             for k, (i, text) in enumerate(zip(batch.column(0).to_pylist(), texts)):
                 for row in merged(text, found[k], c):
                     ids.append(i)

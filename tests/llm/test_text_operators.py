@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -464,6 +465,25 @@ def test_long_texts_are_sampled(spark):
     assert [langid.LANGUAGES[k] for k in model.score([langid.telling(SENTENCES[0]), langid.telling(SENTENCES[4])]).argmax(axis=1)] == ["de", "ru"]
 
 
+STOPPED = re.compile(r"(?<![^\s.!?…])([^\s.!?…]*+)[.!?…]+[\"'”’»)\]]*\s+|\n\s*")
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(["a", "Dr", "prof", "PROF", "AB", "Corp", "word", "ул", "İst", ".", "…", "...", "?", "\n", " ", "\xa0", '"', ")", "1"]), max_size=20).map("".join))
+def test_sentences_end_behind_a_stop_or_line(text):
+    ends = {m.end() for m in STOPPED.finditer(text)} | {len(text)}
+    got = list(langid.sentences(text))
+    assert {b for _, b in got} <= ends and "".join(text[a:b] for a, b in got) == text
+    short = [m.end() for m in STOPPED.finditer(text) if m.group(1) is None or len(m.group(1)) > 4 and not text[m.end() : m.end() + 1].islower()]
+    assert set(short) <= {b for _, b in got}
+
+
+def test_a_long_run_of_stops_is_scanned_once():
+    began = time.process_time()
+    assert list(langid.sentences("Inhalt " + "." * 60_000 + "7")) == [(0, 60_008)]
+    assert time.process_time() - began < 2
+
+
 # ---- 6 ----
 
 
